@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontamination, fingerprints, token_counts
+from . import bpe, common, decontamination, fingerprints, token_counts, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -20,6 +20,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     return bpe.round_trip_digests(docs, common.tokenizer_path(WORD_VOCABULARY))
@@ -32,6 +37,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
 }
