@@ -59,7 +59,7 @@ class WordBpe:
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
         right = np.array([vocab[b] for _, b in merges], dtype=np.int64)
-        keys, order = left * self.base + right, None
+        keys = left * self.base + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.results = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
@@ -69,10 +69,12 @@ class WordBpe:
         self.ordered = bool((np.maximum(made[left], made[right]) < np.arange(len(merges))).all())
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
+        #: The same by pre-token.
+        self.coded: dict[str, tuple[str, str]] = {}
 
     # -- merge rounds -------------------------------------------------------------------
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
+    def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each pre-token."""
         if not words:
             return []
@@ -117,8 +119,9 @@ class WordBpe:
             stay[where + 1] = False
             symbols, owner = symbols[stay], owner[stay]
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        return np.split(symbols[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+        flat = symbols[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     # -- texts --------------------------------------------------------------------------
 
@@ -132,26 +135,33 @@ class WordBpe:
         """Encode the chunks that are new to this worker, all in the same merge rounds."""
         if not chunks:
             return
-        new, words = [], {}
+        new, unknown, find, old = [], {}, self.words.findall, self.old
+        if len(self.coded) > CACHE_CHUNKS:
+            self.coded = {}
+        coded = self.coded
         for chunk in chunks:
-            if (known := self.old.get(chunk)) is not None:
+            if (known := old.get(chunk)) is not None:
                 self.young[chunk] = known
                 continue
             # Each code point is lowered by itself: no final sigma.
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            parts = self.words.findall(low)
+            low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            if low.isalpha():
+                parts = (low,)
+            elif low[-1] in ".," and low[:-1].isalpha():
+                parts = (low[:-1], low[-1])
+            else:
+                parts = find(low)
             new.append((chunk, parts))
             for p in parts:
-                words.setdefault(p, len(words))
-        coded = []
-        for ids in self.merge(list(words)):
-            ids = ids.tolist()
-            coded.append((" ".join(map(str, ids)), self.decode(ids)))
+                if p not in coded:
+                    unknown[p] = None
+        for word, ids in zip(unknown, self.merge(list(unknown)), strict=True):
+            coded[word] = (" ".join(map(str, ids)), self.decode(ids))
         for chunk, parts in new:
             if len(parts) == 1:
-                self.young[chunk] = coded[words[parts[0]]]
+                self.young[chunk] = coded[parts[0]]
             else:
-                got = [coded[words[p]] for p in parts]
+                got = [coded[p] for p in parts]
                 self.young[chunk] = (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]))
 
     def decode(self, ids) -> str:
