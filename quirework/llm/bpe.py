@@ -237,24 +237,26 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "dec
     return common.map_batches(coded, run, schema)
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+def round_trip_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text.
 
     Null and empty texts have no tokens and the digest of the empty string; repeated rows
-    give repeated results; columns besides doc_id and text are not read.
+    give repeated results; columns besides doc_id and text are not read.  ``with_ids`` adds
+    the ids themselves, array<int>.
     """
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         coded = load(vocabulary).encode_texts(batch.column(1).to_pylist())
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in coded], type=pa.int64()),
-                pa.array([hashlib.sha256(ids.encode("ascii")).hexdigest() for ids, _ in coded], type=pa.string()),
-                pa.array([hashlib.sha256(text.encode("utf-8")).hexdigest() for _, text in coded], type=pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        columns = [
+            batch.column(0),
+            pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in coded], type=pa.int64()),
+            pa.array([hashlib.sha256(ids.encode("ascii")).hexdigest() for ids, _ in coded], type=pa.string()),
+            pa.array([hashlib.sha256(text.encode("utf-8")).hexdigest() for _, text in coded], type=pa.string()),
+        ]
+        if with_ids:
+            columns.append(pa.array([list(map(int, ids.split())) for ids, _ in coded], type=pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.map_batches(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.map_batches(rows, run, schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, ngram_join, token_counts, toxicity
+from . import bpe, common, decontamination, fingerprints, line_dedup, ngram_join, token_counts, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -29,6 +30,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(common.read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(common.read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(common.text_or_empty().cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     return bpe.round_trip_digests(docs, common.tokenizer_path(WORD_VOCABULARY))
@@ -43,6 +49,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_line_dedup": op6_line_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
 }
