@@ -31,6 +31,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers where their path does not have it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or getattr(context, "_quirework_sent", False):
+        return
+    import shutil
+
+    folder = tempfile.mkdtemp()  # the driver serves the file to the workers; they do not share its path
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "quirework"), "zip", root, "quirework"))
+    context._quirework_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:
