@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, line_dedup, ngram_join, substring_dedup, token_counts, toxicity
+from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, substring_dedup, token_counts, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -35,6 +35,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(common.text_or_empty().cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(common.read_table(spark, sf_dir, "pages"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
