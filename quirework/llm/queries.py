@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, substring_dedup, token_counts, toxicity
+from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, substring_dedup, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    path = f"{common.shared_dir(spark)}/quirework/token-files-{uuid.uuid4().hex}"
+    token_files.write(docs, common.tokenizer_path(WORD_VOCABULARY), path)
+    return token_files.read(spark, path).drop("ids")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, common.tokenizer_path(PIECE_VOCABULARY))
@@ -54,6 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
