@@ -29,10 +29,14 @@ HOT_IN_BATCH, HOT_TOTAL, HOT_TOKENS = 3, 48, 100_000
 #: Entries of a frequent token that share one leader.
 LEADER_ENTRIES = 500
 #: Different orders of leaders: a set meets about so many members of its group.
-LEADER_ORDERS = 3
+LEADER_ORDERS = 8
+#: Further turns in which sets meet members of the largest component around them.
+COMPONENT_TURNS, TURN_ORDERS = 1, 61
 #: Of consecutive size bands; a little over 100 / PERCENT, so that linked sets are at most one band apart.
 BAND_RATIO = 1.26
 CACHE_WORDS = 300_000
+#: Rows of two numbers up to which a side is broadcast.
+BROADCAST_IDS = 1_000_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -135,8 +139,8 @@ def _prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], size: int, pe
                 often = np.flatnonzero(is_hot)
                 often = often[np.lexsort((s[often], counts[at[often]]))]
                 order = np.concatenate([np.flatnonzero(~is_hot), often])[:k]
-                parts = np.where(is_hot[order], -(-counts[at[order]] // LEADER_ENTRIES), 1)
-                salts = (sid & 0x7FFFFFFF) % np.maximum(parts, 1)
+                parts = np.maximum(1, -(-counts[at[order]] // LEADER_ENTRIES))
+                salts = np.where(is_hot[order], 1 + (sid & 0x7FFFFFFF) % parts, 0)
                 tokens = s[order]
             else:
                 tokens, salts = s[:k], np.zeros(k, dtype=np.int64)
@@ -160,6 +164,60 @@ def _can_link(x: str, y: str, percent: int):
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (most >= _needed_overlap(nx, ny, percent))
 
 
+def _least_shared(percent: int):
+    """Prefix tokens that linked sets of _na and _nb tokens surely share; see _screened."""
+    overlap = _needed_overlap(F.col("_na"), F.col("_nb"), percent)
+    need = lambda n: overlap - F.ceil(percent * n / F.lit(100) - F.lit(1e-9)) + 1
+    return F.least(need(F.col("_na")), need(F.col("_nb")))
+
+
+def _first_shared(least):
+    """How many of the shared prefix tokens are looked for at first."""
+    return F.ceil(least / 2)
+
+
+def _early(x: str, y: str, percent: int):
+    """Position bound of the first shared tokens.
+
+    Before the k-th token that two sets share, each has at most n - overlap tokens of its own
+    and k - 1 shared ones.
+    """
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    overlap = _needed_overlap(nx, ny, percent)
+    need = lambda n: overlap - F.ceil(percent * n / F.lit(100) - F.lit(1e-9)) + 1
+    k = _first_shared(F.least(need(nx), need(ny)))
+    return (F.col(f"{x}pos") <= nx - overlap + k - 1) & (F.col(f"{y}pos") <= ny - overlap + k - 1)
+
+
+def _screened(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough tokens.
+
+    A set misses at most n - o tokens of a partner with overlap o, so of its k prefix tokens at
+    least k - (n - o) are common.  The set whose prefix ends first in the order of tokens finds
+    all of those in the other's prefix; which one it is need not be known for the smaller bound.
+    """
+    one = profiles.select(F.col("sid").alias("a"), F.col("tokens").alias("_ta"), F.col("n").alias("_na"))
+    two = profiles.select(F.col("sid").alias("b"), F.col("tokens").alias("_tb"), F.col("n").alias("_nb"))
+    shared = F.size(F.array_intersect("_ta", "_tb"))
+    return pairs.join(one, "a").join(two, "b").filter(shared >= _least_shared(percent)).select("a", "b")
+
+
+def _sets(docs: DataFrame, rep: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The whole token sets of the paired sets, each from the text of its smallest doc_id."""
+    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = common.cut(sids.join(rep, "sid").select("doc_id", F.col("sid").alias("_sid")), "wanted")
+    # Checked: so many pairs of numbers fit any executor; more are joined by shuffle.
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+
+    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+        rows = [(k, _signed(s).tolist()) for s, k in zip(sets, batch.column(0).to_pylist(), strict=True) if len(s) and set_id(s) == k]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.list_(pa.int64()))], names=["sid", "tokens"])
+
+    fetched = _documents(docs).join(side, "doc_id").select("_sid", "text")
+    return common.cut(common.map_batches(fetched, tokens, "sid long, tokens array<long>").dropDuplicates(["sid"]), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact answer of each pair: a, b, distance (1 - Jaccard), linked."""
     one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("_ta"))
@@ -171,6 +229,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _mixed_entries(index: DataFrame, labels: DataFrame, answers: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components (c), each with its nearest leader (l, d)."""
+    told = answers.select(F.col("a").alias("sid"), F.col("b").alias("l"), "distance").unionByName(answers.select(F.col("b").alias("sid"), F.col("a").alias("l"), "distance"))
+    told = told.groupBy("sid").agg(F.min(F.struct("distance", "l")).alias("m")).select("sid", F.col("m.l").alias("l"), F.col("m.distance").alias("d"))
+    state = index.select("sid").distinct().join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").join(told, "sid", "left")
+    state = common.cut(state.select("sid", F.coalesce("label", "sid").alias("c"), "l", "d"), "state")
+    marked = index.select("token", "sid", "n", "pos", "band").join(state, "sid")
+    mixed = common.cut(marked.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("token"), "mixed")
+    return common.cut(marked.join(mixed, "token"), "marked")
+
+
 def _ordered_pairs(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -204,38 +273,46 @@ def link_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     head = heads.groupBy("token", "band").agg(F.min(F.struct("rank", "sid", "n", "pos")).alias("h"), F.count("*").alias("c")).filter("c > 1")
     heads = heads.join(head, ["token", "band"]).filter("sid <> h.sid")
     star = star.unionByName(heads.select("token", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("h.sid").alias("y"), F.col("h.n").alias("yn"), F.col("h.pos").alias("ypos")))
-    first = common.cut(star.filter(_can_link("x", "y", percent)).select(*_ordered_pairs("x", "y")).distinct(), "pairs")
-
-    # The sets of whatever shares a token; copies of a set are fetched once, by their smallest doc_id.
+    # Of each set the prefix tokens that any other set has.
+    profiles = common.cut(index.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")), "profiles")
+    met = common.cut(star.filter(_can_link("x", "y", percent)).select(*_ordered_pairs("x", "y")).distinct(), "met")
+    first = common.cut(_screened(met, profiles, percent), "pairs")
     rep = members.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = index.select("sid").distinct().join(rep, "sid").select("doc_id", F.col("sid").alias("_sid"))
-
-    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-        same = [set_id(s) == k if len(s) else False for s, k in zip(sets, batch.column(0).to_pylist(), strict=True)]
-        rows = [(k, _signed(s).tolist()) for s, k, ok in zip(sets, batch.column(0).to_pylist(), same, strict=True) if ok]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), pa.array([r[1] for r in rows], type=pa.list_(pa.int64()))], names=["sid", "tokens"])
-
-    fetched = _documents(docs).join(wanted, "doc_id").select("_sid", "text")
-    sets = common.cut(common.map_batches(fetched, tokens, "sid long, tokens array<long>").dropDuplicates(["sid"]), "sets")
-
-    answers = common.cut(_verified(first, sets, percent), "answers")
-    links = answers.filter("linked").select("a", "b")
+    answers = common.cut(_verified(first, _sets(docs, rep, first, size), percent), "answers")
+    links = common.cut(answers.filter("linked").select("a", "b"), "links")
     labels = components(links)
-
-    # Entries of lists that still hold several components, with what their leader told them.
-    told = answers.select(F.col("a").alias("sid"), F.col("b").alias("l"), "distance").unionByName(answers.select(F.col("b").alias("sid"), F.col("a").alias("l"), "distance"))
-    told = told.groupBy("sid").agg(F.min(F.struct("distance", "l")).alias("m")).select("sid", F.col("m.l").alias("l"), F.col("m.distance").alias("d"))
-    state = index.select("sid").distinct().join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").join(told, "sid", "left")
-    state = common.cut(state.select("sid", F.coalesce("label", "sid").alias("c"), "l", "d"), "state")
-    marked = index.select("token", "sid", "n", "pos", "band").join(state, "sid")
-    mixed = marked.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("token")
-    marked = common.cut(marked.join(mixed, "token"), "mixed")
+    marked = index
+    for turn in range(COMPONENT_TURNS):
+        # Sets outside the largest component of a block meet other members of it.
+        marked = _mixed_entries(marked, labels, answers)
+        fresh = F.xxhash64("sid", F.pmod("token", F.lit(TURN_ORDERS)), F.lit(turn))
+        each = marked.groupBy("token", "band", "c").agg(F.count("*").alias("size"), F.min(F.struct(fresh.alias("rank"), "sid", "n", "pos")).alias("h"))
+        most = each.groupBy("token", "band").agg(F.max(F.struct("size", "c", "h")).alias("m")).filter("m.size > 1")
+        most = common.cut(most.select("token", "band", F.col("m.c").alias("hc"), F.col("m.h.sid").alias("y"), F.col("m.h.n").alias("yn"), F.col("m.h.pos").alias("ypos")), "heads")
+        star = marked.join(most, ["token", "band"]).filter("c <> hc").select(F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), "y", "yn", "ypos")
+        new = common.cut(star.filter(_can_link("x", "y", percent)).select(*_ordered_pairs("x", "y")).distinct().join(met, ["a", "b"], "left_anti"), "met")
+        pairs = common.cut(_screened(new, profiles, percent), "pairs")
+        told = common.cut(_verified(pairs, _sets(docs, rep, pairs, size), percent), "answers")
+        met, answers = met.unionByName(new), answers.unionByName(told)
+        more = told.filter("linked").select("a", "b")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+
+    # What still holds several components is computed pair by pair.
+    marked = _mixed_entries(marked, labels, answers)
     side = lambda p: marked.select("token", *[F.col(c).alias(p + c) for c in ("sid", "n", "pos", "band", "c", "l", "d")])
     x, y = side("x"), side("y").withColumn("block", F.explode(F.array(F.col("yband"), F.col("yband") - 1)))
-    meet = x.join(y, (x["token"] == y["token"]) & (x["xband"] == y["block"]) & ((F.col("yband") > F.col("xband")) | (F.col("xsid") < F.col("ysid"))) & (F.col("xc") != F.col("yc")) & _can_link("x", "y", percent) & ~F.coalesce((F.col("xl") == F.col("yl")) & (F.abs(F.col("xd") - F.col("yd")) > 1 - percent / 100 + 1e-9), F.lit(False)))
-    rest = meet.select(*_ordered_pairs("xsid", "ysid")).distinct().join(first, ["a", "b"], "left_anti")
-    more = common.cut(_verified(common.cut(rest, "pairs"), sets, percent).filter("linked").select("a", "b"), "links")
+    # Linked sets are no further apart than 1 - percent / 100, so neither are their distances to a third.
+    ruled_out = (F.col("xl") == F.col("yl")) & (F.abs(F.col("xd") - F.col("yd")) > 1 - percent / 100 + 1e-9)
+    meet = x.join(y, (x["token"] == y["token"]) & (x["xband"] == y["block"]) & ((F.col("yband") > F.col("xband")) | (F.col("xsid") < F.col("ysid"))) & (F.col("xc") != F.col("yc")) & _can_link("x", "y", percent) & _early("x", "y", percent) & ~F.coalesce(ruled_out, F.lit(False)))
+    # The first shared tokens of a pair that can link are all rows here, so they can be counted at once.
+    rest = meet.groupBy(*_ordered_pairs("xsid", "ysid")).agg(F.count("*").alias("shared"), F.first("xn").alias("_na"), F.first("yn").alias("_nb"))
+    rest = rest.filter(F.col("shared") >= _first_shared(_least_shared(percent))).select("a", "b").join(met, ["a", "b"], "left_anti")
+    rest = _screened(rest, profiles, percent)
+    rest = common.cut(rest, "pairs")
+    more = common.cut(_verified(rest, _sets(docs, rep, rest, size), percent).filter("linked").select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
