@@ -45,6 +45,13 @@ def _stem(word: Column) -> Column:
     return out
 
 
+def stem_word(word: str) -> str:
+    """The same for a word of a query."""
+    word = word.lower()
+    end = next((e for e in ENDINGS if word.endswith(e) and len(word) > len(e) + 2), "")
+    return word[: len(word) - len(end)]
+
+
 def lexemes(text: Column | str) -> Column:
     """Stemmed words in order, stop words left in place as empty, so that positions count them."""
     words = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
@@ -64,11 +71,17 @@ def parse_query(query: str) -> tuple[list[list[str]], list[str]]:
     return [p for p in must if p], must_not
 
 
-def _phrase_places(stems: Sequence[Column]) -> Column:
-    """Positions in _lex where the stems stand in a row."""
-    parts = F.array(*[F.struct(F.lit(j).alias("j"), s.alias("s")) for j, s in enumerate(stems)])
-    fits = lambda k: F.forall(parts, lambda p: F.coalesce(F.get(F.col("_lex"), k + p["j"]) == p["s"], F.lit(False)))
-    return F.filter(F.transform("_lex", lambda _, k: k), lambda k: fits(k))
+def _places(stem: str, shift: int = 0) -> Column:
+    """Positions of a stem in _lex, less ``shift``."""
+    return F.filter(F.transform("_lex", lambda w, k: F.when(w == stem, k - shift)), lambda k: k.isNotNull())
+
+
+def _phrase_places(stems: Sequence[str]) -> Column:
+    """Positions in _lex where the stems stand in a row: each word's positions, shifted, intersected."""
+    out = _places(stems[0])
+    for j, s in enumerate(stems[1:], 1):
+        out = F.array_intersect(out, _places(s, j))
+    return out
 
 
 def full_text(df: DataFrame, text: str, query: str, headline_words: int = 35) -> DataFrame:
@@ -79,7 +92,7 @@ def full_text(df: DataFrame, text: str, query: str, headline_words: int = 35) ->
     """
     must, must_not = parse_query(query)
     words = df.withColumn("_lex", lexemes(text))
-    stems = lambda ws: [F.element_at(lexemes(F.lit(w)), 1) for w in ws if w.lower() not in STOP_WORDS]
+    stems = lambda ws: [stem_word(w) for w in ws if w.lower() not in STOP_WORDS]
     places = []
     for i, phrase in enumerate(must):
         kept = stems(phrase)
@@ -93,7 +106,7 @@ def full_text(df: DataFrame, text: str, query: str, headline_words: int = 35) ->
         test = test & F.col(p).isNotNull()
     for w in must_not:
         for s in stems([w]):
-            test = test & ~F.array_contains("_lex", s)
+            test = test & ~F.array_contains("_lex", F.lit(s))
     found = words.filter(test)
     if not places:
         return found.withColumn("rank", F.lit(0.0)).withColumn("headline", F.lit("")).drop("_lex")

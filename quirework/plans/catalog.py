@@ -309,9 +309,9 @@ def topk_usefulness(spark, d):
     return j.orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(20)
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
 def set_difference(spark, d):
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier").filter("s_acctbal > 8000")
     return n.join(s, n["n_nationkey"] == s["s_nationkey"], "left_anti").select("n_name")
 
 
@@ -504,8 +504,8 @@ def issue_paths(spark, d):
 @query("""WITH r AS (SELECT l_orderkey, l_suppkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem)
 SELECT l_orderkey, array_to_string(list(CAST(l_suppkey AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_suppkey), ',') AS suppliers FROM r WHERE k = 1 GROUP BY l_orderkey""")
 def keyed_array_dedupe(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_suppkey").cast("string").alias("s")))).alias("a"))
-    return rows.select("l_orderkey", F.array_join(F.transform(records.dedupe_array(F.col("a"), lambda v: v["s"]), lambda v: v["s"]), ",").alias("suppliers"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_suppkey").alias("s")))).alias("a"))
+    return rows.select("l_orderkey", F.array_join(F.transform(records.dedupe_array(F.col("a"), lambda v: v["s"].cast("string")), lambda v: v["s"].cast("string")), ",").alias("suppliers"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'Brand#X' ELSE p_brand END AS brand, p_size, CASE WHEN p_size > 25 THEN 'large' ELSE p_type END AS type FROM part")
