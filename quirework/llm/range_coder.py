@@ -104,7 +104,7 @@ def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     lanes = len(counts)
     model = _Model(lanes)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    words, used = np.zeros((lanes, 4 * int(counts[0]) + 8), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
+    words, used = np.zeros((lanes, int(counts[0]) + 64), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
 
     def settle(rows: np.ndarray) -> None:
         while len(rows):
@@ -124,6 +124,8 @@ def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         for j in range(int(counts[0])):
             n = int(np.searchsorted(-counts, -j, side="left"))
             x = ids[:n, j]
+            if j % 16 == 0 and int(used.max()) + 80 > words.shape[1]:  # an id takes four words at most
+                words = np.pad(words, ((0, 0), (0, words.shape[1] // 2 + 80)))
             model.predict(n)
             event = np.where((model.guess[0] == x) & (model.sure[0] > 0), 0, np.where((model.guess[1] == x) & (model.sure[1] > 0), 1, 2))
             start = np.where(event == 0, np.uint64(0), np.where(event == 1, model.first, model.first + model.second))
@@ -146,6 +148,7 @@ def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
                 low[missed], span[missed] = lo + unit * value, unit
             settle(np.arange(n))
             model.learn(n, x, event, size, missed)
+    words = np.pad(words, ((0, 0), (0, 8)))
     for _ in range(4):
         words[np.arange(lanes), used] = (low >> np.uint64(48)).astype(np.uint16)
         low <<= _W
@@ -156,12 +159,12 @@ def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 def _decode_lanes(words: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     lanes = len(counts)
     model = _Model(lanes)
-    store = np.zeros((lanes, max(map(len, words)) + 8), dtype=np.uint64)
+    store = np.zeros((lanes, max(map(len, words)) + 8), dtype=np.uint16)
     for i, w in enumerate(words):
         store[i, : len(w)] = w
     code = np.zeros(lanes, dtype=np.uint64)
     for k in range(4):
-        code = (code << _W) | store[:, k]
+        code = (code << _W) | store[:, k].astype(np.uint64)
     used = np.full(lanes, 4, dtype=np.int64)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
     ids = np.zeros((lanes, int(counts[0])), dtype=np.uint32)
@@ -176,7 +179,7 @@ def _decode_lanes(words: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
             if not len(rows):
                 return
             sp = np.where(agreed, sp, (~lo + np.uint64(1)) & (_LOW - np.uint64(1)))
-            code[rows] = (code[rows] << _W) | store[rows, np.minimum(used[rows], store.shape[1] - 1)]
+            code[rows] = (code[rows] << _W) | store[rows, np.minimum(used[rows], store.shape[1] - 1)].astype(np.uint64)
             used[rows] += 1
             low[rows], span[rows] = lo << _W, sp << _W
 

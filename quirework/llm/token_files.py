@@ -25,7 +25,7 @@ from .fingerprints import ordered_buckets
 END_ID = 1
 #: Ids of a frame to aim at: LANES blocks, which are coded together.
 FRAME_IDS = range_coder.LANES * range_coder.BLOCK_IDS
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 150_000
 
 _ROWS = "bucket int, seq int, offset long, n long, doc_ids array<long>, lengths array<long>, frame binary"
 
