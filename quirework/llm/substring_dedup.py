@@ -32,7 +32,6 @@ CROWDED, PIECE_WINDOWS = 256, 8
 SHARD_BYTES = 1_000_000
 #: Windows looked at together: positions must fit beside the hash in 64 bits.
 POSITION_BITS = 22
-BROADCAST_IDS = 500_000
 
 _TABLE = np.frombuffer(b"".join(hashlib.sha256(b"byte %d" % i).digest()[:8] for i in range(256)), dtype="<u8")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -165,10 +164,7 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     their bytes as sorting units; crowded ones in pieces: mini, digest, base, c, key, unit, raw."""
     picked = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "offset", "mini", "digest", "c", "crowded")).alias("parts"))
     picked = common.cut(picked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "parts"), "picked")
-    # Each row names one document and holds a few stretches of it: checked before it is broadcast.
-    n, parts = picked.agg(F.count("*"), F.sum(F.size("parts"))).first()
-    side = F.broadcast(picked) if (parts or 0) <= BROADCAST_IDS and n <= BROADCAST_IDS else picked
-    joined = docs.join(side, docs["doc_id"].eqNullSafe(side["_id"]) & (docs["text_key"] == side["_key"])).select("text", "parts")
+    joined = docs.join(picked, docs["doc_id"].eqNullSafe(picked["_id"]) & (docs["text_key"] == picked["_key"])).select("text", "parts")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
