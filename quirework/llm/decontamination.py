@@ -96,9 +96,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
     A null doc_id never equals another, so it is compared null-safely.
     """
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_text_key") == F.col("_bad_key")), "left_anti").drop("_text_key")
+    bad = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__qw_bad_id"), F.col("text_key").alias("__qw_bad_key"))
+    keyed = docs.withColumn("__qw_text_key", F.xxhash64("text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__qw_bad_id")) & (F.col("__qw_text_key") == F.col("__qw_bad_key")), "left_anti").drop("__qw_text_key")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
@@ -107,20 +107,20 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
     Each hit word goes with the characters up to the next word; other characters stay as they
     are.  Documents without a hit keep their text unchanged, null included.
     """
-    spans = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("windows").alias("_windows"))
-    joined = docs.withColumn("_text_key", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    spans = contamination(docs, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("__qw_id"), F.col("text_key").alias("__qw_key"), F.col("windows").alias("__qw_windows"))
+    joined = docs.withColumn("__qw_text_key", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("__qw_id")) & (F.col("__qw_text_key") == F.col("__qw_key")), "left")
     # A word with what follows it, after what precedes the first word.
     rest = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"
     parts = F.regexp_extract_all("text", F.lit(rest), 0)
     before = F.regexp_extract("text", "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*", 0)
     hit = F.aggregate(
-        "_windows",
+        "__qw_windows",
         F.array().cast("array<int>"),
         lambda a, w: F.concat(a, F.when(F.greatest(w["pos"], F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0))) < w["pos"] + w["n"], F.sequence(F.greatest(w["pos"], F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0))), w["pos"] + w["n"] - 1)).otherwise(F.array().cast("array<int>"))),
     )
-    kept = F.array_join(F.concat(F.array(before), F.filter(parts, lambda p, i: ~F.array_contains(F.col("_hit"), i + 1))), "")
+    kept = F.array_join(F.concat(F.array(before), F.filter(parts, lambda p, i: ~F.array_contains(F.col("__qw_hit"), i + 1))), "")
     return (
-        joined.withColumn("_hit", F.when(F.col("_id").isNotNull() | F.col("_windows").isNotNull(), hit))
-        .withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept))
-        .drop("_text_key", "_id", "_key", "_windows", "_hit")
+        joined.withColumn("__qw_hit", F.when(F.col("__qw_id").isNotNull() | F.col("__qw_windows").isNotNull(), hit))
+        .withColumn("text", F.when(F.col("__qw_hit").isNull(), F.col("text")).otherwise(kept))
+        .drop("__qw_text_key", "__qw_id", "__qw_key", "__qw_windows", "__qw_hit")
     )

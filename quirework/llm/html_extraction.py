@@ -252,10 +252,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     low = common.cut(low_nodes(pages), "low-nodes")
     size = low.agg(F.sum(F.size("low"))).first()[0] or 0  # checked before it is broadcast
-    side = low.select(F.col("host").alias("_host"), F.col("low").alias("_low"))
+    side = low.select(F.col("host").alias("__qw_host"), F.col("low").alias("__qw_low"))
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    rows = pages.select(*kept, F.col("html").cast("string").alias("_html"), host_of(F.col("url")).alias("_page_host"))
-    joined = rows.join(F.broadcast(side) if size <= BROADCAST_NODES else side, rows["_page_host"] == side["_host"], "left").select(*kept, "_html", "_low")
+    rows = pages.select(*kept, F.col("html").cast("string").alias("__qw_html"), host_of(F.col("url")).alias("__qw_page_host"))
+    joined = rows.join(F.broadcast(side) if size <= BROADCAST_NODES else side, rows["__qw_page_host"] == side["__qw_host"], "left").select(*kept, "__qw_html", "__qw_low")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = len(kept)

@@ -333,5 +333,5 @@ def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
 
     Columns and all other rows stay; rows that share a doc_id count as one document.
     """
-    go = link_components(docs, size, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(go, docs["doc_id"] == go["_id"], "left_anti")
+    go = link_components(docs, size, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("__qw_id")).distinct()
+    return docs.join(go, docs["doc_id"] == go["__qw_id"], "left_anti")

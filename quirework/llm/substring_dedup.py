@@ -163,8 +163,8 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The stretches of ``wanted`` (doc_id, text_key, start, windows, offset, mini, digest, c, crowded) with
     their bytes as sorting units; crowded ones in pieces: mini, digest, base, c, key, unit, raw."""
     picked = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "offset", "mini", "digest", "c", "crowded")).alias("parts"))
-    picked = common.cut(picked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "parts"), "picked")
-    joined = docs.join(picked, docs["doc_id"].eqNullSafe(picked["_id"]) & (docs["text_key"] == picked["_key"])).select("text", "parts")
+    picked = common.cut(picked.select(F.col("doc_id").alias("__qw_id"), F.col("text_key").alias("__qw_key"), "parts"), "picked")
+    joined = docs.join(picked, docs["doc_id"].eqNullSafe(picked["__qw_id"]) & (docs["text_key"] == picked["__qw_key"])).select("text", "parts")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -222,7 +222,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         found = repeated_windows(table.column("raw").to_pylist(), table.column("c").to_pylist(), length)
         keep = [i for i, r in enumerate(found) if r]
         runs = pa.array([[{"first": a, "last": b} for a, b in found[i]] for i in keep], type=pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
-        return pa.table({"key": table.column("key").take(keep), "unit": table.column("unit").take(keep), "runs": runs})
+        rows = pa.array(keep, type=pa.int64())
+        return pa.table({"key": table.column("key").take(rows), "unit": table.column("unit").take(rows), "runs": runs})
 
     dealt = once.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(int(shards))))
     sorted_ = common.cut(dealt.groupBy("shard").applyInArrow(sort_shard, f"key long, unit long, runs {_RUNS}"), "sorted")
@@ -237,10 +238,10 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
     """Every row of ``docs`` and a column _ranges."""
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_text_key").alias("text_key"), F.col("text").cast("string").alias("text"))
-    ranges = covered_ranges(plain, length).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("ranges").alias("_ranges"))
-    return keyed.join(ranges, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_id", "_key", "_text_key")
+    keyed = docs.withColumn("__qw_text_key", F.xxhash64("text"))
+    plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__qw_text_key").alias("text_key"), F.col("text").cast("string").alias("text"))
+    ranges = covered_ranges(plain, length).select(F.col("doc_id").alias("__qw_id"), F.col("text_key").alias("__qw_key"), F.col("ranges").alias("__qw_ranges"))
+    return keyed.join(ranges, F.col("doc_id").cast("long").eqNullSafe(F.col("__qw_id")) & (F.col("__qw_text_key") == F.col("__qw_key")), "left").drop("__qw_id", "__qw_key", "__qw_text_key")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     kept = [c for c in docs.columns if c not in added]
-    joined = _with_ranges(docs.select(*kept), length).select(*kept, "_ranges")
+    joined = _with_ranges(docs.select(*kept), length).select(*kept, "__qw_ranges")
     at = kept.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

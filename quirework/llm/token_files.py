@@ -109,7 +109,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) ->
         for batch in batches:
             ids, buckets, tails = (batch.column(i).to_pylist() for i in (0, 2, 3))
             own = [i for i, t in enumerate(tails) if not t]
-            coded = encoder(vocabulary).encode(batch.column(1).take(own).to_pylist())
+            coded = encoder(vocabulary).encode(batch.column(1).take(pa.array(own, type=pa.int64())).to_pylist())
             for i, code in zip(own, coded, strict=True):
                 if held and (buckets[i] != bucket or size + len(code) // 4 >= FRAME_IDS):
                     yield _frame(bucket, seq, offset, held, parts)
