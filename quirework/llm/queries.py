@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, substring_dedup, token_counts, token_files, toxicity
+from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, oracles, substring_dedup, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -74,4 +74,7 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+}
