@@ -151,7 +151,7 @@ def suspicious_name(x: Column | str, tokens: Sequence[str] = ()) -> Column:
 
 def sentences(x: Column | str) -> Column:
     """Split at newlines and after full stops; blank parts go."""
-    return F.filter(F.transform(F.split(col(x), "[\\n\\r]+|(?<=\\.)\\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(x), "[\\n\\r]+|(?<=\\.)\\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def meaningful_line(x: Column | str) -> Column:

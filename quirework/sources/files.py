@@ -18,7 +18,9 @@ def read_json(spark: SparkSession, path: str, schema: str, seed: DataFrame | Non
     """Whole-file JSON under a fixed schema.  A missing file gives no rows; unreadable records give the seed, or none."""
     try:
         df = spark.read.schema(schema + ", _corrupt string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-        good = df.filter("_corrupt is null").drop("_corrupt")
+        # The other columns are named too: a count alone would read nothing but the corrupt one.
+        whole = F.to_json(F.struct(*[c for c in df.columns if c != "_corrupt"])).isNotNull()
+        good = df.filter(F.col("_corrupt").isNull() & whole).drop("_corrupt")
         return good if seed is None or not good.isEmpty() else seed
     except AnalysisException:
         return seed if seed is not None else spark.createDataFrame([], schema)

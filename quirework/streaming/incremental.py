@@ -48,10 +48,10 @@ def current(spark: SparkSession, target: str) -> DataFrame:
 def tumbling(events: DataFrame, size: str, late: str = "1 day", slide: str | None = None) -> DataFrame:
     """Count and sum by window and type; the same expression serves streams and batches."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
