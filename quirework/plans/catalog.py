@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import records, render, similarity, text, years
+from ..functions import facts, records, render, similarity, text, years
 from ..operators import gates, geometry, lookup, relational, search, sections
 from ..streaming import incremental
+from . import candidates, drafts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -686,6 +687,111 @@ def progression_rebuild(spark, d):
     return e.select("vec_id", rebuild(anchors).alias("row")).filter("row is not null").select("vec_id", F.array_join(F.transform("row", lambda v: v.cast("string")), ",").alias("row"))
 
 
+# -- candidates, drafts, publication -----------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, a > 0 AND b >= a AND b - a + 1 <= 12 AS safe FROM (SELECT o_orderkey, o_orderkey % 20 AS a, o_orderkey % 20 + o_custkey % 20 - 2 AS b FROM orders)""")
+def source_span_gate(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 20).alias("a"), (F.col("o_orderkey") % 20 + F.col("o_custkey") % 20 - 2).alias("b"))
+    return o.select("o_orderkey", drafts.safe_span("a", "b").alias("safe"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(c, '^[A-Z]{2,10}-[A-Z0-9]{1,4}$') THEN c ELSE '' END AS code FROM (SELECT p_partkey,
+ regexp_replace(regexp_replace(upper(p_brand), '[^A-Z0-9-]', '', 'g'), '^([A-Z]{2,6})([0-9]{1,3})$', '\\1-\\2') AS c FROM part)""")
+def identifier_validators(spark, d):
+    return table(spark, d, "part").select("p_partkey", facts.system_code("p_brand").alias("code"))
+
+
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'F', o_totalprice DESC, o_custkey % 7, o_orderkey) AS place FROM orders ORDER BY place LIMIT 50""")
+def processing_priority(spark, d):
+    o = table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").alias("problem"), F.col("o_totalprice").alias("link_confidence"), F.lit(0).alias("page_start"), (F.col("o_custkey") % 7).alias("page_end"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("code")
+    )
+    top = o.orderBy(*drafts.priority(F.col("problem"))).limit(50)
+    from pyspark.sql.window import Window
+
+    # Fifty rows are left by the top-k; their places need no more than one task.
+    return top.select("o_orderkey", F.row_number().over(Window.orderBy(*drafts.priority(F.col("problem")))).cast("long").alias("place"))
+
+
+@query("""WITH a AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS types, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_brand)
+SELECT p_brand AS code, lo || '-' || hi || ' ' || p_brand || ' ' || array_to_string(types[1:4], ' / ') || CASE WHEN len(types) > 4 THEN ' +' ELSE '' END AS title FROM a""")
+def report_title(spark, d):
+    apps = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set(F.struct(F.col("p_brand").alias("make"), F.col("p_type").alias("model"), F.col("p_size").alias("year_from"), F.col("p_size").alias("year_to")))).alias("a"))
+    return apps.select(F.col("p_brand").alias("code"), facts.title(F.col("p_brand"), F.col("a")).alias("title"))
+
+
+@query("""WITH s AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS code, s_acctbal, s_suppkey AS k FROM supplier),
+pub AS (SELECT code, 'new' AS body FROM s WHERE k % 3 = 0 AND s_acctbal > 0), blocked AS (SELECT code FROM s WHERE k % 3 = 1 AND s_acctbal < 4000)
+SELECT code, body FROM pub UNION ALL SELECT code, 'old' FROM s WHERE k % 2 = 0 AND code NOT IN (SELECT code FROM blocked) AND code NOT IN (SELECT code FROM pub)""")
+def export_retained(spark, d):
+    s = table(spark, d, "supplier").select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("code"), "s_acctbal", F.col("s_suppkey").alias("k"))
+    none, bad = F.array().cast("array<string>"), F.array(F.lit("a fact is missing"))
+    row = lambda df, status, issues, body: df.select("code", F.lit(True).alias("verified"), issues.alias("issues"), F.lit(status).alias("status"), F.lit(body).alias("body"))
+    existing = row(s.filter("k % 2 = 0"), "published", none, "old")
+    current = row(s.filter("k % 3 = 0 and s_acctbal > 0"), "published", none, "new").unionByName(row(s.filter("k % 3 = 1 and s_acctbal < 4000"), "rejected", bad, "no"))
+    return drafts.export_seed(existing, current).select("code", "body")
+
+
+@query(f"""WITH {APPL}, sys AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS code, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY make, model, year ORDER BY year_to - year_from, year_from, year_to, code) AS k FROM cand WHERE covered)
+SELECT make, model, year, r.code, '{{"found":true,"report_id":"' || lower(r.code) || '","title":"' || year_from || '-' || year_to || ' ' || make || ' ' || model || '","at_a_glance":[{{"label":"Nation","value":"' || n_name
+ || '"}}],"vehicle":{{"make":"' || make || '","model":"' || model || '","year_from":' || year_from || ',"year_to":' || year_to || ',"system_code":"' || r.code || '"}}}}' AS payload FROM r JOIN sys ON r.code = sys.code WHERE k = 1""")
+def preview_payload(spark, d):
+    apps = applications(spark, d)
+    s, n = table(spark, d, "supplier").filter("s_acctbal > 0"), table(spark, d, "nation")
+    systems = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("code"), "n_name", F.lit("-").alias("blank"))
+    return drafts.preview(lookup.exact(requests(apps), apps), systems, [("n_name", "Nation"), ("blank", "Blank")])
+
+
+@query("""SELECT 'Brand ' || substring(p_brand, 7) AS make, p_type AS model, 1998 AS year_from, 2002 AS year_to, 'Key' AS system_type, 'AB-' || CAST(p_size AS VARCHAR) AS system_code, p_brand AS source_document, CAST(p_size AS INTEGER) AS source_page, CAST(0.55 AS DOUBLE) AS confidence FROM part""")
+def toc_line_candidates(spark, d):
+    line = F.concat("p_type", F.lit("  1998-02 Key  AB-"), F.col("p_size").cast("string"), F.lit(" 7"))
+    pages = table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.collect_list(line).alias("l"))
+    text_ = F.concat(F.lit("BRAND "), F.substring("p_brand", 7, 9), F.lit("\n"), F.array_join("l", "\n"))
+    return candidates.from_toc_lines(pages.select(F.col("p_brand").alias("document"), F.col("p_size").alias("page_number"), text_.alias("text")))
+
+
+@query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderkey % 60 AS e FROM orders), r AS (SELECT o_orderkey, y, CASE WHEN 1900 + e < y THEN 2000 + e ELSE 1900 + e END AS t FROM o WHERE y < 2000
+ UNION ALL SELECT o_orderkey, y, CASE WHEN 2000 + e < y THEN 2100 + e ELSE 2000 + e END FROM o WHERE y >= 2000)
+SELECT o_orderkey, CASE WHEN t <= 2035 AND t - y <= 50 THEN CAST(y AS INTEGER) END AS year_from, CASE WHEN t <= 2035 AND t - y <= 50 THEN CAST(t AS INTEGER) END AS year_to FROM r""")
+def year_range_lenient(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("a"), F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0").alias("b"))
+    r = years.lenient("a", "b")
+    return o.select("o_orderkey", r["year_from"].alias("year_from"), r["year_to"].alias("year_to"))
+
+
+@query("""SELECT o_orderkey, CAST(2000 + o_orderkey % 30 AS INTEGER) AS year_from, CAST(2000 + o_custkey % 30 AS INTEGER) AS year_to FROM orders""")
+def year_range_century(spark, d):
+    two = lambda c: F.lpad((F.col(c) % 30).cast("string"), 2, "0")
+    r = years.century_optional(F.concat(two("o_orderkey"), F.lit("-"), two("o_custkey")))
+    return table(spark, d, "orders").select("o_orderkey", r["year_from"].alias("year_from"), r["year_to"].alias("year_to"))
+
+
+@query("""SELECT l_orderkey, string_agg(l_linenumber || '=.' || lpad(CAST(q AS VARCHAR), 3, '0'), ',' ORDER BY l_linenumber) AS depths FROM (SELECT l_orderkey, l_linenumber, max(CAST(l_quantity AS INTEGER)) AS q FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey""")
+def depth_map(spark, d):
+    entry = F.concat(F.col("l_linenumber").cast("string"), F.lit(" = ."), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(entry)), " ").alias("t"))
+    parts = F.transform(F.array_sort(F.map_entries(facts.depth_table("t"))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("l_orderkey", F.array_join(parts, ",").alias("depths"))
+
+
+@query()
+def section_drafts(spark, d):
+    """Lines of documents as pages, split, drafted and gated; their status counts."""
+    pages = _line_pages(spark, d)
+    secs, found = candidates.build(pages, {"Ford": ["Focus"]}, {"AB": "Ford"})
+    gated = drafts.gate(drafts.draft(secs, found).withColumn("verified", F.lit(False)))
+    return gated.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'make' AS section, p_brand AS key, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'prefix', split_part(p_type, ' ', 1), count(*) FROM part GROUP BY 2
+UNION ALL SELECT 'flags', 'low confidence', count(*) FROM part WHERE p_size / 50.0 < 0.65 UNION ALL SELECT 'flags', 'suspicious', count(*) FROM part WHERE length(p_name) NOT BETWEEN 2 AND 45""")
+def parser_quality(spark, d):
+    c = table(spark, d, "part").select(F.col("p_brand").alias("make"), F.col("p_name").alias("model"), F.replace("p_type", F.lit(" "), F.lit("-")).alias("system_code"), (F.col("p_size") / 50.0).alias("confidence"))
+    return candidates.quality_report(c)
+
+
 # -- extensions: the reference has none of these ---------------------------------------------
 
 
