@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Chunks (white-space separated strings) whose encoding a worker keeps, in two generations.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 150_000
 NO_RANK = np.int64(2**62)
 #: Split by str.split() but no white space to the vocabulary's pattern.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -196,11 +196,16 @@ class WordBpe:
         return out
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
+@lru_cache(maxsize=1)
+def _load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def load(path: str) -> WordBpe:
+    common.hold_cache("bpe", _load.cache_clear)
+    return _load(path)
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` array<int>: the ids of ``text``; null counts as empty.
 

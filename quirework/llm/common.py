@@ -82,6 +82,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+_holder: list = [None, None]
+
+
+def hold_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Say that ``owner`` keeps things in this worker from now on; whoever did before lets go.
+
+    Workers outlive stages, so without this the caches of all operators would add up.
+    """
+    if _holder[0] != owner:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = [owner, clear]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -34,7 +34,7 @@ LEADER_ORDERS = 8
 COMPONENT_TURNS, TURN_ORDERS = 1, 61
 #: Of consecutive size bands; a little over 100 / PERCENT, so that linked sets are at most one band apart.
 BAND_RATIO = 1.26
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Rows of two numbers up to which a side is broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -54,6 +54,7 @@ _words = _WordHashes()
 
 def shingle_set(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
+    common.hold_cache("shingles", _words.clear)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space alone
     n = len(words)
     if n == 0:

@@ -67,11 +67,16 @@ class PieceCounter:
         return [sum([pieces[w] * n for w, n in d.items()]) for d in documents]
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> PieceCounter:
+@lru_cache(maxsize=1)
+def _load(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+def load(path: str) -> PieceCounter:
+    common.hold_cache("token counts", _load.cache_clear)
+    return _load(path)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFrame:
     """Per row: doc_id, n_bytes of UTF-8, n_tokens, over_limit (n_tokens > ``limit``).
 

@@ -77,11 +77,16 @@ class LibraryEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> LibraryEncoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def encoder(path: str) -> LibraryEncoder:
+    common.hold_cache("token files", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def _frame(bucket: int, seq: int, offset: int, docs: list, parts: list[bytes]) -> pa.RecordBatch:
     lengths = [len(p) // 4 for p in parts]
     frame = range_coder.encode(np.frombuffer(b"".join(parts), dtype="<u4"))
@@ -143,6 +148,7 @@ def read(spark, path: str) -> DataFrame:
     placed = frames.join(F.broadcast(base), "bucket").select((F.col("base") + F.col("offset")).alias("start"), "doc_ids", "lengths", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.hold_cache("frames", lambda: None)
         for batch in batches:
             for i in range(batch.num_rows):
                 start, docs, lengths, frame = (batch.column(k)[i].as_py() for k in range(4))
