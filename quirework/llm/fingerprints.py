@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 16, 64, 256
-#: A boundary needs the hash below these: one in 256 bytes before the normal size, one in 16 after.
-STRICT, LOOSE = np.uint32(1 << 24), np.uint32(1 << 28)
-#: Bytes of a digest and of a length in a fingerprint.
-DIGEST_BYTES, RECORD_BYTES = 6, 8
+MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 8, 32, 128
+#: A boundary needs the hash below these: one in 128 bytes before the normal size, one in 8 after.
+STRICT, LOOSE = np.uint32(1 << 25), np.uint32(1 << 29)
+#: Bytes of a digest in a fingerprint; one more holds the length.
+DIGEST_BYTES = 5
 
 GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear %d" % i).digest()[:4] for i in range(256)), dtype="<u4")
 
@@ -75,7 +75,7 @@ def chunk_weights(text: str) -> dict[bytes, int]:
 
 def fingerprint(weights: dict[bytes, int]) -> str:
     """The digests in order, each with its length, in base 64."""
-    return base64.b64encode(b"".join([d + weights[d].to_bytes(2, "big") for d in sorted(weights)])).decode("ascii")
+    return base64.b64encode(b"".join([d + weights[d].to_bytes(1, "big") for d in sorted(weights)])).decode("ascii")
 
 
 def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
