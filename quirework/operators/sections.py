@@ -7,7 +7,10 @@ back by page range.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,9 +84,8 @@ def _inferred(row, current: str) -> str:
     return ""
 
 
-def walk(pages: pd.DataFrame) -> pd.DataFrame:
-    """Sections of one document."""
-    rows = list(pages.sort_values("page_number").itertuples(index=False))
+def walk(rows: Sequence) -> list[list]:
+    """Sections of one document, whose pages come in order."""
     done: list[list] = []
     open_: list | None = None  # document, code, start, end, shared
 
@@ -115,14 +117,38 @@ def walk(pages: pd.DataFrame) -> pd.DataFrame:
         open_ = [row.document, code, start, None, shared]
     if rows:
         close(rows[-1].page_number)
-    out = pd.DataFrame(done, columns=["document", "code", "page_start", "page_end", "first_page_shared"])
-    out["confidence"] = 0.6
-    return out.astype({"page_start": "int64", "page_end": "int64", "first_page_shared": "bool"})
+    return done
+
+
+def _walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents one after the other; only one document's features are held."""
+    held: list = []
+    for batch in batches:
+        Page = namedtuple("Page", batch.schema.names)  # noqa: N806
+        done: list[list] = []
+        for row in map(Page._make, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if held and held[0].document != row.document:
+                done += walk(held)
+                held = []
+            held.append(row)
+        if done:
+            yield _batch(done)
+    if held and (done := walk(held)):
+        yield _batch(done)
+
+
+def _batch(done: list[list]) -> pa.RecordBatch:
+    document, code, start, end, shared = zip(*done, strict=True)
+    columns = [pa.array(document, pa.string()), pa.array(code, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(shared, pa.bool_()), pa.array([0.6] * len(done), pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def split_sections(features: DataFrame) -> DataFrame:
-    """Sections of all documents: document, code, page_start, page_end, first_page_shared, confidence."""
-    return features.groupBy("document").applyInPandas(walk, OUTPUT)
+    """Sections of all documents: document, code, page_start, page_end, first_page_shared, confidence.
+
+    Pages are dealt out by document and sorted, then walked as they stream by.
+    """
+    return features.repartition("document").sortWithinPartitions("document", "page_number").mapInArrow(_walk_all, OUTPUT)
 
 
 def section_texts(sections: DataFrame, pages: DataFrame, document: str = "document", page: str = "page_number", text: str = "text") -> DataFrame:
