@@ -131,3 +131,19 @@ def bounded_table(table: Column, count: int, low: float, high: float) -> Column:
     """Whether every entry has a position in 1..12 and a value in the bounds, and there are enough."""
     ok = F.forall(F.map_entries(table), lambda e: F.coalesce(e["key"].try_cast("int").between(1, 12) & e["value"].try_cast("double").between(low, high), F.lit(False)))
     return (F.size(table) >= count) & ok
+
+
+RESPONSE = "output_text string, output array<struct<content:array<struct<type:string,text:string>>>>"
+
+
+def response_text(x: Column) -> Column:
+    """The text of a model response kept as JSON: its own field, else the text parts joined; null if there is none."""
+    r = F.from_json(x, RESPONSE)
+    parts = F.flatten(F.transform(r["output"], lambda o: F.coalesce(F.filter(o["content"], lambda c: c["type"].isin("output_text", "text") & (F.coalesce(c["text"], F.lit("")) != "")), F.array().cast("array<struct<type:string,text:string>>"))))
+    joined = F.trim(F.array_join(F.transform(parts, lambda c: c["text"]), "\n"))
+    return F.when(r["output_text"].isNotNull(), F.trim(r["output_text"])).when(joined != "", joined)
+
+
+def search_blob(*parts: Column) -> Column:
+    """Strings as they are and everything else as JSON, joined by blanks, nulls left out."""
+    return F.concat_ws(" ", *parts)

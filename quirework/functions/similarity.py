@@ -51,6 +51,22 @@ def canonicalize(df: DataFrame, vocabulary: Mapping[str, Sequence[str]], key: st
     return df.join(scored, (F.coalesce(col(key), F.lit("")) == scored["_k"]) & (F.coalesce(col(name), F.lit("")) == scored["_n"]), "left").drop("_k", "_n")
 
 
+def display_names(df: DataFrame, vocabulary: Mapping[str, Sequence[str]], key: str, name: str, suspicious: Column) -> DataFrame:
+    """``df`` with display: the canonical name where the key is known or the name suspicious, empty if none fits; else the name.
+
+    The key is compared as it is written.
+    """
+    known = F.coalesce(F.col(key), F.lit("")).isin(*vocabulary) if vocabulary else F.lit(False)
+    scored = canonicalize(df.withColumn("_checked", known | F.coalesce(suspicious, F.lit(False))), vocabulary, key, name)
+    shown = F.when(F.col("_checked"), F.when(F.col("score") >= ACCEPT, F.col("canonical")).otherwise("")).otherwise(F.col(name))
+    return scored.withColumn("display", shown).drop("_checked", "canonical", "score")
+
+
+def decoder_fold(x: Column | str) -> Column:
+    """Upper case, I read as 1 and O as 0, letters and digits alone."""
+    return F.regexp_replace(F.translate(F.upper(col(x)), "IO", "10"), "[^A-Z0-9]+", "")
+
+
 def trigrams(x: Column | str) -> Column:
     """Distinct trigrams of the lower-cased words, each padded with two blanks before and one after."""
     words = F.filter(F.split(F.lower(col(x)), "[^a-z0-9]+"), lambda w: w != "")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import facts, text, years
-from ..operators import relational, sections
+from ..operators import geometry, relational, sections
 
 COLUMNS = ("make", "model", "year_from", "year_to", "system_type", "system_code", "source_document", "source_page", "confidence")
 #: How sure each way of finding an application is.
@@ -72,6 +72,32 @@ def from_toc_columns(pages: DataFrame) -> DataFrame:
     )
 
 
+def from_toc_words(words: DataFrame, makes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, page statistics) of word boxes of contents pages.
+
+    ``words``: document, page, page_width, text, left, top, width, height, confidence.
+    ``makes``: document, page, make, one row for each page that was to be read; a page without
+    words is reported as missing.
+    """
+    w = geometry.centres(words.withColumn("page_key", F.concat_ws(":", "document", "page")))
+    rows = geometry.row_columns(geometry.cluster_rows(w, "page_key"), "page_key", "page_width")
+    lines = geometry.cluster_rows(w, "page_key").groupBy("page_key", "row_no").agg(F.min("mid_y").alias("y"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda x: x["text"]), " ").alias("line"))
+    pages = makes.select("make", F.col("document").alias("source_document"), F.col("page").cast("int").alias("source_page"), F.concat_ws(":", "document", "page").alias("page_key"))
+    rows = rows.join(lines, ["page_key", "row_no"]).join(pages, "page_key")
+    model = F.when((F.col("model") != "") & years.strict("model").isNull() & ~F.lower("model").isin("model", "make"), F.col("model"))
+    rows = relational.carry_forward(rows, ["page_key"], ["row_no"], model, "current")
+    rows = rows.withColumn("r", years.strict(F.when(F.col("years") != "", F.col("years")).otherwise(F.col("line")))).filter(F.col("r").isNotNull() & F.col("current").isNotNull() & (F.col("section") != ""))
+    found = _named(
+        rows.select(
+            "make", F.col("current").alias("model"), "r.year_from", "r.year_to", text.detect_type(F.when(F.col("type") != "", F.col("type")).otherwise(F.col("line"))).alias("system_type"), text.section_code("section").alias("system_code"), "source_document", "source_page", "confidence"
+        )
+    )
+    counted = words.groupBy("document", "page").agg(F.count("*").alias("words"))
+    hits = found.groupBy(F.col("source_document").alias("document"), F.col("source_page").alias("page")).agg(F.count("*").alias("candidates"))
+    stats = makes.select("document", F.col("page").cast("int").alias("page")).join(counted, ["document", "page"], "left").join(hits, ["document", "page"], "left")
+    return found, stats.select("document", "page", "words", F.when(F.col("words").isNotNull(), F.coalesce("candidates", F.lit(0))).alias("candidates"), F.when(F.col("words").isNull(), "missing image").alias("error"))
+
+
 def header_chunks(secs: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Year ranges of a section's header with the text up to the next one: + year_from, year_to, model."""
     header = F.split(F.regexp_replace(F.substring(F.coalesce(raw, F.lit("")), 1, HEADER), "(?U)\\s+", " "), OPERATIONAL)[0]

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.functions import records, render, similarity, text, years
+from quirework.functions import images, records, render, similarity, text, years
 
 
 def values(spark, rows, **columns):
@@ -149,3 +149,28 @@ def test_rendering(spark):
     assert got["l"] == "<ul><li>x&lt;</li><li>y</li></ul>"
     assert got["r"] == '<table><tr><th>A</th></tr><tr><td>1</td></tr><tr><td><span class="empty-cell">-</span></td></tr></table>'
     assert got["p"] == "<td>-</td><td>x</td><td>-</td>" and got["none"] == "" and got["m"] == "<p>a</p><p>b&lt;</p>" and got["s"] == "'<a> & ''b'''"
+
+
+def test_image_decisions(spark):
+    df = spark.createDataFrame([("table", False, True), ("photo", True, True), ("photo", False, True), (None, None, None)], "k string, t boolean, e boolean")
+    got = [r["u"]["public_kind"] for r in df.select(images.use_of(F.col("k"), F.col("t"), F.col("e")).alias("u")).collect()]
+    assert got == ["structured_data", "structured_data", "procedure_image", "discard"]
+
+
+def test_boxes_and_ink(spark):
+    grid = [[255] * 10 for _ in range(10)]
+    for y in range(2, 6):
+        grid[y][3] = grid[y][7] = 0
+    df = spark.createDataFrame([((5, 5, 100, 90), 1000, 1000, grid, [(250, 250, 250), (200, 180, 170), (10, 10, 10)])], "b struct<x1:int,y1:int,x2:int,y2:int>, w int, h int, g array<array<int>>, p array<struct<r:int,g:int,b:int>>")
+    r = df.select(images.expand_box(F.col("b"), F.col("w"), F.col("h"), 10).alias("e"), images.plausible_box(F.col("b"), F.col("w"), F.col("h")).alias("ok"), images.ink(F.col("g"), 128).alias("i"), images.good_ink(F.col("g")).alias("good"), images.suppress_watermark(F.col("p")).alias("p"), images.has_cue(F.lit("Remove the lock"), ["lock"]).alias("cue")).first()
+    assert tuple(r["e"]) == (0, 0, 110, 100) and r["ok"] and tuple(r["i"]) == (0.08, 5, 4) and r["good"] and r["cue"]
+    assert [tuple(x) for x in r["p"]] == [(255, 255, 255), (255, 255, 255), (10, 10, 10)]
+
+
+def test_display_names_and_responses(spark):
+    df = spark.createDataFrame([("f", "Focsu"), ("f", "zzz"), ("g", "zzz"), ("g", "bad (")], "make string, model string")
+    got = {(r["make"], r["model"]): r["display"] for r in similarity.display_names(df, {"f": ["Focus"]}, "make", "model", text.suspicious_name("model")).collect()}
+    assert got == {("f", "Focsu"): "Focus", ("f", "zzz"): "", ("g", "zzz"): "zzz", ("g", "bad ("): ""}
+    rows = ['{"output_text": " hi "}', '{"output": [{"content": [{"type": "text", "text": "a"}, {"type": "image"}]}, {"content": [{"type": "output_text", "text": "b"}]}]}', "{}", "nope", None]
+    assert [r["v"] for r in values(spark, rows, v=records.response_text(F.col("c0")))] == ["hi", "a\nb", None, None, None]
+    assert values(spark, ["HU-io2"], v=similarity.decoder_fold("c0"))[0]["v"] == "HU102"

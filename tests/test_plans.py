@@ -113,3 +113,15 @@ def test_build_and_report(spark):
     stats = spark.createDataFrame([("d", 1, 30, 2, None), ("d", 2, 5, 1, None), ("d", 3, 30, None, None)], "document string, page int, words int, candidates int, error string")
     report = {(r["section"], r["key"]): r["n"] for r in candidates.quality_report(found, stats).collect()}
     assert report[("make", "Ford")] >= 2 and ("weak page", "d:2") in report and ("weak page", "d:3") in report and report[("flags", "low confidence")] >= 1
+
+
+def test_toc_words(spark):
+    def row(y, *cells):
+        return [("d", 1, 1000, t, float(x), float(y), 20.0, 10.0, 80.0) for x, t in cells]
+
+    words = row(0, (300, "Model")) + row(40, (250, "Focus"), (520, "2000-05"), (640, "Remote"), (750, "FO_1"), (900, "7")) + row(80, (520, "2006-08"), (750, "FO-2"))
+    df = spark.createDataFrame(words, "document string, page int, page_width int, text string, left double, top double, width double, height double, confidence double")
+    makes = spark.createDataFrame([("d", 1, "Ford"), ("d", 2, "Ford")], "document string, page int, make string")
+    found, stats = candidates.from_toc_words(df, makes)
+    assert sorted((r["model"], r["year_from"], r["system_type"], r["system_code"], r["confidence"]) for r in found.collect()) == [("Focus", 2000, "Remote", "FO-1", 0.8), ("Focus", 2006, "Key", "FO-2", 0.8)]
+    assert rows(stats) == [("d", 1, 8, 2, None), ("d", 2, None, None, "missing image")]
