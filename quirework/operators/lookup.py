@@ -48,25 +48,32 @@ def nearest(requests: DataFrame, applications: DataFrame) -> DataFrame:
     return _named(_first(_candidates(requests, applications).withColumn("covered", covered()), *nearest_order()), "covered")
 
 
-def tiered(requests: DataFrame, applications: DataFrame, published: DataFrame) -> DataFrame:
-    """Best-effort match in tiers: exact and published, any published, exact, nearest.
-
-    The first tier asks whether the one best covering row is published, not whether any is:
-    rows are ranked first and tested after.  ``published``: code, one row each.
+def tiered(requests: DataFrame, applications: DataFrame, published: DataFrame, display: str | None = None) -> DataFrame:
+    """Best-effort match in six tiers.
+
+    1 the best covering row of the raw model, if its system is published; 2 any published row
+    of the raw model; 3 the best covering row unpublished; 4 the nearest row whose ``display``
+    name is the requested model, if published; 5 any published row of that name; 6 the row of 4
+    unpublished, else the nearest of the raw model.  Tiers 1 and 4 rank first and test after: a
+    published row further down does not count there.  Without ``display`` (a column of
+    ``applications``) tiers 4 and 5 are empty.  ``published``: code.
     """
-    p = published.select(F.col("code").alias("_p")).distinct()
-    base = _candidates(requests, applications)
-    # A hint by size is left to the engine: the published codes may be many.
-    marked = base.join(p, base["code"] == p["_p"], "left").withColumn("is_published", F.col("_p").isNotNull()).drop("_p").withColumn("covered", covered())
     keys = [f"q_{c}" for c in REQUEST]
-    width = F.col("year_to") - F.col("year_from")
     tie = ("year_from", "year_to", "code")
-    exact_rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("covered"), 0).otherwise(1), width, *tie))
-    ranked = marked.withColumn("_exact", F.col("covered") & (exact_rank == 1))
-    tier = F.when(F.col("_exact") & F.col("is_published"), 1).when(F.col("is_published"), 2).when(F.col("_exact"), 3).otherwise(6)
-    best = ranked.withColumn("tier", tier)
-    order = Window.partitionBy(*keys).orderBy("tier", *nearest_order(), *tie)
-    return _named(best.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1"), "tier")
+    p = published.select(F.col("code").alias("_p")).distinct()
+    base = _candidates(requests, applications).withColumn("_raw", F.lit(True))
+    if display:
+        shown = applications.filter(F.col(display) != "").withColumn("model", F.col(display))
+        base = base.unionByName(_candidates(requests, shown).withColumn("_raw", F.lit(False)))
+    marked = base.join(p, base["code"] == p["_p"], "left").withColumn("_published", F.col("_p").isNotNull()).drop("_p").withColumn("covered", covered())
+    width = Window.partitionBy(*keys, "_raw").orderBy(F.when(F.col("covered"), 0).otherwise(1), F.col("year_to") - F.col("year_from"), *tie)
+    near = Window.partitionBy(*keys, "_raw").orderBy(*nearest_order(), *tie)
+    ranked = marked.withColumn("_exact", F.col("covered") & (F.row_number().over(width) == 1)).withColumn("_nearest", F.row_number().over(near) == 1)
+    raw = F.when(F.col("_exact") & F.col("_published"), 1).when(F.col("_published"), 2).when(F.col("_exact"), 3).otherwise(7)
+    named = F.when(F.col("_nearest") & F.col("_published"), 4).when(F.col("_published"), 5).when(F.col("_nearest"), 6)
+    tiers = ranked.withColumn("_tier", F.when(F.col("_raw"), raw).otherwise(named)).filter("_tier is not null")
+    best = Window.partitionBy(*keys).orderBy("_tier", *nearest_order(), *tie)
+    return _named(tiers.withColumn("tier", F.least("_tier", F.lit(6))).withColumn("_rank", F.row_number().over(best)).filter("_rank = 1"), "tier")
 
 
 def representative(applications: DataFrame) -> DataFrame:

@@ -42,6 +42,16 @@ def test_tiers_rank_first_and_test_after(spark, apps, published, expected):
     assert (far["code"], far["tier"]) == ("F-3", 6)
 
 
+@pytest.mark.parametrize("published, expected", [(["F-1"], ("F-1", 4)), (["F-3"], ("F-3", 5)), ([], ("F-1", 6)), (["R-1"], ("R-1", 2))])
+def test_tiers_of_display_names(spark, published, expected):
+    rows_ = [("Ford", "F0cus", 2000, 2005, "F-1", "Focus"), ("Ford", "Fokus", 2010, 2015, "F-3", "Focus")]
+    rows_ += [("Ford", "Focus", 1980, 1981, "R-1", "Focus")] if published == ["R-1"] else []
+    apps = spark.createDataFrame(rows_, "make string, model string, year_from int, year_to int, code string, display string")
+    p = spark.createDataFrame([(c,) for c in published], "code string")
+    got = lookup.tiered(ask(spark, ("Ford", "focus", 2004)), apps, p, "display").first()
+    assert (got["code"], got["tier"]) == expected
+
+
 def test_representative_and_intervals(spark, apps):
     extra = apps.unionByName(spark.createDataFrame([("Ford", "Ka", 2000, 2009, "F-1")], apps.schema))
     assert [r["model"] for r in lookup.representative(extra).filter("code = 'F-1'").collect()] == ["Ka"]
