@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Chunks (white-space separated strings) whose encoding a worker keeps, in two generations.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 250_000
 NO_RANK = np.int64(2**62)
 #: Split by str.split() but no white space to the vocabulary's pattern.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
