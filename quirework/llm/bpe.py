@@ -39,7 +39,8 @@ def byte_alphabet() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file with word-end symbols."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_chunks: int | None = None):
+        self.cache_chunks = cache_chunks
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -72,6 +73,9 @@ class WordBpe:
         #: The same by pre-token.
         self.coded: dict[str, tuple[str, str]] = {}
 
+    def bound(self) -> int:
+        return self.cache_chunks or CACHE_CHUNKS
+
     # -- merge rounds -------------------------------------------------------------------
 
     def merge(self, words: list[str]) -> list[list[int]]:
@@ -136,7 +140,7 @@ class WordBpe:
         if not chunks:
             return
         new, unknown, find, old = [], {}, self.words.findall, self.old
-        if len(self.coded) > CACHE_CHUNKS:
+        if len(self.coded) > self.bound():
             self.coded = {}
         coded = self.coded
         for chunk in chunks:
@@ -181,7 +185,7 @@ class WordBpe:
             for p in parts:
                 if not isinstance(p, str):
                     fresh.update(p)
-        if len(self.young) > CACHE_CHUNKS:
+        if len(self.young) > self.bound():
             self.old, self.young = self.young, {}
         self.learn(fresh - self.young.keys())
         young, out = self.young, []
@@ -197,13 +201,13 @@ class WordBpe:
 
 
 @lru_cache(maxsize=1)
-def _load(path: str) -> WordBpe:
-    return WordBpe(path)
+def _load(path: str, cache_chunks: int | None) -> WordBpe:
+    return WordBpe(path, cache_chunks)
 
 
-def load(path: str) -> WordBpe:
+def load(path: str, cache_chunks: int | None = None) -> WordBpe:
     common.hold_cache("bpe", _load.cache_clear)
-    return _load(path)
+    return _load(path, cache_chunks)
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -242,17 +246,17 @@ def decode(coded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "dec
     return common.map_batches(coded, run, schema)
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+def round_trip_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False, cache_chunks: int | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text.
 
     Null and empty texts have no tokens and the digest of the empty string; repeated rows
     give repeated results; columns besides doc_id and text are not read.  ``with_ids`` adds
-    the ids themselves, array<int>.
+    the ids themselves, array<int>; ``cache_chunks`` bounds what a worker keeps.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coded = load(vocabulary).encode_texts(batch.column(1).to_pylist())
+        coded = load(vocabulary, cache_chunks).encode_texts(batch.column(1).to_pylist())
         columns = [
             batch.column(0),
             pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in coded], type=pa.int64()),
