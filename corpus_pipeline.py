@@ -38,8 +38,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digests of the ids and of the decoded text."""
-    return bpe.round_trip_digests(docs, common.tokenizer_path(WORD_VOCABULARY), with_ids=True)
+    """Token ids of each document, and the digests of the ids and of the decoded text.
+
+    Executors come here with the heaps of four stages, so their workers keep less than usual.
+    """
+    return bpe.round_trip_digests(docs, common.tokenizer_path(WORD_VOCABULARY), with_ids=True, cache_chunks=100_000)
 
 
 STAGES = [
