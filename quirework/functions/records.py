@@ -111,10 +111,10 @@ def apply_rules(df: DataFrame, rules: DataFrame, text: str, fields: Sequence[str
     key = F.array(F.lit("*"), F.col(code)) if code else F.array(F.lit("*"))
     low = F.upper(F.coalesce(F.col(text), F.lit("")))
     # The tokens are tested where the texts are; only ids of fitting rules travel.
-    w = df.withColumn("_id", F.xxhash64(*df.columns)).withColumn("_up", low)
-    hits = w.select("_id", "_up", F.explode(key).alias("_c")).join(r, "_c").filter(F.forall("tokens", lambda t: F.contains(F.col("_up"), F.upper(t))))
-    best = hits.groupBy("_id").agg(*[F.min_by(f"_r_{f}", F.when(F.col(f"_r_{f}").isNotNull(), F.col("rule_id"))).alias(f"_b_{f}") for f in fields])
-    out = w.drop("_up").join(best, "_id", "left")
+    w = df.withColumn("__qw_id", F.xxhash64(*df.columns)).withColumn("__qw_up", low)
+    hits = w.select("__qw_id", "__qw_up", F.explode(key).alias("_c")).join(r, "_c").filter(F.forall("tokens", lambda t: F.contains(F.col("__qw_up"), F.upper(t))))
+    best = hits.groupBy("__qw_id").agg(*[F.min_by(f"_r_{f}", F.when(F.col(f"_r_{f}").isNotNull(), F.col("rule_id"))).alias(f"_b_{f}") for f in fields])
+    out = w.drop("__qw_up").join(best, "__qw_id", "left")
     for f in fields:
         out = out.withColumn(f, F.coalesce(F.col(f"_b_{f}"), F.col(f)))
     return out.select(*df.columns)
