@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ from .fingerprints import ordered_buckets
 END_ID = 1
 #: Ids of a frame to aim at: LANES blocks, which are coded together.
 FRAME_IDS = range_coder.LANES * range_coder.BLOCK_IDS
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
+LIBRARY_BATCH = 2_000
 
 _ROWS = "bucket int, seq int, offset long, n long, doc_ids array<long>, lengths array<long>, frame binary"
 
@@ -50,7 +52,11 @@ class LibraryEncoder:
         self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), LIBRARY_BATCH):  # the library's results are large until they are packed
+            part = texts[at : at + LIBRARY_BATCH]
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
