@@ -1,7 +1,8 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
 Of every window of consecutive line hashes the minimum is a fingerprint, so two documents
-that share a window share a fingerprint.  Each fingerprint is joined to its first occurrence
+that share a window share a fingerprint; so is every line and every pair of adjacent lines
+with enough words.  Each fingerprint is joined to its first occurrence
 in corpus order and the match is extended both ways along the lines around it.  Extended
 runs that are long enough are deleted from the later place.
 """
@@ -20,7 +21,7 @@ from . import common
 #: Window of the winnowing, and so the shortest run of lines that is surely found.
 WINDOW_LINES = 3
 #: A run is deleted if it has so many lines, or so many words.  A line with so many words is
-#: always a fingerprint.
+#: always a fingerprint, and so are two lines that have them together.
 MIN_LINES, MIN_WORDS = 3, 50
 #: Lines compared on either side of a fingerprint.  The next fingerprint of a longer run is no
 #: further away, and goes on from there.
@@ -43,6 +44,12 @@ def winnow(hashes: np.ndarray, window: int = WINDOW_LINES) -> np.ndarray:
     return np.unique(np.arange(n - w + 1) + w - 1 - views.argmin(axis=1))
 
 
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of every line hash with the next one."""
+    x = h.view(np.uint64)
+    return (x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2)).view(np.int64)
+
+
 def document_fingerprints(text: str | None) -> list[tuple]:
     """(hash, index among the lines that are not blank, line hashes before, after, words before, own, after)."""
     lines, solid = lines_of(text)
@@ -52,8 +59,11 @@ def document_fingerprints(text: str | None) -> list[tuple]:
     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
     words = [x.count(" ") + 1 for x in own]
     chosen = set(winnow(h).tolist()) | {i for i, n in enumerate(words) if n >= MIN_WORDS}
+    pairs = pair_hashes(h).tolist()
     h = h.tolist()
-    return [(h[i], i, h[max(0, i - REACH) : i][::-1], h[i + 1 : i + 1 + REACH], words[max(0, i - REACH) : i][::-1], words[i], words[i + 1 : i + 1 + REACH]) for i in sorted(chosen)]
+    # A pair's hash stands at its first line; the second one then is the first of the lines after.
+    marks = [(h[i], i) for i in sorted(chosen)] + [(pairs[i], i) for i in range(len(pairs)) if words[i] + words[i + 1] >= MIN_WORDS]
+    return [(x, i, h[max(0, i - REACH) : i][::-1], h[i + 1 : i + 1 + REACH], words[max(0, i - REACH) : i][::-1], words[i], words[i + 1 : i + 1 + REACH]) for x, i in marks]
 
 
 _FINGERPRINTS = "doc_id long, text_key long, hash long, at int, before array<long>, after array<long>, words_before array<int>, words int, words_after array<int>"
@@ -125,8 +135,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Lines are compared without white space at their ends; blank lines are passed over.  A
     match of a fingerprint with its first occurrence is extended while lines are equal; a run
     of at least MIN_LINES lines or MIN_WORDS words is deleted from the later place, so the
-    first occurrence of any run stays.  A run of WINDOW_LINES lines, or a line of MIN_WORDS
-    words, is found wherever its first occurrence has the same lines around it.  Null texts
+    first occurrence of any run stays.  A run of WINDOW_LINES lines is found wherever the
+    first occurrence of its fingerprint has the same lines around it; one or two lines of
+    MIN_WORDS words always are.  Null texts
     stay null, with no lines; a document whose lines are all repeated keeps an empty text.
     Rows equal in doc_id and text are one document and change alike.  Every other column
     stays (columns named like the new ones are replaced); an empty table gives no rows.

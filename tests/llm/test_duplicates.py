@@ -212,3 +212,14 @@ def test_a_long_line_goes_from_later_places_alone(spark):
     got = kept_lines(table(spark, rows))
     assert [" ".join(passage.split(" ")).strip() in x for x in (got[0], got[1], got[2])] == [True, False, False]
     assert len(got[1]) == len([x for x in rows[1][1].split("\n") if x.strip()]) - 1
+
+
+def test_two_lines_with_enough_words_go_from_later_places(spark):
+    r = random.Random(5)
+    line = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    rows = []
+    for i in range(40):
+        shared = [line(30), line(30)]
+        rows += [(2 * i + k, "\n".join([line(5), line(5), *shared, line(5), line(5)])) for k in (0, 1)]
+    got = kept_lines(table(spark, rows))
+    assert [len(got[d]) for d, _ in rows] == [6, 4] * 40
