@@ -1,10 +1,10 @@
-"""Removal of repeated runs of lines by winnowing over line hashes.
+"""Removal of repeated runs of lines by hashes of their shortest parts.
 
-Of every window of consecutive line hashes the minimum is a fingerprint, so two documents
-that share a window share a fingerprint; so is every line and every pair of adjacent lines
-with enough words.  Each fingerprint is joined to its first occurrence
-in corpus order and the match is extended both ways along the lines around it.  Extended
-runs that are long enough are deleted from the later place.
+A run is long enough by its lines or by its words, and then it is made of units: windows of
+MIN_LINES lines, and one or two adjacent lines with MIN_WORDS words.  Every unit is matched
+with its first occurrence in corpus order and deleted from the later places, so the lines
+deleted are those of all repeated runs.  A unit is its own context: a frequent line inside
+it has no part in what it is matched with.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ from pyspark.sql.types import LongType, StructType
 
 from . import common
 
-#: Window of the winnowing, and so the shortest run of lines that is surely found.
+#: Lines of a window, the shortest run that is deleted whatever its words.  Each window holds a
+#: minimum of its own hashes, so winnowing with this window would leave none of them out.
 WINDOW_LINES = 3
-#: A run is deleted if it has so many lines, or so many words.  A line with so many words is
-#: always a fingerprint, and so are two lines that have them together.
-MIN_LINES, MIN_WORDS = 3, 50
-#: Lines compared on either side of a fingerprint.  The next fingerprint of a longer run is no
-#: further away, and goes on from there.
+#: A run is deleted if it has so many lines, or so many words.
+MIN_LINES, MIN_WORDS = WINDOW_LINES, 50
+#: Not used here: reach of the extension in the weaker rule that the tests hold small tables against.
 REACH = WINDOW_LINES
 
+#: Multipliers of the line hashes of a unit.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
 
 def lines_of(text: str | None) -> tuple[list[str], list[int]]:
     """All lines, and the numbers of those that are not blank."""
@@ -34,80 +36,62 @@ def lines_of(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x and not x.isspace()]
 
 
-def winnow(hashes: np.ndarray, window: int = WINDOW_LINES) -> np.ndarray:
-    """Indices of the window minima, the rightmost of equal ones; of fewer lines the one minimum."""
-    n = len(hashes)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
-    w = min(window, n)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, w)[:, ::-1]
-    return np.unique(np.arange(n - w + 1) + w - 1 - views.argmin(axis=1))
-
-
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """A hash of every line hash with the next one."""
-    x = h.view(np.uint64)
-    return (x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(2)).view(np.int64)
+def unit_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` adjacent line hashes."""
+    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+    for k in range(n):
+        out += h[k : k + len(out)] * _ODD[k]
+    return out
 
 
-def document_fingerprints(text: str | None) -> list[tuple]:
-    """(hash, index among the lines that are not blank, line hashes before, after, words before, own, after)."""
+def document_units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last line of every unit, among the lines that are not blank."""
     lines, solid = lines_of(text)
-    if not solid:
-        return []
     own = [lines[i].strip() for i in solid]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), dtype=np.uint64, count=len(own)).view(np.int64)
-    words = [x.count(" ") + 1 for x in own]
-    chosen = set(winnow(h).tolist()) | {i for i, n in enumerate(words) if n >= MIN_WORDS}
-    pairs = pair_hashes(h).tolist()
-    h = h.tolist()
-    # A pair's hash stands at its first line; the second one then is the first of the lines after.
-    marks = [(h[i], i) for i in sorted(chosen)] + [(pairs[i], i) for i in range(len(pairs)) if words[i] + words[i + 1] >= MIN_WORDS]
-    return [(x, i, h[max(0, i - REACH) : i][::-1], h[i + 1 : i + 1 + REACH], words[max(0, i - REACH) : i][::-1], words[i], words[i + 1 : i + 1 + REACH]) for x, i in marks]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), dtype=np.uint64, count=len(own))
+    words = np.fromiter((x.count(" ") + 1 for x in own), dtype=np.int64, count=len(own))
+    hashes, firsts, lasts = [], [], []
+    for n in range(1, MIN_LINES + 1):
+        at = np.arange(max(0, len(own) - n + 1))
+        if n < MIN_LINES:
+            at = at[sum(words[k : k + len(at)] for k in range(n)) >= MIN_WORDS]
+        hashes.append(unit_hashes(h, n)[at])
+        firsts.append(at)
+        lasts.append(at + n - 1)
+    return np.concatenate(hashes).view(np.int64), np.concatenate(firsts), np.concatenate(lasts)
 
 
-_FINGERPRINTS = "doc_id long, text_key long, hash long, at int, before array<long>, after array<long>, words_before array<int>, words int, words_after array<int>"
+_UNITS = "doc_id long, text_key long, hash long, first int, last int"
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The fingerprints of every document with the lines around them."""
-    names = [c.split()[0] for c in _FINGERPRINTS.split(", ")]
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), longs, longs, ints, pa.int32(), ints]
+def units(docs: DataFrame) -> DataFrame:
+    """The units of every document."""
+    names = [c.split()[0] for c in _UNITS.split(", ")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         common.hold_cache("lines", lambda: None)
-        rows = [(d, k, *f) for d, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for f in document_fingerprints(t)]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        found = [document_units(t) for t in batch.column(2).to_pylist()]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        hashes, firsts, lasts = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes), pa.array(firsts.astype(np.int32)), pa.array(lasts.astype(np.int32))], names=names)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    return common.map_batches(keyed, run, _FINGERPRINTS)
-
-
-def _same(mine: str, first: str):
-    """How many lines in a row are equal, going away from the fingerprint."""
-    n = F.least(F.size(mine), F.size(first))
-    return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda i: (i >= n) | (F.try_element_at(mine, (i + 1).cast("int")) != F.try_element_at(first, (i + 1).cast("int"))))), F.lit(REACH))
+    return common.map_batches(keyed, run, _UNITS)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Per document with any: doc_id, text_key, runs (array of first and last index among its solid lines).
 
-    A later occurrence of a fingerprint is matched with the first one in the order of doc_id,
-    text_key and line.
+    A run is a unit whose first occurrence, in the order of doc_id, text_key and line, is
+    elsewhere.
     """
-    all_marks = fingerprints(docs)
-    place = F.struct("doc_id", "text_key", "at")
-    firsts = all_marks.groupBy("hash").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "text_key", "at", "before", "after"), place).alias("f")).filter("n > 1")
-    # Written, so that the join below deals both sides anew and a frequent line can be split.
-    firsts = common.cut(firsts.select("hash", F.col("f.doc_id").alias("f_doc"), F.col("f.text_key").alias("f_key"), F.col("f.at").alias("f_at"), F.col("f.before").alias("f_before"), F.col("f.after").alias("f_after")), "firsts")
-    later = all_marks.join(firsts, "hash").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_key") == F.col("f_key")) & (F.col("at") == F.col("f_at"))))
-    later = later.withColumn("b", _same("before", "f_before")).withColumn("a", _same("after", "f_after"))
-    total = lambda c, n: F.aggregate(F.slice(c, 1, F.col(n)), F.lit(0), lambda s, x: s + x)
-    later = later.withColumn("run_words", F.col("words") + total("words_before", "b") + total("words_after", "a"))
-    runs = later.filter((F.col("a") + F.col("b") + 1 >= MIN_LINES) | (F.col("run_words") >= MIN_WORDS))
-    return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct((F.col("at") - F.col("b")).alias("first"), (F.col("at") + F.col("a")).alias("last")))).alias("runs"))
+    every = units(docs)
+    place = F.struct("doc_id", "text_key", "first")
+    firsts = every.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1")
+    # Written, so that the join below deals both sides anew and a frequent unit can be split.
+    firsts = common.cut(firsts.select("hash", F.col("f.doc_id").alias("f_doc"), F.col("f.text_key").alias("f_key"), F.col("f.first").alias("f_first")), "firsts")
+    later = every.join(firsts, "hash").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_key") == F.col("f_key")) & (F.col("first") == F.col("f_first"))))
+    return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def delete_runs(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int, int]:
@@ -133,11 +117,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from ``text``, and n_lines, n_removed, n_runs.
 
     Lines are compared without white space at their ends; blank lines are passed over.  A
-    match of a fingerprint with its first occurrence is extended while lines are equal; a run
-    of at least MIN_LINES lines or MIN_WORDS words is deleted from the later place, so the
-    first occurrence of any run stays.  A run of WINDOW_LINES lines is found wherever the
-    first occurrence of its fingerprint has the same lines around it; one or two lines of
-    MIN_WORDS words always are.  Null texts
+    run of at least MIN_LINES lines or MIN_WORDS words that occurs at an earlier place of the
+    corpus is deleted, so the first occurrence of any run stays.  Null texts
     stay null, with no lines; a document whose lines are all repeated keeps an empty text.
     Rows equal in doc_id and text are one document and change alike.  Every other column
     stays (columns named like the new ones are replaced); an empty table gives no rows.

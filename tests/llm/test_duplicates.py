@@ -223,3 +223,38 @@ def test_two_lines_with_enough_words_go_from_later_places(spark):
         rows += [(2 * i + k, "\n".join([line(5), line(5), *shared, line(5), line(5)])) for k in (0, 1)]
     got = kept_lines(table(spark, rows))
     assert [len(got[d]) for d, _ in rows] == [6, 4] * 40
+
+
+def brute_runs(rows):
+    """Lines outside every run of enough lines or words that occurs at an earlier place."""
+    docs = sorted({(d, tuple(x.strip() for x in (t or "").split("\n") if x.strip())) for d, t in rows}, key=lambda k: (k[0] is not None, k[0] or 0))
+    seen, out = set(), {}
+    for d, lines in docs:
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = lines[i:j]
+                if j - i >= line_dedup.MIN_LINES or sum(x.count(" ") + 1 for x in run) >= line_dedup.MIN_WORDS:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out[d] = [x for i, x in enumerate(lines) if i not in gone]
+    return out
+
+
+def test_all_repeated_runs_go_also_around_frequent_lines(spark):
+    r = random.Random(6)
+    frequent = ["Les.", "All rights reserved.", " ".join(["long"] * 30), " ".join(["longest"] * 55)]
+    passages = [[f"p{k} line {i}" for i in range(r.randint(2, 6))] for k in range(12)]
+    rows = [(None, "\n".join(passages[0]))]
+    for d in range(60):
+        lines = []
+        for _ in range(r.randint(0, 6)):
+            lines += r.choice(passages)[r.randint(0, 1) :]
+            lines += r.choice([[], [r.choice(frequent)], [f"own {d} {r.random()}"], ["", "  "]])
+        rows.append((d, "\n".join(lines)))
+    rows.append(rows[-1])
+    assert kept_lines(table(spark, rows)) == brute_runs(rows)
+    one = ["first of three", "All rights reserved.", "third of three"]
+    rows = [(0, "a\nAll rights reserved.\nb"), (1, "\n".join(["c", *one, "d"])), (2, "\n".join(["e", *one, "f"]))]
+    assert kept_lines(table(spark, rows))[2] == ["e", "f"]
