@@ -64,7 +64,7 @@ def panel(title: str, content: Column) -> Column:
 
 def paragraphs(x: Column | str) -> Column:
     """Blank-line separated parts as <p>; blank parts go."""
-    parts = F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), "\\n\\n"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(col(x), F.lit("")), "\\n\\n"), lambda p: F.regexp_replace(p, "(?U)^\\s+|\\s+$", "")), lambda p: p != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), escape(p), F.lit("</p>"))), "")
 
 

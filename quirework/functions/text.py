@@ -121,7 +121,7 @@ def replace_all(x: Column | str, table: Mapping[str, str]) -> Column:
 
 def rewrite(x: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
     """White space to one blank, then pattern rules in order, without regard to case."""
-    out = F.regexp_replace(F.trim(col(x)), "(?U)\\s+", " ")
+    out = F.trim(F.regexp_replace(col(x), "(?U)\\s+", " "))
     for pattern, to in rules:
         out = F.regexp_replace(out, "(?iu)" + pattern, to)
     return out

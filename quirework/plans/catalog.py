@@ -390,6 +390,12 @@ def text_quality_score(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", text.quality_points("text").alias("points"))
 
 
+@query()
+def text_quality_score_whole(spark, d):
+    """Every row; the query before keeps to the rows of its SQL, as do the others with a whole one."""
+    return table(spark, d, "documents").select("doc_id", text.quality_points("text").alias("points"))
+
+
 @query(f"""WITH b AS (SELECT d.doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE lang = 'en'),
 p AS (SELECT *, {QUALITY.format('a')} AS pa, {QUALITY.format('b')} AS pb FROM b)
 SELECT doc_id, CASE WHEN 100 * pa >= 85 * pb AND length(a) > 80 THEN 'native' WHEN pb >= pa AND length(b) > 40 THEN 'scan' WHEN a <> '' THEN 'native' ELSE 'scan' END AS chosen FROM p WHERE a <> b""")
@@ -400,6 +406,14 @@ def choose_best_text(spark, d):
     return j.select("doc_id", F.when(text.choose_text("a", "b") == F.col("a"), "native").otherwise("scan").alias("chosen"))
 
 
+@query()
+def choose_best_text_whole(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
+    j = docs.join(b, F.pmod(docs["doc_id"], F.lit(40)) == b["item_id"], "left")
+    return j.select("doc_id", F.when(text.choose_text("a", "b") == F.coalesce("a", F.lit("")), "native").otherwise("scan").alias("chosen"))
+
+
 @query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderkey % 30 AS k FROM orders), s AS (SELECT o_orderkey, y, y + k AS e FROM o)
 SELECT o_orderkey, CASE WHEN e - y <= 50 AND e <= 2035 THEN CAST(y AS INTEGER) END AS year_from, CASE WHEN e - y <= 50 AND e <= 2035 THEN CAST(e AS INTEGER) END AS year_to FROM s""")
 def year_range_parse(spark, d):
@@ -450,6 +464,12 @@ def meaningful_lines(spark, d):
     return lines.filter(text.meaningful_line("line")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query()
+def meaningful_lines_whole(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(F.coalesce(text.meaningful_line("line"), F.lit(False))).alias("n"))
+
+
 #: Keyword rules of the analogue.
 KEYWORDS = (("license", "licensed"), ("@", "has an address"), ("the", "english"), ("und", "german"))
 
@@ -466,6 +486,11 @@ def rewrite_rules(spark, d):
     return docs.select("doc_id", text.rewrite("text", [("license", "permit"), ("version", "release")]).alias("rewritten"))
 
 
+@query()
+def rewrite_rules_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.rewrite("text", [("license", "permit"), ("version", "release")]).alias("rewritten"))
+
+
 @query("SELECT doc_id, sha256(text) AS key, substring(sha1(text), 1, 16) AS id FROM documents")
 def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.substring(F.sha1("text"), 1, 16).alias("id"))
@@ -637,6 +662,11 @@ def markdown_light(spark, d):
     return c.select("conv_id", "turn", render.paragraphs("text").alias("html"))
 
 
+@query()
+def markdown_light_whole(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", render.paragraphs("text").alias("html"))
+
+
 # -- sections and geometry -------------------------------------------------------------------
 
 
