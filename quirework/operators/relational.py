@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +65,27 @@ def budgeted_by_key(df: DataFrame, key: str, needs_work: Column, order: Sequence
     return joined.withColumn("status", F.when(~needs_work, "cached").when(F.col("_picked").isNotNull(), "run").otherwise("waiting")).drop("_picked")
 
 
+def places(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with the place of each row in a global order, from 1 on; the order must be total.
+
+    Rows are dealt out by ranges of the order and numbered within each; the counts of the ranges
+    before are added.  No task holds all rows; the driver gets one row a range.  Ranges are
+    drawn from a sample, so the dealt rows are written once and read by both uses.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # single-machine runs; a cluster sets spark.checkpoint.dir
+        context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "quirework-checkpoints"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before, offsets = 0, []
+    for r in sorted(dealt.groupBy("_range").count().collect()):
+        offsets.append((r["_range"], before))
+        before += r["count"]
+    held = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range int, _before long"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(held, "_range").withColumn(name, own + F.col("_before")).drop("_range", "_before")
+
+
 def monotone_run(values: Column, length: int) -> Column:
     """The first strictly descending run of ``length`` neighbours; null if none."""
     starts = F.when(F.size(values) >= length, F.sequence(F.lit(1), F.size(values) - length + 1)).otherwise(F.array().cast("array<int>"))

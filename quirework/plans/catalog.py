@@ -732,18 +732,27 @@ def identifier_validators(spark, d):
     return table(spark, d, "part").select("p_partkey", facts.system_code("p_brand").alias("code"))
 
 
-@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'F', o_totalprice DESC, o_custkey % 7, o_orderkey) AS place FROM orders ORDER BY place LIMIT 50""")
-def processing_priority(spark, d):
-    o = table(spark, d, "orders").select(
+def _priority_orders(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(
         "o_orderkey", (F.col("o_orderstatus") == "F").alias("problem"), F.col("o_totalprice").alias("link_confidence"), F.lit(0).alias("page_start"), (F.col("o_custkey") % 7).alias("page_end"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("code")
     )
-    top = o.orderBy(*drafts.priority(F.col("problem"))).limit(50)
+
+
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'F', o_totalprice DESC, o_custkey % 7, o_orderkey) AS place FROM orders ORDER BY place LIMIT 50""")
+def processing_priority(spark, d):
+    top = _priority_orders(spark, d).orderBy(*drafts.priority(F.col("problem"))).limit(50)
     from pyspark.sql.window import Window
 
     # Fifty rows are left by the top-k; their places need no more than one task.
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(*drafts.priority(F.col("problem")))).cast("long").alias("place"))
 
 
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus = 'F', o_totalprice DESC, o_custkey % 7, o_orderkey) AS place FROM orders""")
+def processing_priority_whole(spark, d):
+    """A place for every order; the query before gives the first fifty, as its SQL does."""
+    return relational.places(_priority_orders(spark, d), drafts.priority(F.col("problem")), "place").select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
 @query("""WITH a AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS types, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_brand)
 SELECT p_brand AS code, lo || '-' || hi || ' ' || p_brand || ' ' || array_to_string(types[1:4], ' / ') || CASE WHEN len(types) > 4 THEN ' +' ELSE '' END AS title FROM a""")
 def report_title(spark, d):

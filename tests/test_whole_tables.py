@@ -6,6 +6,7 @@ import re
 import pytest
 
 from quirework.functions import text
+from quirework.operators import relational
 from quirework.plans import catalog
 
 LETTERS = re.compile("[A-Za-z]")
@@ -57,3 +58,14 @@ def test_every_text_has_a_result(spark, folder):
     assert rows(spark, at, "markdown_light_whole") == {i: parts(t) for i, t in enumerate(texts)}
     others = {i: r[1] for i, r in enumerate(sorted(spark.read.parquet(f"{at}/benchmark.parquet").collect()))}
     assert rows(spark, at, "choose_best_text_whole") == {i: chosen(t, others.get(i)) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("n", ["1", "5"])
+def test_every_row_has_a_place(spark, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    df = spark.createDataFrame([(i, i * 37 % 11) for i in range(300)], "k long, v long")
+    got = {r["k"]: r["place"] for r in relational.places(df, ["v", "k"], "place").collect()}
+    empty = relational.places(df.limit(0), ["v", "k"], "place").count()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {k: p for p, (_, k) in enumerate(sorted((i * 37 % 11, i) for i in range(300)), 1)} and empty == 0
