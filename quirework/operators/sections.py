@@ -20,7 +20,26 @@ HEAD = 180
 #: What marks a page's part in a section.
 TECHNICAL_SIGNS = ("CODE SERIES", "SPACING", "DEPTHS", "DECODERS:", "LISHI:", "ACCUREADER:")
 CONTINUATION_SIGNS = ("CONTINUED", "PROGRAMMER & DIAGNOSTIC", "DIAGNOSTIC TOOLS", "CHIP INFORMATION")
-BOUNDARY_SIGNS = ("TABLE OF CONTENTS", "CUT PROGRESSION CHART", "PROGRESSION CHART", "PROGRAM GRID", "ANTI-SCAN MODE")
+BOUNDARY_SIGNS = (
+    "TABLE OF CONTENTS",
+    "TAЫLE OF CONTENTS",
+    "ТАЫЕ OF CONTENTS",
+    "ON-BOARD TRANSPONDER PROGRAMMING",
+    "PROXIMITY PROGRAMMING INSTRUCTIONS",
+    "CUT PROGRESSION CHART",
+    "PASSLOCK",
+    "VATS",
+    "THE EVOLUTION OF THE LEXUS",
+    "PROGRAM GRID",
+    "MISC INFO - LEXUS",
+    "TOYOTA CODE SERIES M.A.C.S.",
+    "NATIONAL AUTO LOCK SERVICE",
+    "TRANSPONDER INFORMATION - FORD",
+    "ACURA - HONDA - TRANSPONDER INFORMATION",
+    "PROGRESSION CHART",
+    "ANTI-SCAN MODE",
+)
+BOUNDARY_PATTERN = "ACURA\\s*-?\\s*HON\\s*DA?\\s*-?\\s*TRANSPONDER INFORMATION"
 COVER_SIGNS = ("CODES", "STYLE", "CARD", "MACS", "STARTCUT", "CUTTOCUT", "AIRBAGS", "IGNRETAINER")
 SECTION_CODE = "\\b([A-Z]{2,5}-[A-Z0-9]{1,4})\\s+SECTION\\b"
 
@@ -47,7 +66,7 @@ def page_features(pages: DataFrame, document: str = "document", page: str = "pag
         F.col(document).cast("string").alias("document"),
         F.col(page).cast("long").alias("page_number"),
         F.coalesce(found, F.lit("")).alias("code"),
-        _any(up, boundary).alias("boundary"),
+        (_any(up, boundary) | F.rlike(up, F.lit(BOUNDARY_PATTERN))).alias("boundary"),
         _any(head, CONTINUATION_SIGNS).alias("continuation"),
         (technical >= 2).alias("technical"),
         F.contains(up, F.lit("CONTINUED")).alias("continued"),

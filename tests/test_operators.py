@@ -258,3 +258,9 @@ def test_windows_of_a_stream_equal_the_batch(spark, small, tmp_path):
     q.awaitTermination()
     key = lambda d: sorted((str(r["window_start"]), r["event_type"], r["n"], round(r["total"], 4)) for r in d.collect())
     assert key(spark.table("tumble")) == key(incremental.tumbling(events, "1 day"))
+
+
+@pytest.mark.parametrize("page", ["Passlock", "VATS", "Misc Info - Lexus", "National Auto Lock Service", "Toyota code series M.A.C.S.", "Acura Hon da transponder information", "On-board transponder programming", "ТАЫЕ of contents"])
+def test_boundary_pages_end_a_section(spark, page):
+    df = spark.createDataFrame([("d", 1, "AB-1 SECTION"), ("d", 2, page), ("d", 3, "after")], "document string, page_number int, text string")
+    assert [(r["page_start"], r["page_end"]) for r in sections.split_sections(sections.page_features(df)).collect()] == [(1, 1)]
