@@ -23,6 +23,8 @@ from . import common
 MIN_CHUNK, NORMAL_CHUNK, MAX_CHUNK = 8, 32, 128
 #: A boundary needs the hash below these: one in 128 bytes before the normal size, one in 8 after.
 STRICT, LOOSE = np.uint32(1 << 25), np.uint32(1 << 29)
+#: Text bytes of a range of documents to aim at, ranges looked at for each, and ranges up to which their first rows are broadcast.
+BUCKET_BYTES, FINE, BROADCAST_BUCKETS = 128 << 20, 4, 100_000
 #: Bytes of a digest in a fingerprint; one more holds the length.
 DIGEST_BYTES = 5
 
@@ -101,27 +103,62 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fingerprint string, n_chunks long")
 
 
+def _bounds(sizes: DataFrame, spark) -> tuple[list[int], int]:
+    """Upper bounds of doc_id of all buckets but the last, and the number of buckets.
+
+    ``sizes`` has k (doc_id, null as the least) and bytes.  Approximate quantiles cut it into
+    FINE ranges a bucket, whose bytes are summed; neighbours are joined up to the aim.  The
+    driver gets a few numbers a bucket.
+    """
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    if parts == 1:
+        return [], 1
+    fine = sorted(set(sizes.approxQuantile("k", [i / (FINE * parts) for i in range(1, FINE * parts)], 0.2 / (FINE * parts))))
+    edges = [int(x) for x in fine]
+    held = sizes.groupBy(_range_of(F.col("k"), edges).alias("r")).agg(F.sum("bytes").alias("bytes")).collect()
+    in_range = {r["r"]: r["bytes"] for r in held}
+    bounds, filled, aim = [], 0, total / parts
+    for i, edge in enumerate(edges):
+        filled += in_range.get(i, 0)
+        if filled + in_range.get(i + 1, 0) / 2 >= aim:
+            bounds.append(edge)
+            filled = 0
+    return bounds, len(bounds) + 1
+
+
+def _range_of(k, edges: list[int]):
+    """Number of ``edges`` (ascending) below ``k``, looked up in two steps so that many edges cost little."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, int(len(edges) ** 0.5))
+    whole = F.array(*[F.lit(x) for x in edges]).cast("array<long>")
+    heads = F.array(*[F.lit(x) for x in edges[::step]]).cast("array<long>")
+    below = F.size(F.filter(heads, lambda e: e < k))  # heads below k; the answer lies in the slice of the last one
+    at = F.greatest(below - 1, F.lit(0)) * step
+    return (at + F.size(F.filter(F.slice(whole, at + 1, step), lambda e: e < k))).cast("int")
+
+
 def ordered_buckets(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) in ranges of doc_id, one a bucket, each followed by the first row of the next.
+    """``docs`` (doc_id, text) in ranges of doc_id, one a partition, each followed by the first row of the next.
 
-    Bucket bounds are approximate quantiles, as many as shuffle partitions; they decide the
-    balance, never the result.  The range of each bucket ends with a row ``tail`` = 1: the
-    first document after it, for the last bucket the first of all.
+    Ranges hold about BUCKET_BYTES of text, or less where that gives more tasks; they decide
+    the balance, never the result.  Each ends with a row ``tail`` = 1: the first document after
+    it, for the last range the first of all.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select("doc_id")
-    bounds = sorted(set(ids.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    edges = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<long>") if bounds else F.array().cast("array<long>")
-    bucket = F.size(F.filter(edges, lambda e: e < F.col("doc_id"))) if bounds else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)
-    firsts = ids.select(bucket.alias("bucket"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).groupBy("bucket").agg(F.min("k").alias("k")).orderBy("bucket").collect()  # a row a bucket
+    least = F.lit(-(2**63))
+    sizes = docs.select(F.coalesce("doc_id", least).alias("k"), F.octet_length("text").cast("long").alias("bytes"))
+    bounds, parts = _bounds(sizes, spark)
+    bucket = _range_of(F.coalesce("doc_id", least), bounds)
+    firsts = docs.select(bucket.alias("bucket"), F.coalesce("doc_id", least).alias("k")).groupBy("bucket").agg(F.min("k").alias("k")).orderBy("bucket").collect()  # a row a bucket
     tails = [(firsts[(i + 1) % len(firsts)]["k"], r["bucket"]) for i, r in enumerate(firsts)]
     tails = spark.createDataFrame(tails, "_first long, _bucket int")
-    rows = docs.select("doc_id", "text", bucket.cast("int").alias("bucket"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"))
-    extra = rows.join(F.broadcast(tails), rows["_k"] == tails["_first"]).select("doc_id", "text", F.col("_bucket").alias("bucket"), F.lit(1).alias("tail"))
+    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.coalesce("doc_id", least).alias("_k"))
+    side = F.broadcast(tails) if len(firsts) <= BROADCAST_BUCKETS else tails
+    extra = rows.join(side, rows["_k"] == tails["_first"]).select("doc_id", "text", F.col("_bucket").alias("bucket"), F.lit(1).alias("tail"))
     both = rows.select("doc_id", "text", "bucket", F.lit(0).alias("tail")).unionByName(extra)
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    return both.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
