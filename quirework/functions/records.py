@@ -100,6 +100,10 @@ def position_row(label: Column, positions: Column, columns: int) -> Column:
     return F.concat(F.array(label), F.transform(F.sequence(F.lit(1), F.lit(columns)), lambda i: F.when(F.array_contains(positions, i), F.lit("filled")).otherwise(F.lit(""))))
 
 
+#: Rules that are broadcast; more are joined by their code.
+RULES_AT_ONCE = 20_000
+
+
 def apply_rules(df: DataFrame, rules: DataFrame, text: str, fields: Sequence[str], code: str | None = None) -> DataFrame:
     """Overlay constants where a rule fits: its code is the row's (null: any) and all its tokens occur in the text.
 
@@ -107,12 +111,16 @@ def apply_rules(df: DataFrame, rules: DataFrame, text: str, fields: Sequence[str
     rules that fit, the first by rule_id that sets a field wins; the row's own value yields to
     it.  Each row meets the rules of its code alone, by an equi-join over code or 'any'.
     """
+    # Without a code every row meets every rule, so the rules go to the rows; their number is checked.
+    count = rules.count()
+    if code is None and count > RULES_AT_ONCE:
+        raise ValueError(f"{count} rules without a code to find them by; at most {RULES_AT_ONCE}")
     r = rules.select("rule_id", F.coalesce("code", F.lit("*")).alias("_c"), "tokens", *[F.col(f).alias(f"_r_{f}") for f in fields])
     key = F.array(F.lit("*"), F.col(code)) if code else F.array(F.lit("*"))
     low = F.upper(F.coalesce(F.col(text), F.lit("")))
     # The tokens are tested where the texts are; only ids of fitting rules travel.
     w = df.withColumn("__qw_id", F.xxhash64(*df.columns)).withColumn("__qw_up", low)
-    hits = w.select("__qw_id", "__qw_up", F.explode(key).alias("_c")).join(r, "_c").filter(F.forall("tokens", lambda t: F.contains(F.col("__qw_up"), F.upper(t))))
+    hits = w.select("__qw_id", "__qw_up", F.explode(key).alias("_c")).join(F.broadcast(r) if count <= RULES_AT_ONCE else r, "_c").filter(F.forall("tokens", lambda t: F.contains(F.col("__qw_up"), F.upper(t))))
     best = hits.groupBy("__qw_id").agg(*[F.min_by(f"_r_{f}", F.when(F.col(f"_r_{f}").isNotNull(), F.col("rule_id"))).alias(f"_b_{f}") for f in fields])
     out = w.drop("__qw_up").join(best, "__qw_id", "left")
     for f in fields:

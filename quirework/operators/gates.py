@@ -46,8 +46,9 @@ def latest_jobs(log: DataFrame, now: str, job: str = "job", at: str = "at", stat
 
 
 def keep_latest(log: DataFrame, group: Sequence[str], order: str, n: int) -> DataFrame:
-    """The last ``n`` entries of each group."""
-    w = Window.partitionBy(*group).orderBy(F.desc(order))
+    """The last ``n`` entries of each group; of equal ones those with the greater values of the other columns, in column order."""
+    rest = [F.desc(c) for c in log.columns if c != order and c not in group]
+    w = Window.partitionBy(*group).orderBy(F.desc(order), *rest)
     return log.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 

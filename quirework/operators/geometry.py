@@ -52,11 +52,11 @@ def cluster_rows(words: DataFrame, page: str = "page") -> DataFrame:
 
 
 def row_columns(words: DataFrame, page: str, page_width: str, columns: dict[str, tuple[float, float]] = TOC_COLUMNS) -> DataFrame:
-    """Per page and row: the words of each column joined from left to right, and the mean confidence."""
-    placed = words.withColumn("column", column_of(F.col("mid_x") / F.col(page_width), columns))
+    """Per page and row: the words of each column joined from left to right as text_<column>, and the mean confidence."""
+    placed = words.withColumn("__qw_column", column_of(F.col("mid_x") / F.col(page_width), columns))
     grouped = placed.groupBy(page, "row_no")
     texts = [
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == name, F.struct("left", "text")))), lambda w: w["text"]), " ").alias(name)
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__qw_column") == name, F.struct("left", "text")))), lambda w: w["text"]), " ").alias(f"text_{name}")
         for name in columns
     ]
     return grouped.agg(*texts, F.least(F.lit(0.95), F.greatest(F.lit(0.0), F.round(F.avg("confidence") / 100, 2))).alias("confidence"))
@@ -128,3 +128,14 @@ def expected_rows(texts: list[int], step: int, positions: int = 8, tolerance: in
         if row[-1] > 0 and sum(any(abs(a - v) <= tolerance for a in anchors) for v in row) >= least:
             return row
     return None
+
+
+def rebuilt_rows(df: DataFrame, anchors: str, step: int, positions: int = 8, tolerance: int = 4, least: int = 3) -> DataFrame:
+    """``df`` with row: expected_rows of the array ``anchors``, by array functions alone (null where there is none)."""
+    known = F.array_distinct(F.filter(anchors, lambda v: v.between(150, 1200) & (F.abs(v - step) > tolerance)))
+    places = F.sequence(F.lit(0), F.lit(positions - 1))
+    near = lambda first: F.size(F.filter(places, lambda i: F.exists("__qw_known", lambda a: F.abs(a - (first - i * step)) <= tolerance)))
+    fits = F.filter("__qw_known", lambda first: (first - step * (positions - 1) > 0) & (near(first) >= least))
+    best = F.array_max(fits) if 0 < step <= 250 else F.lit(None).cast("int")
+    out = df.withColumn("__qw_known", known).withColumn("__qw_best", best)
+    return out.withColumn("row", F.when(F.col("__qw_best").isNotNull(), F.transform(places, lambda i: F.col("__qw_best") - i * step))).drop("__qw_known", "__qw_best")

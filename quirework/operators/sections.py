@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.section_text import heading_code, page_text
 from ..functions.text import col, count_matches
 
 HEAD = 180
@@ -53,8 +54,12 @@ def _any(x: Column, signs) -> Column:
     return out
 
 
-def page_features(pages: DataFrame, document: str = "document", page: str = "page_number", text: str = "text", code: Column | None = None, boundary=BOUNDARY_SIGNS) -> DataFrame:
-    """The signals the state machine reads, one row a page."""
+def page_features(pages: DataFrame, document: str = "document", page: str = "page_number", text: str = "text", code: Column | None = None, boundary=BOUNDARY_SIGNS, repair: bool = False) -> DataFrame:
+    """The signals the state machine reads, one row a page; with ``repair`` of the page as it was meant, and its code too."""
+    if repair:
+        pages = pages.withColumn("__qw_text", page_text(text))
+        code = heading_code(text, F.col(document).cast("string")) if code is None else code
+        text = "__qw_text"
     up = F.upper(F.coalesce(col(text), F.lit("")))
     head = F.substring(up, 1, HEAD)
     long_head = F.substring(up, 1, 1100)

@@ -80,7 +80,7 @@ def from_toc_words(words: DataFrame, makes: DataFrame) -> tuple[DataFrame, DataF
     words is reported as missing.
     """
     w = geometry.centres(words.withColumn("page_key", F.concat_ws(":", "document", "page")))
-    rows = geometry.row_columns(geometry.cluster_rows(w, "page_key"), "page_key", "page_width")
+    rows = geometry.row_columns(geometry.cluster_rows(w, "page_key"), "page_key", "page_width").withColumnsRenamed({f"text_{c}": c for c in geometry.TOC_COLUMNS})
     lines = geometry.cluster_rows(w, "page_key").groupBy("page_key", "row_no").agg(F.min("mid_y").alias("y"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "text"))), lambda x: x["text"]), " ").alias("line"))
     pages = makes.select("make", F.col("document").alias("source_document"), F.col("page").cast("int").alias("source_page"), F.concat_ws(":", "document", "page").alias("page_key"))
     rows = rows.join(lines, ["page_key", "row_no"]).join(pages, "page_key")

@@ -708,13 +708,10 @@ def connected_boxes(spark, d):
 
 @query()
 def progression_rebuild(spark, d):
-    @F.udf("array<int>")
-    def rebuild(values):
-        return geometry.expected_rows(values, 25)
-
     e = table(spark, d, "embeddings")
     anchors = F.transform("embedding", lambda v: F.round(F.abs(v) * 3000).cast("int"))
-    return e.select("vec_id", rebuild(anchors).alias("row")).filter("row is not null").select("vec_id", F.array_join(F.transform("row", lambda v: v.cast("string")), ",").alias("row"))
+    rows = geometry.rebuilt_rows(e.select("vec_id", anchors.alias("anchors")), "anchors", 25)
+    return rows.filter("row is not null").select("vec_id", F.array_join(F.transform("row", lambda v: v.cast("string")), ",").alias("row"))
 
 
 # -- candidates, drafts, publication -----------------------------------------------------------
@@ -854,3 +851,6 @@ def ext_rollup(spark, d):
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def ext_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+from . import rules  # noqa: E402, F401  registers its queries here

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import facts, records
-from ..operators import gates, relational
+from ..operators import completeness, gates, relational
 
 MAX_SPAN = 12
 #: Patterns that no published string may hold.
@@ -80,7 +80,7 @@ def completeness_rules(text: str = "raw_text") -> list[tuple[Column, Column, str
 def gate(drafts: DataFrame, verified: str = "verified") -> DataFrame:
     """Drafts with issues and status."""
     kind = drafts.schema["draft"].dataType
-    found = F.concat(records.issues(F.col("draft"), kind, BAD), gates.completeness_issues(completeness_rules()))
+    found = F.concat(records.issues(F.col("draft"), kind, BAD), gates.completeness_issues(completeness_rules()), completeness.issues("raw_text", F.to_json("draft")))
     useful = [F.col(f"draft.{p}").isNotNull() for p in ("key_remote", "mechanical_key", "programming", "transponder", "source_facts")]
     out = drafts.withColumn("issues", F.coalesce(found, F.array().cast("array<string>")))
     ok = gates.publishable(F.col("draft.code"), F.col("issues"), F.coalesce(F.size("draft.vehicle_applications"), F.lit(0)), useful)

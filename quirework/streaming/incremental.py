@@ -18,20 +18,24 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def run_upserts(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: str) -> None:
     """Every micro-batch is merged into a new version of the table; the last row of a key stays.
 
     A version is written before the pointer table names it, so a lost batch is run again on
-    the version before and gives the same result.
+    the version before and gives the same result.  The table is written whole with each
+    micro-batch, so batches should be large beside it.
     """
     pointer = f"{target}/_current"
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            last = spark.read.parquet(pointer).agg(F.max_by("path", F.when(F.col("number") < number, F.col("number")))).first()[0]
-        except Exception:  # noqa: BLE001  no version yet
-            last = None
+        # Only a pointer table that is not there means that there is no version; any other failure stops the batch.
+        last = spark.read.parquet(pointer).agg(F.max_by("path", F.when(F.col("number") < number, F.col("number")))).first()[0] if exists(spark, pointer) else None
         base = spark.read.parquet(last) if last else spark.createDataFrame([], batch.schema)
         path = f"{target}/v{number}"
         upsert(base, batch, keys, order).write.mode("overwrite").parquet(path)

@@ -264,3 +264,50 @@ def test_windows_of_a_stream_equal_the_batch(spark, small, tmp_path):
 def test_boundary_pages_end_a_section(spark, page):
     df = spark.createDataFrame([("d", 1, "AB-1 SECTION"), ("d", 2, page), ("d", 3, "after")], "document string, page_number int, text string")
     assert [(r["page_start"], r["page_end"]) for r in sections.split_sections(sections.page_features(df)).collect()] == [(1, 1)]
+
+
+def test_rebuilt_rows_equal_the_loop(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, [r.randint(100, 1300) for _ in range(r.randint(0, 6))] + [900 - 25 * k + r.randint(-5, 5) for k in range(r.randint(0, 8))]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "id long, anchors array<int>")
+    for step in (25, 0, 90):
+        got = {x["id"]: x["row"] for x in geometry.rebuilt_rows(df, "anchors", step).collect()}
+        assert got == {i: geometry.expected_rows(v or [], step) for i, v in rows}
+
+
+def test_row_columns_can_be_written(spark, tmp_path):
+    words = spark.createDataFrame([(1, 0, 40.0, 30.0, "a", 90.0, 100.0), (1, 0, 10.0, 10.0, "b", 70.0, 100.0)], "page long, row_no long, left double, mid_x double, text string, confidence double, page_width double")
+    out = geometry.row_columns(words, "page", "page_width")
+    out.write.parquet(f"{tmp_path}/rows")
+    assert len(set(out.columns)) == len(out.columns) and spark.read.parquet(f"{tmp_path}/rows").count() == 1
+
+
+def test_a_broken_pointer_stops_an_upsert(spark, tmp_path):
+    """Only a missing pointer table means an empty target: a damaged one must not lose the rows before."""
+    import os
+
+    import pytest as pt
+
+    schema = "k long, v long"
+    for part, rows in enumerate([[(1, 1)], [(2, 2)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if part:
+            for f in os.listdir(f"{tmp_path}/t/_current"):
+                if f.endswith(".parquet"):
+                    with open(f"{tmp_path}/t/_current/{f}", "wb") as out:
+                        out.write(b"damaged")
+                    os.path.exists(f"{tmp_path}/t/_current/.{f}.crc") and os.remove(f"{tmp_path}/t/_current/.{f}.crc")
+            with pt.raises(Exception, match="(?i)upsert|parquet|exception"):
+                incremental.run_upserts(incremental.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/t", f"{tmp_path}/c", ["k"], "v")
+        else:
+            incremental.run_upserts(incremental.file_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/t", f"{tmp_path}/c", ["k"], "v")
+            assert incremental.current(spark, f"{tmp_path}/t").count() == 1
+
+
+def test_latest_entries_have_a_total_order(spark):
+    rows = [(1, 5, x) for x in "dacb"]
+    for order in (rows, rows[::-1]):
+        kept = gates.keep_latest(spark.createDataFrame(order, "g long, at long, name string"), ["g"], "at", 2).collect()
+        assert sorted(r["name"] for r in kept) == ["c", "d"]
