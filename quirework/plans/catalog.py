@@ -853,4 +853,4 @@ def ext_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-from . import rules  # noqa: E402, F401  registers its queries here
+from . import more, rules  # noqa: E402, F401  they register their queries here

@@ -28,7 +28,12 @@ def read_json(spark: SparkSession, path: str, schema: str, seed: DataFrame | Non
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of imported documents, each with its document's name."""
-    docs = read_json(spark, path, IMPORTED).filter(~F.coalesce("missing", F.lit(False)))
+    return flat_pages(read_json(spark, path, IMPORTED))
+
+
+def flat_pages(docs: DataFrame) -> DataFrame:
+    """Pages of a page set whatever it was read from; missing documents have none."""
+    docs = docs.filter(~F.coalesce("missing", F.lit(False)))
     return docs.select(F.col("name").alias("document"), F.explode("pages").alias("p")).select("document", "p.*")
 
 
