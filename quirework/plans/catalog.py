@@ -515,13 +515,16 @@ def _nested(spark, d) -> DataFrame:
     return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_orderkey", F.struct("head", "lines").alias("r"))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, string_agg('{"flag":"' || l_returnflag || '"' || CASE WHEN l_linestatus = 'O' THEN '' ELSE ',"note":"done"' END || '}', ',' ORDER BY l_returnflag, CASE WHEN l_linestatus = 'O' THEN ' ' ELSE 'done ' END) AS lines FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, '{"head":{"priority":"' || trim(o_orderpriority) || '"},"lines":[' || lines || ']}' AS pruned FROM orders JOIN l ON o_orderkey = l_orderkey""")
 def recursive_prune(spark, d):
     n = _nested(spark, d)
     return n.select("o_orderkey", F.to_json(records.prune(F.col("r"), n.schema["r"].dataType)).alias("pruned"))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, CASE WHEN l_linestatus = 'O' THEN ' ' ELSE 'done ' END) - 1 AS i FROM lineitem)
+SELECT o_orderkey, 'report.lines[' || CAST(i AS VARCHAR) || '].note: done ' AS issue FROM orders JOIN l ON o_orderkey = l_orderkey WHERE l_linestatus <> 'O'
+UNION ALL SELECT o_orderkey, 'report.head.priority: ' || trim(o_orderpriority) FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def issue_paths(spark, d):
     n = _nested(spark, d)
     return n.select("o_orderkey", F.explode(records.issues(F.col("r"), n.schema["r"].dataType, ["^done", "urgent"])).alias("issue"))
@@ -706,7 +709,9 @@ def connected_boxes(spark, d):
     return geometry.grid_boxes(table(spark, d, "embeddings"), "vec_id", "embedding", 8, 0.1, least=2, grow=0, padding=0)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, list_distinct(list_filter(list_transform(embedding, lambda v: CAST(round(abs(v) * 3000) AS INTEGER)), lambda v: v BETWEEN 150 AND 1200 AND abs(v - 25) > 4)) AS a FROM embeddings),
+f AS (SELECT vec_id, list_max(list_filter(a, lambda x: x - 175 > 0 AND len(list_filter(range(0, 8), lambda i: len(list_filter(a, lambda y: abs(y - (x - 25 * i)) <= 4)) > 0)) >= 3)) AS b FROM e)
+SELECT vec_id, array_to_string(list_transform(range(0, 8), lambda i: CAST(b - 25 * i AS VARCHAR)), ',') AS row FROM f WHERE b IS NOT NULL""")
 def progression_rebuild(spark, d):
     e = table(spark, d, "embeddings")
     anchors = F.transform("embedding", lambda v: F.round(F.abs(v) * 3000).cast("int"))

@@ -69,3 +69,75 @@ def test_every_row_has_a_place(spark, n):
     empty = relational.places(df.limit(0), ["v", "k"], "place").count()
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {k: p for p, (_, k) in enumerate(sorted((i * 37 % 11, i) for i in range(300)), 1)} and empty == 0
+
+
+def test_canonical_names_of_the_whole_table(spark, small):
+    """Every part's word against the vocabulary, by the ratio of the standard library."""
+    from difflib import SequenceMatcher
+
+    plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    expected = {}
+    for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey", "p_type").collect():
+        word, best = r["p_type"].split(" ")[0], (0.0, r["p_type"].split(" ")[0])
+        for v in catalog.VOCABULARY:
+            a, b = plain(word), plain(v)
+            score = SequenceMatcher(None, a, b).ratio()
+            if a in b or b in a:
+                score = max(score, 0.9)
+            if score > best[0]:
+                best = (score, v)
+        expected[r["p_partkey"]] = (best[1] if best[0] >= 0.78 else word, round(best[0], 6))
+    assert {r["p_partkey"]: (r["canonical"], r["score"]) for r in catalog.QUERIES["canonicalize"](spark, small).collect()} == expected
+
+
+def test_rows_of_words_of_the_whole_table(spark, small):
+    """Words top down, each into the first row whose middle is within 18 of its own; the middle then moves half-way."""
+    expected = {}
+    pages = {}
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        for i, _ in enumerate(r["text"].split(" ")):
+            pages.setdefault(r["conv_id"], []).append((r["turn"] * 60 + i % 5 * 9 + 5.0, i * 37 % 900))
+    for page, words in pages.items():
+        found = []
+        for y, _ in sorted(words):
+            for row in found:
+                if abs(y - row[0]) <= 18:
+                    row[0], row[1] = (row[0] + y) / 2, row[1] + [y]
+                    break
+            else:
+                found.append([y, [y]])
+        for k, (_, ys) in enumerate(found):
+            expected[page, k] = (len(ys), sum(ys) / len(ys))
+    got = {(r["page"], r["row_no"]): (r["n"], r["middle"]) for r in catalog.QUERIES["row_clustering"](spark, small).collect()}
+    assert got.keys() == expected.keys() and all(got[k][0] == n and abs(got[k][1] - m) < 1e-3 for k, (n, m) in expected.items())
+
+
+def test_boxes_of_the_whole_table(spark, small):
+    """Areas by a flood fill from every cell, in reading order; touching ones joined."""
+    expected = set()
+    for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect():
+        cells = {(i // 8, i % 8) for i, v in enumerate(r["embedding"]) if v >= 0.1}
+        boxes, seen = [], set()
+        for start in sorted(cells):
+            if start in seen:
+                continue
+            area, todo = set(), [start]
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in cells and (y, x) not in area:
+                    area.add((y, x))
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            seen |= area
+            if len(area) >= 2:
+                ys, xs = zip(*area, strict=True)
+                boxes.append([min(xs), min(ys), max(xs) + 1, max(ys) + 1])
+        joined = []
+        for b in sorted(boxes, key=lambda b: (b[1], b[0])):
+            for m in joined:
+                if b[0] <= m[2] and m[0] <= b[2] and b[1] <= m[3] and m[1] <= b[3]:
+                    m[:] = [min(m[0], b[0]), min(m[1], b[1]), max(m[2], b[2]), max(m[3], b[3])]
+                    break
+            else:
+                joined.append(list(b))
+        expected |= {(r["vec_id"], i, *b) for i, b in enumerate(joined)}
+    assert {tuple(r) for r in catalog.QUERIES["connected_boxes"](spark, small).collect()} == expected
