@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import facts
-from ..operators import completeness
+from ..operators import completeness, sanitizing
 from .catalog import query, table
 
 #: Phrase and the numbers (modulus, remainder) that have it.
@@ -157,3 +157,10 @@ def identifier_kinds(spark, d):
     s = table(spark, d, "part").select("p_partkey", F.expr(_IDS).alias("x"))
     x = F.col("x")
     return s.select("p_partkey", facts.valid_fcc(x).alias("fcc"), facts.good_identifier(x).alias("identifier"), facts.valid_keyway(x).alias("keyway"))
+
+
+@query()
+def sanitized_records(spark, d):
+    """The record of every part without what is malformed; parts of it are no facts and go."""
+    rows = table(spark, d, "part").select("p_partkey", F.expr(RECORD).alias("record"))
+    return sanitizing.sanitize(rows)
