@@ -1,11 +1,14 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lockstep.
 
-A block starts from an empty model and ends with a checksum, so it can be read alone.  Each
-id is predicted by the last two ids and by the last one; whether a prediction holds is coded
-with a probability mixed from two adaptive counters, one by the confidence of the prediction
-and one by recent success, with a weight that follows the better one.  Ids that neither
-predicts are coded by an adaptive order-0 model of their size class, then their lower bits.
-All arithmetic is on integers, and the same step of every block is one numpy operation.
+A block starts from an empty model and ends with a checksum, so it can be read alone.  Ids are
+numbered by their first occurrence in the block, and the models of all orders speak of these
+numbers.  Orders 2 and 1 keep, for a hash of the last two ids and of the last one, the id that
+came next and how often it held; order 0 keeps how often each id came.  Whether the id named
+by an order holds is a binary event; its probability is a mix of the opinions of all three
+orders, with weights that move to the opinion that was nearest.  An id that neither order 2
+nor order 1 names is coded by the adaptive frequencies of order 0; an id new to the block by
+an escape, an adaptive model of its size class, and its lower bits.  All arithmetic is on
+integers, and the same step of every block is one numpy operation.
 
 Layout of a frame, little-endian: magic, number of blocks, ids a block; per block number of
 ids, number of 16-bit words, CRC-32 of the ids as unsigned 32-bit integers; then the words.
@@ -18,80 +21,134 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"QTK1"
-BLOCK_IDS = 4096
-#: Blocks coded together; they need about 100 KB each.
-LANES = 1024
-SLOTS = 4096
-CONFIDENT, CONTEXTS = 7, 9
-CLASSES, CLASS_BITS, REFRESH = 33, 14, 32
+MAGIC = b"QTK2"
+BLOCK_IDS = 2048
+#: Blocks coded together; they need about 50 KB each.
+LANES = 2048
+SLOTS = 1024
+CONFIDENT = 7
+CLASSES, CLASS_BITS = 33, 14
+#: Steps between two renewals of the order-0 table, and of the size classes.
+REFRESH, FIRST_REFRESHES = 128, 16
+#: Probabilities have 16 bits; no event is surer than this.
+LEAST, MOST = 64, 65536 - 512
+#: A counter moves by this part of its error; the weight of a mix by a constant.
+RATE, WEIGHT_STEP = 4, 3
+#: Numbers of the order-0 table between two looks of the decoder.
+STRIDE = 32
 
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 40)
+_LOW = np.uint64(1 << 48)
 _W = np.uint64(16)
+_ONE = np.uint64(65536)
 
 
 class _Model:
-    """Predictors of ``lanes`` blocks; encoder and decoder drive it alike."""
+    """The three orders of ``lanes`` blocks of at most ``length`` ids; encoder and decoder drive it alike."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, length: int):
         self.lane = np.arange(lanes)
         self.base = self.lane * SLOTS
-        self.ids = [np.zeros(lanes * SLOTS, dtype=np.uint32) for _ in range(2)]
+        # Orders 2 and 1: the id after a context, and how sure that is (0: nothing known).
+        self.next = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
         self.conf = [np.zeros(lanes * SLOTS, dtype=np.int8) for _ in range(2)]
-        self.by_conf = [np.full(lanes * CONTEXTS, 1 << 13, dtype=np.int32) for _ in range(2)]
-        self.by_past = [np.full(lanes * 4, 1 << 14, dtype=np.int32) for _ in range(2)]
-        self.weight = [np.full(lanes, 128, dtype=np.int32) for _ in range(2)]
-        self.past = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]
+        # Counters of the two events by the confidence in the prediction, what the other order says
+        # and whether the last one held; and the weight of each against the opinion of order 0.
+        self.counter = [np.full(lanes * 64, 1 << 13, dtype=np.int32) for _ in range(2)]
+        self.weight = [np.full(lanes, 240, dtype=np.int32) for _ in range(2)]
+        self.held = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]
         self.last, self.older = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.count = np.ones((lanes, CLASSES), dtype=np.int64)
+        # Order 0: occurrences of each number, live and as of the last renewal.
+        self.length = length
+        self.count = np.zeros(lanes * (length + 1), dtype=np.uint16)
+        self.row = self.lane * (length + 1)
+        self.cum = np.zeros((lanes, -(-(length + 2) // STRIDE) * STRIDE), dtype=np.uint16)
+        self.coarse = np.zeros((lanes, self.cum.shape[1] // STRIDE), dtype=np.uint16)
+        self.known = np.zeros(lanes, dtype=np.int64)  # numbers given out
+        self.frozen = np.zeros(lanes, dtype=np.int64)  # of them, in the table
+        self.total = np.ones(lanes, dtype=np.uint64)  # of the table
+        self.escape = np.full(lanes, 1 << 15, dtype=np.int64)
+        self.fresh = np.full(lanes, 1 << 15, dtype=np.int64)
+        self.classes = np.ones((lanes, CLASSES), dtype=np.int64)
         self.step = 0
 
+    def _renew(self, n: int) -> None:
+        table = self.count.reshape(len(self.lane), -1)
+        most = int(self.known[:n].max())
+        np.cumsum(table[:n, :most], axis=1, dtype=np.uint16, out=self.cum[:n, 1 : most + 1])
+        self.cum[:n, most + 1 :] = self.cum[:n, most : most + 1]  # rows with fewer numbers end alike
+        self.coarse[:n] = self.cum[:n, ::STRIDE]
+        self.frozen[:n] = self.known[:n]
+        self.total[:n] = np.maximum(self.cum[:n, most], 1)
+        ends = np.cumsum(self.classes, axis=1)
+        self.class_cum = np.zeros((len(self.lane), CLASSES + 1), dtype=np.int64)
+        self.class_cum[:, 1:] = ends * ((1 << CLASS_BITS) - CLASSES) // ends[:, -1:] + np.arange(1, CLASSES + 1)
+
     def predict(self, n: int) -> None:
-        """Predictions and probabilities of the first ``n`` blocks."""
-        if self.step % REFRESH == 0:
-            total = np.cumsum(self.count, axis=1)
-            spare = (1 << CLASS_BITS) - CLASSES
-            self.cum = np.zeros((len(self.count), CLASSES + 1), dtype=np.int64)
-            self.cum[:, 1:] = total * spare // total[:, -1:] + np.arange(1, CLASSES + 1)
-            self.step = 0
-        self.step += 1
+        """What orders 2 and 1 name for the first ``n`` blocks, and the probabilities that it holds."""
+        if self.step % REFRESH == 0 or (self.step < REFRESH and self.step % FIRST_REFRESHES == 0):
+            self._renew(n)
         last, older = self.last[:n], self.older[:n]
         one = (last * 0x9E3779B1 >> 8) & (SLOTS - 1)
         two = ((last * 0x85EBCA6B + older * 0xC2B2AE35) >> 9) & (SLOTS - 1)
         self.slot = [self.base[:n] + two, self.base[:n] + one]
-        self.guess = [ids[s] for ids, s in zip(self.ids, self.slot, strict=True)]
+        self.guess = [x[s].astype(np.int64) for x, s in zip(self.next, self.slot, strict=True)]
         self.sure = [c[s].astype(np.int64) for c, s in zip(self.conf, self.slot, strict=True)]
-        # The second prediction says nothing new where it equals the first.
-        self.context = [self.sure[0], np.where((self.guess[0] == self.guess[1]) & (self.sure[0] > 0), CONTEXTS - 1, self.sure[1])]
-        self.at = [[self.lane[:n] * CONTEXTS + self.context[k], self.lane[:n] * 4 + self.past[k][:n]] for k in (0, 1)]
-        self.pair = [[self.by_conf[k][self.at[k][0]], self.by_past[k][self.at[k][1]]] for k in (0, 1)]
-        p = [(self.weight[k][:n] * a + (256 - self.weight[k][:n]) * b) >> 8 for k, (a, b) in enumerate(self.pair)]
-        self.first = p[0].astype(np.uint64)
-        self.second = ((65536 - p[0]).astype(np.int64) * p[1] >> 16).astype(np.uint64)
-
-    def learn(self, n: int, ids: np.ndarray, event: np.ndarray, size: np.ndarray, missed: np.ndarray) -> None:
-        """``event``: 0 and 1 a prediction held, 2 none; ``size``: classes of the ``missed`` ids."""
+        same = (self.guess[0] == self.guess[1]) & (self.sure[0] > 0) & (self.sure[1] > 0)
+        # What the other order says of it: the same, another with much or little confidence, nothing.
+        self.at, self.opinions, p = [], [], []
+        for k in (0, 1):
+            says = np.where(same, 3, np.minimum(self.sure[1 - k], 4) + 1 >> 1)
+            at = (self.lane[:n] * 8 + self.sure[k]) * 8 + says * 2 + self.held[k][:n]
+            own = self.counter[k][at]
+            often = (self.count[self.row[:n] + self.guess[k]].astype(np.int32) << 16) // (self.step + 1)
+            w = self.weight[k][:n]
+            self.at.append(at)
+            self.opinions.append((own, often))
+            p.append(np.clip((own * w.astype(np.int64) + often * (256 - w)) >> 8, LEAST, MOST))
+        # Both sides need an event that can happen to have a width: 1 at least, and 1 left for the rest.
+        second = np.where(same, 1, np.maximum((65536 - p[0]) * p[1] >> 16, 1))
+        self.first, self.second = p[0].astype(np.uint64), second.astype(np.uint64)
+        self.named = [self.sure[0] > 0, (self.sure[1] > 0) & ~same]
+
+    def events(self, n: int, numbers: np.ndarray) -> np.ndarray:
+        """0 order 2 names it, 1 order 1 does, 2 neither."""
+        return np.where(self.named[0] & (self.guess[0] == numbers), 0, np.where(self.named[1] & (self.guess[1] == numbers), 1, 2))
+
+    def learn(self, n: int, numbers: np.ndarray, event: np.ndarray) -> None:
         for k in (0, 1):
-            hit = self.guess[k] == ids
-            told = event == k
-            # The second decision is only made where the first failed.
-            rows = np.arange(n) if k == 0 else np.flatnonzero(event > 0)
-            goal = told[rows].astype(np.int32) << 16
-            a, b = self.pair[k][0][rows], self.pair[k][1][rows]
-            w = self.weight[k][rows] + np.where(np.abs(goal - a) < np.abs(goal - b), 2, -2)
-            self.weight[k][rows] = np.clip(w, 8, 248)
-            self.by_conf[k][self.at[k][0][rows]] = np.clip(a + ((goal - a) >> 5), 96, 65536 - 512)
-            self.by_past[k][self.at[k][1][rows]] = np.clip(b + ((goal - b) >> 4), 96, 65536 - 512)
-            self.past[k][rows] = (self.past[k][rows] * 2 + told[rows]) & 3
+            own, often = self.opinions[k]
+            goal = (event == k).astype(np.int32) << 16
+            error = goal - own
+            new = own + (error >> RATE)
+            better = np.where(np.abs(error) <= np.abs(goal - often), WEIGHT_STEP, -WEIGHT_STEP)
+            if k:  # the second event is only met where the first failed
+                met = event > 0
+                new, better = np.where(met, new, own), np.where(met, better, 0)
+                self.held[k][:n] = np.where(met, goal >> 16, self.held[k][:n])
+            else:
+                self.held[k][:n] = goal >> 16
+            self.counter[k][self.at[k]] = new
+            self.weight[k][:n] = np.clip(self.weight[k][:n] + better, 16, 252)
             sure = self.sure[k]
-            hit &= sure > 0
-            weak = ~hit & (sure <= 1)
-            self.conf[k][self.slot[k]] = np.where(hit, np.minimum(sure + 1, CONFIDENT), np.where(weak, 1, sure >> 1)).astype(np.int8)
-            self.ids[k][self.slot[k]] = np.where(weak, ids, self.guess[k])
-        if len(missed):
-            self.count[missed, size] += 24
+            held = (self.guess[k] == numbers) & (sure > 0)
+            weak = np.flatnonzero(~held & (sure <= 1))
+            sure = np.where(held, np.minimum(sure + 1, CONFIDENT), sure >> 1)
+            sure[weak] = 1
+            self.conf[k][self.slot[k]] = sure
+            self.next[k][self.slot[k][weak]] = numbers[weak]
+        self.count[self.row[:n] + numbers] += 1
+        self.known[:n] = np.maximum(self.known[:n], numbers + 1)
         self.older[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.last[:n] = numbers + 1
+        self.step += 1
+
+    def learn_escape(self, rows: np.ndarray, escaped: np.ndarray, fresh: np.ndarray) -> None:
+        """``rows`` met order 0; of them some ``escaped``, and of those some were ``fresh`` (new ids)."""
+        p = self.escape[rows]
+        self.escape[rows] = np.clip(p + (((escaped.astype(np.int64) << 16) - p) >> 5), LEAST, MOST)
+        rows = rows[escaped]
+        p = self.fresh[rows]
+        self.fresh[rows] = np.clip(p + (((fresh.astype(np.int64) << 16) - p) >> 5), LEAST, MOST)
 
 
 def _sizes(ids: np.ndarray) -> np.ndarray:
@@ -99,127 +156,229 @@ def _sizes(ids: np.ndarray) -> np.ndarray:
     return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
 
 
-def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Words of each row of ``ids``; counts do not ascend."""
-    lanes = len(counts)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    words, used = np.zeros((lanes, int(counts[0]) + 64), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
+def _numbered(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per row each id's number in the order of first occurrence."""
+    out = np.zeros(ids.shape, dtype=np.int64)
+    for i, n in enumerate(counts.tolist()):
+        _, first, inverse = np.unique(ids[i, :n], return_index=True, return_inverse=True)
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        out[i, :n] = rank[inverse]
+    return out
 
-    def settle(rows: np.ndarray) -> None:
+
+class _Coder:
+    """The interval of each block, as start and width; subclasses move 16 bits at a time."""
+
+    def __init__(self, lanes: int):
+        self.low, self.span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
+
+    def narrow(self, rows, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """``unit`` is the width of one part of the interval; parts start..start + width stay."""
+        self.low[rows] += unit * start
+        unit *= width
+        if not unit.all():
+            raise ArithmeticError("an event without width")
+        self.span[rows] = unit
+
+    def settle(self, rows: np.ndarray) -> None:
+        """Put out leading bits of the intervals that became narrow; afterwards every width has 48 bits at least.
+
+        That is room for an event, an escape and a number of order 0 in a row.
+        """
+        rows = rows[self.span[rows] < _LOW]
         while len(rows):
-            lo, sp = low[rows], span[rows]
-            agreed = (lo ^ (lo + sp)) < _TOP
-            out = agreed | (sp < _LOW)
-            if not out.all():
-                rows, lo, sp, agreed = rows[out], lo[out], sp[out], agreed[out]
-            if not len(rows):
-                return
-            sp = np.where(agreed, sp, (~lo + np.uint64(1)) & (_LOW - np.uint64(1)))
-            words[rows, used[rows]] = (lo >> np.uint64(48)).astype(np.uint16)
-            used[rows] += 1
-            low[rows], span[rows] = lo << _W, sp << _W
+            lo, sp = self.low[rows], self.span[rows]
+            # Ends that differ in their first 16 bits never will agree: the interval is cut at the border.
+            sp = np.where((lo ^ (lo + sp)) < _LOW, sp, (~lo + np.uint64(1)) & (_LOW - np.uint64(1)))
+            self.shift(rows, lo)
+            sp <<= _W
+            self.low[rows], self.span[rows] = lo << _W, sp
+            rows = rows[sp < _LOW]
+
+
+class _Writer(_Coder):
+    def __init__(self, lanes: int, room: int):
+        super().__init__(lanes)
+        self.words, self.used = np.zeros((lanes, room + 64), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
+
+    def shift(self, rows: np.ndarray, lo: np.ndarray) -> None:
+        if int(self.used.max()) >= self.words.shape[1]:
+            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1] // 2 + 64)))
+        self.words[rows, self.used[rows]] = (lo >> np.uint64(48)).astype(np.uint16)
+        self.used[rows] += 1
+
+    def finish(self) -> list[np.ndarray]:
+        rows = np.arange(len(self.low))
+        for _ in range(4):
+            self.shift(rows, self.low)
+            self.low <<= _W
+        return [w[:n] for w, n in zip(self.words, self.used.tolist(), strict=True)]
 
+
+class _Reader(_Coder):
+    def __init__(self, words: list[np.ndarray]):
+        super().__init__(len(words))
+        self.store = np.zeros((len(words), max(map(len, words)) + 8), dtype=np.uint16)
+        for i, w in enumerate(words):
+            self.store[i, : len(w)] = w
+        self.code = np.zeros(len(words), dtype=np.uint64)
+        for k in range(4):
+            self.code = (self.code << _W) | self.store[:, k].astype(np.uint64)
+        self.used = np.full(len(words), 4, dtype=np.int64)
+
+    def shift(self, rows: np.ndarray, lo: np.ndarray) -> None:
+        self.code[rows] = (self.code[rows] << _W) | self.store[rows, np.minimum(self.used[rows], self.store.shape[1] - 1)].astype(np.uint64)
+        self.used[rows] += 1
+
+    def part(self, rows, unit: np.ndarray, parts) -> np.ndarray:
+        """Which of the parts holds the code; the last one ends with the interval."""
+        return np.minimum((self.code[rows] - self.low[rows]) // unit, parts - np.uint64(1))
+
+
+def _u(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64)
+
+
+def _bits_of(size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The lower bits of ids of a size, in two steps of at most 16: (shift, bits)."""
+    bits = _u(np.maximum(size - 1, 0))
+    low = np.minimum(bits, np.uint64(16))
+    return [(low, bits - low), (np.zeros_like(low), low)]
+
+
+def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Words of each row of ``ids``; counts do not ascend."""
+    length = int(counts[0])
+    model, coder = _Model(len(counts), length), _Writer(len(counts), length)
+    numbers = np.ascontiguousarray(_numbered(ids, counts).T)
     with np.errstate(over="ignore"):
-        for j in range(int(counts[0])):
+        for j in range(length):
             n = int(np.searchsorted(-counts, -j, side="left"))
-            x = ids[:n, j]
-            if j % 16 == 0 and int(used.max()) + 80 > words.shape[1]:  # an id takes four words at most
-                words = np.pad(words, ((0, 0), (0, words.shape[1] // 2 + 80)))
+            x = numbers[j, :n]
             model.predict(n)
-            event = np.where((model.guess[0] == x) & (model.sure[0] > 0), 0, np.where((model.guess[1] == x) & (model.sure[1] > 0), 1, 2))
-            start = np.where(event == 0, np.uint64(0), np.where(event == 1, model.first, model.first + model.second))
-            width = np.where(event == 0, model.first, np.where(event == 1, model.second, np.uint64(65536) - model.first - model.second))
-            unit = span[:n] >> _W
-            low[:n] += unit * start
-            span[:n] = unit * width
+            event = model.events(n, x)
+            border = model.first + model.second
+            start = np.where(event == 0, np.uint64(0), np.where(event == 1, model.first, border))
+            width = np.where(event == 0, model.first, np.where(event == 1, model.second, _ONE - border))
+            coder.narrow(slice(0, n), coder.span[:n] >> _W, start, width)
             missed = np.flatnonzero(event == 2)
-            size = np.zeros(0, dtype=np.int64)
             if len(missed):
-                y = x[missed]
-                size = _sizes(y)
-                bits = np.maximum(size - 1, 0).astype(np.uint64)
-                value = np.where(size > 0, y.astype(np.uint64) - (np.uint64(1) << bits), 0).astype(np.uint64)
-                settle(missed)
-                unit = span[missed] >> np.uint64(CLASS_BITS)
-                a = model.cum[missed, size]
-                lo = low[missed] + unit * a.astype(np.uint64)
-                unit = (unit * (model.cum[missed, size + 1] - a).astype(np.uint64)) >> bits
-                low[missed], span[missed] = lo + unit * value, unit
-            settle(np.arange(n))
-            model.learn(n, x, event, size, missed)
-    words = np.pad(words, ((0, 0), (0, 8)))
-    for _ in range(4):
-        words[np.arange(lanes), used] = (low >> np.uint64(48)).astype(np.uint16)
-        low <<= _W
-        used += 1
-    return [words[i, : used[i]] for i in range(lanes)]
+                _encode_missed(model, coder, missed, x[missed], ids[missed, j])
+            coder.settle(np.arange(n))
+            model.learn(n, x, event)
+    return coder.finish()
 
 
-def _decode_lanes(words: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    lanes = len(counts)
-    model = _Model(lanes)
-    store = np.zeros((lanes, max(map(len, words)) + 8), dtype=np.uint16)
-    for i, w in enumerate(words):
-        store[i, : len(w)] = w
-    code = np.zeros(lanes, dtype=np.uint64)
-    for k in range(4):
-        code = (code << _W) | store[:, k].astype(np.uint64)
-    used = np.full(lanes, 4, dtype=np.int64)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    ids = np.zeros((lanes, int(counts[0])), dtype=np.uint32)
-
-    def settle(rows: np.ndarray) -> None:
-        while len(rows):
-            lo, sp = low[rows], span[rows]
-            agreed = (lo ^ (lo + sp)) < _TOP
-            out = agreed | (sp < _LOW)
-            if not out.all():
-                rows, lo, sp, agreed = rows[out], lo[out], sp[out], agreed[out]
-            if not len(rows):
-                return
-            sp = np.where(agreed, sp, (~lo + np.uint64(1)) & (_LOW - np.uint64(1)))
-            code[rows] = (code[rows] << _W) | store[rows, np.minimum(used[rows], store.shape[1] - 1)].astype(np.uint64)
-            used[rows] += 1
-            low[rows], span[rows] = lo << _W, sp << _W
+def _encode_missed(model: _Model, coder: _Writer, rows: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+    escaped = x >= model.frozen[rows]
+    width = _u(model.escape[rows])
+    coder.narrow(rows, coder.span[rows] >> _W, np.where(escaped, np.uint64(0), width), np.where(escaped, width, _ONE - width))
+    told = rows[~escaped]
+    a = _u(model.cum[told, x[~escaped]])
+    coder.narrow(told, coder.span[told] // model.total[told], a, _u(model.cum[told, x[~escaped] + 1]) - a)
+    rows, x, ids = rows[escaped], x[escaped], ids[escaped]
+    fresh = x == model.known[rows]
+    width = _u(model.fresh[rows])
+    coder.narrow(rows, coder.span[rows] >> _W, np.where(fresh, np.uint64(0), width), np.where(fresh, width, _ONE - width))
+    recent = rows[~fresh]
+    from_ = model.frozen[recent]
+    coder.settle(rows)
+    coder.narrow(recent, coder.span[recent] // _u(model.known[recent] - from_), _u(x[~fresh] - from_), np.uint64(1))
+    new, ids = rows[fresh], ids[fresh]
+    size = _sizes(ids)
+    a = _u(model.class_cum[new, size])
+    coder.narrow(new, coder.span[new] >> np.uint64(CLASS_BITS), a, _u(model.class_cum[new, size + 1]) - a)
+    for shift, bits in _bits_of(size):
+        coder.settle(new)
+        coder.narrow(new, coder.span[new] >> bits, (_u(ids) & ~(np.uint64(1) << _u(np.maximum(size - 1, 0)))) >> shift & ((np.uint64(1) << bits) - np.uint64(1)), np.uint64(1))
+    model.classes[new, size] += 24
+    model.learn_escape(np.concatenate([told, rows]), np.arange(len(told) + len(rows)) >= len(told), fresh)
 
+
+def _decode_lanes(words: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    length = int(counts[0])
+    model, coder = _Model(len(counts), length), _Reader(words)
+    ids_of = np.zeros((len(counts), length + 1), dtype=np.uint32)  # by number
+    out = np.zeros((length, len(counts)), dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for j in range(int(counts[0])):
+        for j in range(length):
             n = int(np.searchsorted(-counts, -j, side="left"))
             model.predict(n)
-            unit = span[:n] >> _W
-            value = (code[:n] - low[:n]) // unit
+            unit = coder.span[:n] >> _W
+            value = coder.part(slice(0, n), unit, _ONE)
             border = model.first + model.second
             event = (value >= model.first).astype(np.int64) + (value >= border)
             start = np.where(event == 0, np.uint64(0), np.where(event == 1, model.first, border))
-            width = np.where(event == 0, model.first, np.where(event == 1, model.second, np.uint64(65536) - border))
-            low[:n] += unit * start
-            span[:n] = unit * width
+            width = np.where(event == 0, model.first, np.where(event == 1, model.second, _ONE - border))
+            coder.narrow(slice(0, n), unit, start, width)
             x = np.where(event == 0, model.guess[0], model.guess[1])
             missed = np.flatnonzero(event == 2)
-            size = np.zeros(0, dtype=np.int64)
             if len(missed):
-                settle(missed)
-                unit = span[missed] >> np.uint64(CLASS_BITS)
-                value = ((code[missed] - low[missed]) // unit).astype(np.int64)
-                cum = model.cum[missed]
-                size = np.minimum((cum[:, 1:] <= value[:, None]).sum(axis=1), CLASSES - 1)
-                row = np.arange(len(missed))
-                a = cum[row, size]
-                lo = low[missed] + unit * a.astype(np.uint64)
-                bits = np.maximum(size - 1, 0).astype(np.uint64)
-                unit = (unit * (cum[row, size + 1] - a).astype(np.uint64)) >> bits
-                value = np.minimum((code[missed] - lo) // unit, (np.uint64(1) << bits) - np.uint64(1))
-                x[missed] = np.where(size > 0, value + (np.uint64(1) << bits), 0).astype(np.uint32)
-                low[missed], span[missed] = lo + unit * value, unit
-            settle(np.arange(n))
-            model.learn(n, x, event, size, missed)
-            ids[:n, j] = x
-    return ids
+                x[missed] = _decode_missed(model, coder, missed, ids_of)
+            coder.settle(np.arange(n))
+            model.learn(n, x, event)
+            out[j, :n] = ids_of[np.arange(n), x]
+    return np.ascontiguousarray(out.T)
+
+
+def _decode_missed(model: _Model, coder: _Reader, rows: np.ndarray, ids_of: np.ndarray) -> np.ndarray:
+    """Numbers of the ids at ``rows``; new ids are written to ``ids_of``."""
+    out = np.zeros(len(ids_of), dtype=np.int64)
+    asked = rows
+    width = _u(model.escape[rows])
+    unit = coder.span[rows] >> _W
+    escaped = coder.part(rows, unit, _ONE) < width
+    coder.narrow(rows, unit, np.where(escaped, np.uint64(0), width), np.where(escaped, width, _ONE - width))
+    told = rows[~escaped]
+    unit = coder.span[told] // model.total[told]
+    value = coder.part(told, unit, model.total[told]).astype(np.int64)
+    # The last number whose start is not above the value: its stretch of the table, then its place there.
+    value = value.astype(np.uint16)[:, None]
+    coarse = np.maximum(np.count_nonzero(model.coarse[told] <= value, axis=1) - 1, 0)
+    stretch = model.cum.reshape(len(model.cum), -1, STRIDE)[told, coarse]
+    low = coarse * STRIDE + np.count_nonzero(stretch <= value, axis=1) - 1
+    low = np.minimum(low, model.frozen[told] - 1)
+    out[told] = low
+    a = _u(model.cum[told, low])
+    coder.narrow(told, unit, a, _u(model.cum[told, low + 1]) - a)
+    rows = rows[escaped]
+    width = _u(model.fresh[rows])
+    unit = coder.span[rows] >> _W
+    fresh = coder.part(rows, unit, _ONE) < width
+    coder.narrow(rows, unit, np.where(fresh, np.uint64(0), width), np.where(fresh, width, _ONE - width))
+    recent = rows[~fresh]
+    from_ = model.frozen[recent]
+    coder.settle(rows)
+    unit = coder.span[recent] // _u(model.known[recent] - from_)
+    value = coder.part(recent, unit, _u(model.known[recent] - from_))
+    coder.narrow(recent, unit, value, np.uint64(1))
+    out[recent] = from_ + value.astype(np.int64)
+    new = rows[fresh]
+    unit = coder.span[new] >> np.uint64(CLASS_BITS)
+    value = coder.part(new, unit, np.uint64(1 << CLASS_BITS)).astype(np.int64)
+    cum = model.class_cum[new]
+    size = np.minimum((cum[:, 1:] <= value[:, None]).sum(axis=1), CLASSES - 1)
+    a = _u(model.class_cum[new, size])
+    coder.narrow(new, unit, a, _u(model.class_cum[new, size + 1]) - a)
+    ids = np.where(size > 0, np.uint64(1) << _u(np.maximum(size - 1, 0)), np.uint64(0))
+    for shift, bits in _bits_of(size):
+        coder.settle(new)
+        unit = coder.span[new] >> bits
+        value = coder.part(new, unit, np.uint64(1) << bits)
+        coder.narrow(new, unit, value, np.uint64(1))
+        ids |= value << shift
+    out[new] = model.known[new]
+    ids_of[new, model.known[new]] = ids.astype(np.uint32)
+    model.classes[new, size] += 24
+    model.learn_escape(np.concatenate([told, rows]), np.arange(len(told) + len(rows)) >= len(told), fresh)
+    return out[asked]
 
 
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
-    """A frame of all ``ids`` (unsigned 32-bit)."""
+    """A frame of all ``ids`` (unsigned 32-bit), at most 30,000 to a block."""
+    if not 0 < block_ids <= 30_000:
+        raise ValueError("a block has 1 to 30,000 ids")
     ids = np.ascontiguousarray(ids, dtype="<u4")
     counts = np.full(-(-len(ids) // block_ids), block_ids, dtype=np.int64)
     if len(counts):
@@ -249,7 +408,10 @@ def decode(frame: bytes) -> np.ndarray:
         for n in own[:, 1].tolist():
             words.append(np.frombuffer(frame, dtype="<u2", count=n, offset=offset))
             offset += 2 * n
-        grid = _decode_lanes(words, own[:, 0])
+        try:
+            grid = _decode_lanes(words, own[:, 0])
+        except (ArithmeticError, IndexError) as e:  # damaged words can lead anywhere
+            raise ValueError("a block cannot be read") from e
         for row, (n, _, checksum) in zip(grid, own.tolist(), strict=True):
             ids = row[:n].astype("<u4")
             if zlib.crc32(ids.tobytes()) != checksum:
