@@ -2,9 +2,11 @@
 
 The DOMs of a host are merged into one tree of style nodes, a node being a path of element
 names and first classes.  A node carries how its presentation (the sequence of its children)
-and its content (the text under it) are distributed over the pages of the host; the entropy
-of both is its importance.  Branches that look and read alike everywhere are dropped from
-every page, as are branches whose element or class names say what they are.
+and its content (the text of its branch) are distributed over its occurrences on the host;
+the larger of the two normalised entropies is its importance.  A branch goes if it is nearly
+the same everywhere, or if it repeats itself clearly more often than the branch beside it that
+holds most of the text.  Parts that entropy cannot tell, because their words differ on every
+page as those of reader comments do, go by their element or class names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from . import common
 
-#: A style node is judged by its importance if it occurs so often on a host, and dropped below this.
-MIN_OCCURRENCES, LOW_IMPORTANCE = 10, 0.2
+#: A style node is judged by its importance if it occurs so often on a host, and dropped below this whatever is beside it.
+MIN_OCCURRENCES, LOW_IMPORTANCE = 10, 0.4
+#: Beside a branch with most of the text, a node goes whose lack of importance (1 - importance) is more
+#: than so many times that of the main branch and more than that of so many pairs of equal texts.
+TIMES_MAIN, LEAST_PAIRS = 2.0, 2.0
 #: Low nodes of all hosts up to which the table is broadcast; beyond, pages are joined by shuffle.
 BROADCAST_NODES = 500_000
 
@@ -30,6 +35,8 @@ BROADCAST_NODES = 500_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr td th".split())
+#: Elements that show no text, or none that is read.
+UNSEEN = frozenset("head script style noscript template iframe svg canvas object embed select textarea xmp noembed noframes title".split())
 #: Elements that hold no part of an article wherever they stand.
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed button select textarea dialog menu xmp noembed noframes title".split())
 NOISE_NAMES = frozenset(
@@ -51,6 +58,8 @@ CLOSES = {
     "tfoot": ("thead tbody tfoot tr td th", ("table",)),
     "option": ("option", ("select",)),
 }
+#: Text elements: beside a main branch they are part of the article more often than not, so they are judged alone.
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd blockquote pre figure figcaption table tr td th tbody thead tfoot hgroup address summary details html body main article".split()) | INLINE
 CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in CLOSES.items()}
 
 TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|[^<]+|<", re.S)
@@ -71,13 +80,31 @@ def _noisy(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return False
 
 
+class _Open:
+    """An element whose end is not reached: its style node and what its branch holds so far."""
+
+    __slots__ = ("tag", "node", "parent", "dropped", "scope", "children", "content", "mass", "container")
+
+    def __init__(self, tag: str, node: int, parent: int, dropped: bool, scope: int):
+        self.tag, self.node, self.parent, self.dropped, self.scope = tag, node, parent, dropped, scope
+        self.children = self.content = self.mass = 0
+        self.container = False
+
+
 class Page:
-    """Text blocks of a page, each with its style path, and the style nodes with their children."""
+    """Text blocks of a page outside dropped branches, and the style nodes of all branches.
 
-    def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, tuple[str, ...], bool, int]] = []  # text, path, noise by name, scope
-        self.nodes: list[tuple[tuple[str, ...], tuple[str, ...]]] = []
-        self._stack: list[list] = []  # tag, style name, noise, scope (2 article, 1 main), children
+    Blocks are (text, scope: 2 in an article, 1 in main, 0 elsewhere); nodes are (node, parent,
+    may be judged by its neighbours, holds blocks, children, content or None, length of its text).
+    All values of a node are digests that grow along the way, so deep pages cost no more than flat ones.
+    """
+
+    def __init__(self, source: str | None, low: frozenset[int] = frozenset(), names: bool = True):
+        self.blocks: list[tuple[str, int]] = []
+        self.nodes: list[tuple] = []
+        self._low, self._names = low, names
+        self._stack: list[_Open] = []
+        self._count: Counter = Counter()
         self._text: list[str] = []
         self._read(source or "")
 
@@ -86,22 +113,34 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text = []
             if text:
-                top = self._stack[-1] if self._stack else None
-                self.blocks.append((text, tuple([x[1] for x in self._stack]), bool(top and top[2]), top[3] if top else 0))
+                if not self._stack:
+                    self.blocks.append((text, 0))
+                    return
+                top = self._stack[-1]
+                top.content = _digest(text, top.content)
+                top.mass += len(text)
+                if not top.dropped:
+                    self.blocks.append((text, top.scope))
 
     def _pop(self) -> None:
         top = self._stack[-1]
-        if top[0] not in INLINE:
+        if top.tag not in INLINE:
             self._flush()
-        self.nodes.append((tuple([x[1] for x in self._stack]), tuple(top[4])))
         self._stack.pop()
+        self._count[top.tag] -= 1
+        if self._stack:
+            above = self._stack[-1]
+            above.container |= top.tag not in INLINE
+            if top.mass:
+                above.content = _digest(top.content.to_bytes(8, "little"), above.content)
+                above.mass += top.mass
+        self.nodes.append((top.node, top.parent, top.tag not in TEXT_TAGS, top.container, top.children, top.content if top.mass else None, top.mass))
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == tag:
-                while len(self._stack) > i:
-                    self._pop()
-                return
+        if self._count[tag]:
+            while self._stack[-1].tag != tag:
+                self._pop()
+            self._pop()
 
     def _open(self, tag: str, raw: str) -> None:
         stack = self._stack
@@ -113,35 +152,40 @@ class Page:
         else:
             self._flush()
             for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
+                if stack[i].tag == "p":
                     while len(stack) > i:
                         self._pop()
                     break
-                if stack[i][0] not in INLINE:
+                if stack[i].tag not in INLINE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(self._count[x] for x in CLOSES[tag][0]):
             ends, scope = CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in scope:
+                if stack[i].tag in scope:
                     break
-                if stack[i][0] in ends:
+                if stack[i].tag in ends:
                     while len(stack) > i:
                         self._pop()
         if tag in VOID:
             return
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTES.findall(raw)} if raw else {}
         above = stack[-1] if stack else None
-        scope = above[3] if above else 0
-        noisy = bool(above and above[2]) or _noisy(tag, attributes, scope == 2)
-        if tag == "article":
+        scope = above.scope if above else 0
+        dropped = bool(above and above.dropped) or tag in UNSEEN or (self._names and _noisy(tag, attributes, scope == 2))
+        if not self._names:
+            scope = 0
+        elif tag == "article":
             scope = 2
         elif (tag == "main" or attributes.get("role") == "main") and scope < 1:
             scope = 1
         classes = attributes.get("class", "").split()
         name = f"{tag}.{classes[0]}" if classes else tag
         if above:
-            above[4].append(name)
-        stack.append([tag, name, noisy, scope, []])
+            above.children = _digest(name, above.children)
+        parent = above.node if above else 0
+        node = _digest(name, parent)
+        stack.append(_Open(tag, node, parent, dropped or node in self._low, scope))
+        self._count[tag] += 1
 
     def _read(self, source: str) -> None:
         at, find = 0, TOKENS.match
@@ -156,26 +200,19 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                if tag == "br":
-                    self._flush()
-                elif tag == "p" and not any(x[0] == "p" for x in self._stack):
+                if tag == "br" or (tag not in INLINE and not self._count[tag]):
                     self._flush()
-                elif tag not in INLINE:
-                    if any(x[0] == tag for x in self._stack):
-                        self._close(tag)
-                    else:
-                        self._flush()
-                elif self._stack and self._stack[-1][0] == tag:
-                    self._pop()
-                elif tag in ("td", "th"):
+                elif tag not in INLINE or tag in ("td", "th"):
                     self._close(tag)
+                elif self._stack and self._stack[-1].tag == tag:
+                    self._pop()
                 continue
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
                 self._open(tag, m[3])
                 at = end.end() if end else len(source)
                 self._text = []
-                self._stack and self._stack[-1][0] == tag and self._pop()
+                self._stack and self._stack[-1].tag == tag and self._pop()
                 continue
             if tag in ("br", "hr"):
                 self._flush()
@@ -185,68 +222,83 @@ class Page:
             self._pop()
         self._flush()
 
-    def text(self, low: frozenset[int] = frozenset()) -> str:
-        """The blocks outside dropped branches: of the articles if there are any, else of main, else of all."""
-        kept = [b for b in self.blocks if not b[2] and not (low and any(path_key(b[1][: i + 1]) in low for i in range(len(b[1]))))]
-        scope = max([b[3] for b in kept], default=0)
-        return "\n".join([b[0] for b in kept if b[3] == scope])
+    def text(self) -> str:
+        """The blocks of the articles if there are any, else of main, else all."""
+        scope = max([b[1] for b in self.blocks], default=0)
+        return "\n".join([b[0] for b in self.blocks if b[1] == scope])
 
 
-def path_key(path: tuple[str, ...]) -> int:
-    return xxhash.xxh3_64_intdigest("/".join(path).encode("utf-8", "surrogatepass")) - 2**63
+def _digest(part: str | bytes, before: int) -> int:
+    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass") if isinstance(part, str) else part, seed=before)
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+_COUNTS = "host string, node long, parent long, movable boolean, container boolean, kind int, value long, n long"
+
+
 def style_counts(pages: DataFrame) -> DataFrame:
-    """host, node, kind (0 presentation, 1 content), value, n: how often a style node has a value."""
+    """host, node, parent, movable, container, kind, value, n: how often a style node has a value.
+
+    Kind 0 is presentation, 1 content; kind 2 counts characters of text, under the value 0.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter = Counter()
-        keys: dict[tuple, int] = {}
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(source)
-            for path, children in page.nodes:
-                if (k := keys.get(path)) is None:
-                    k = keys[path] = path_key(path)
-                seen[host, k, 0, xxhash.xxh3_64_intdigest("/".join(children).encode("utf-8", "surrogatepass")) - 2**63] += 1
-            for text, path, _, _ in page.blocks:
-                if path:
-                    if (k := keys.get(path)) is None:
-                        k = keys[path] = path_key(path)
-                    seen[host, k, 1, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63] += 1
-        columns = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) if seen else [()] * 5
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["host", "node", "kind", "value", "n"])
+            for node, parent, movable, container, children, content, mass in Page(source).nodes:
+                key = (host, node - 2**63, parent - 2**63, movable, container)
+                seen[*key, 0, children - 2**63] += 1
+                if mass:
+                    seen[*key, 1, content - 2**63] += 1
+                    seen[*key, 2, 0] += mass
+        columns = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) if seen else [()] * 8
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    return common.map_batches(rows, run, "host string, node long, kind int, value long, n long").groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
+    each = common.map_batches(rows, run, _COUNTS)
+    return each.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"), F.first("parent").alias("parent"), F.first("movable").alias("movable"), F.max("container").alias("container"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """Per host and node: its occurrences, and importance = the larger of both normalised entropies.
+    """Per host and node: parent, movable, container, occurrences, mass, content (has text), importance.
 
-    Entropy over log of the occurrences: 0 where a node always has one value, 1 where never twice.
+    Importance is the larger of both normalised entropies.  Entropy over log of the
+    occurrences: 0 where a node always has one value, 1 where never twice.
     """
-    each = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
-    h = F.when(F.col("m") > 1, (F.log(F.col("m").cast("double")) - F.col("s") / F.col("m")) / F.log(F.col("m").cast("double"))).otherwise(1.0)
-    return each.withColumn("h", h).groupBy("host", "node").agg(F.max("m").alias("occurrences"), F.max("h").alias("importance"), F.max("kind").alias("kind"))
+    node = [F.first("parent").alias("parent"), F.first("movable").alias("movable"), F.max("container").alias("container")]
+    n = F.col("n").cast("double")
+    each = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(n * F.log(n)).alias("s"), *node)
+    log_m = F.log(F.col("m").cast("double"))
+    h = F.when(F.col("kind") == 2, None).when(F.col("m") > 1, (log_m - F.col("s") / F.col("m")) / log_m).otherwise(1.0)
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    return each.withColumn("h", h).groupBy("host", "node").agg(of(0, "m").alias("occurrences"), F.max("h").alias("importance"), of(2, "m").alias("mass"), F.coalesce(of(1, "m") > 0, F.lit(False)).alias("content"), *node)
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """Per host with any: low, the array of style nodes that hold text and are of low importance."""
-    judged = importance(style_counts(pages)).filter((F.col("occurrences") >= MIN_OCCURRENCES) & (F.col("importance") < LOW_IMPORTANCE) & (F.col("kind") == 1))
-    return judged.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("low"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    judged = common.cut(importance(style_counts(pages)).filter("content"), "style-nodes")
+    main = judged.groupBy("host", "parent").agg(F.max_by(F.struct("importance", "container", "mass"), F.struct("mass", "node")).alias("main"), F.sum("mass").alias("whole"))
+    main = main.filter("main.container and 2 * main.mass > whole").select(F.col("host").alias("_host"), F.col("parent").alias("_parent"), F.col("main.importance").alias("best"), F.col("main.mass").alias("most"))
+    lack, m = 1 - F.col("importance"), F.col("occurrences").cast("double")
+    # Content that k pairs of pages share, and nothing else: entropy lacks 2 k log 2 / (m log m).
+    pairs = lack * m * F.log(m) / F.lit(2 * 0.6931471805599453)
+    repeats = F.col("movable") & (F.col("mass") < F.col("most")) & (lack > TIMES_MAIN * (1 - F.col("best"))) & (pairs >= LEAST_PAIRS - 1e-9)
+    both = judged.filter(F.col("occurrences") >= MIN_OCCURRENCES).join(main, F.col("host").eqNullSafe(F.col("_host")) & (F.col("parent") == F.col("_parent")), "left")
+    low = both.filter((F.col("importance") < LOW_IMPORTANCE) | F.coalesce(repeats, F.lit(False)))
+    return low.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("low"))
+
+
+def extract(pages: DataFrame, names: bool = True) -> DataFrame:
     """``pages`` with text and n_chars (code points) instead of html.
 
     Character references are decoded, white space inside a block becomes one space, blocks
     are joined by one newline in page order.  Null and empty html give an empty text.  A page
-    whose host is unknown or seen seldom is judged by names alone.  Repeated rows give
+    whose host is unknown or seen seldom is judged by names alone; without ``names`` the style
+    tree decides alone: neither names nor article elements have a say.  Repeated rows give
     repeated results and count as pages of their host; other columns stay, those named like a
     new one are replaced; an empty table gives no rows.
     """
@@ -259,7 +311,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = len(kept)
-        texts = [Page(h).text(frozenset(low or ())) for h, low in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True)]
+        sets: dict[tuple, frozenset[int]] = {}
+        texts = []
+        for source, low in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
+            key = tuple(low or ())
+            if (known := sets.get(key)) is None:
+                known = sets[key] = frozenset(x + 2**63 for x in key)
+            texts.append(Page(source, known, names).text())
         return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, type=pa.string()), pa.array(map(len, texts), type=pa.int64())], names=[*kept, "text", "n_chars"])
 
     schema = StructType([pages.schema[c] for c in kept]).add("text", StringType()).add("n_chars", LongType())

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import common, decontamination, fingerprints, html_extraction, toxicity
 
@@ -149,9 +150,37 @@ def test_negative_risk_is_kept_from_zero():
     r = np.random.default_rng(0)
     positive = [np.unique(r.integers(0, 40, 6)).astype(np.int32) for _ in range(60)]
     other = [np.unique(np.append(r.integers(40, 90, 6), r.integers(0, 90, 1))).astype(np.int32) for _ in range(300)]
-    weights, bias = toxicity.fit(positive, other, 0.1)
+    weights, bias, corrected = toxicity.fit(toxicity.Sample(positive), toxicity.Sample(other), 0.1)
     score = lambda t: bias + sum(weights.get(int(x), 0) for x in t)
     assert np.mean([score(t) for t in positive]) > 0 > np.mean([score(t) for t in other])
+    assert corrected > 0
+    # A prior far below the share of positives among the unlabelled never needs the correction.
+    assert toxicity.fit(toxicity.Sample(positive), toxicity.Sample([*other, *positive * 3]), 0.01)[2] == 0
+
+
+def test_chosen_features_against_a_loop():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    positive = [np.unique(r.integers(0, 60, 12)).astype(np.int32) for _ in range(50)]
+    other = [np.unique(r.integers(30, 400, 20)).astype(np.int32) for _ in range(200)]
+    expected = []
+    for f in range(400):
+        p, u = sum(f in x for x in positive), sum(f in x for x in other)
+        rate_p, rate_u = p / 50, (u + 0.5) / 201
+        if p >= toxicity.MIN_POSITIVE_TEXTS and abs(rate_p - rate_u) / (rate_u * (1 - rate_u) / 50) ** 0.5 > 3:
+            expected.append(f)
+    assert toxicity.select(toxicity.Sample(positive), toxicity.Sample(other)).tolist() == expected
+    assert toxicity.select(toxicity.Sample([]), toxicity.Sample(other)).tolist() == []
+
+
+def test_rejecting_keeps_columns_of_any_name(spark):
+    rows, labels = toxic_rows(200)
+    docs = spark.createDataFrame([(i, t, 7.5, "mine", True, 9) for i, t in rows], "doc_id long, text string, score double, predicted string, held_out boolean, n long")
+    out = toxicity.reject_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert 0 < len(got) < len(rows) and {tuple(r[2:]) for r in got} == {(7.5, "mine", True, 9)}
 
 
 # -- pages -----------------------------------------------------------------------------------
@@ -230,6 +259,37 @@ def test_edited_fingerprints_edges(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_ranges_follow_the_bytes(spark, monkeypatch):
+    """Documents of very different lengths: every document in one range, ranges in order, none far above the aim."""
+    rows = [(i * 3, prose(i, 400 if i % 10 == 0 else 4)) for i in range(400)] + [(None, "null id"), (0, "again"), (7, None)]
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 20_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").fillna("", "text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        buckets = fingerprints.ordered_buckets(docs)
+        found = [[(r["doc_id"], r["text"], r["bucket"]) for r in part if not r["tail"]] for part in buckets.rdd.glom().collect()]
+        got = fingerprints.edited_fingerprints(docs).drop("containment_edited").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(len({r[2] for r in part}) == 1 for part in found)
+    assert sorted(map(repr, (r[:2] for part in found for r in part))) == sorted(map(repr, ((d, t or "") for d, t in rows)))
+    sizes = [sum(len(r[1]) for r in part) for part in found]
+    assert max(sizes) < 2 * 20_000 and len(sizes) >= sum(sizes) / 20_000 / 2
+    assert sorted(repr(tuple(r)) for r in got) == brute_edited(rows)
+
+
+def test_many_edges_are_looked_up():
+    import numpy as np
+
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    edges = sorted({int(x) for x in np.random.default_rng(2).integers(-500, 500, 130)})
+    rows = spark.range(-600, 600).select("id", fingerprints._range_of(F.col("id"), edges).alias("r")).collect()
+    assert [r["r"] for r in sorted(rows)] == [sum(e < i for e in edges) for i in range(-600, 600)]
+
+
 def test_gear_hashes_against_the_loop():
     import numpy as np
 
@@ -248,3 +308,37 @@ def test_chunks_survive_a_shift():
     assert fingerprints.likeness(a, fingerprints.chunk_weights(prose(6, 2000))) < 0.05
     ends = fingerprints.chunk_ends(text.encode())
     assert ends[-1] == len(text.encode()) and all(0 < y - x <= fingerprints.MAX_CHUNK for x, y in zip([0, *ends], ends, strict=False))
+
+
+# -- the style tree --------------------------------------------------------------------------
+
+
+def test_the_tree_alone_removes_what_repeats(spark):
+    """Without names and article elements: menus, adverts and footers of hosts with enough pages go."""
+    rows, menus = [], [[f"menu{k}{x}" for x in "abcd"] for k in range(12)]
+    for i in range(80):
+        menu = "".join(f"<li><a href=/x>{w}</a></li>" for w in menus[i * 7 % 12][: 3 + i % 2])
+        body = f"<div class=x1><h2>{prose(500 + i, 4)}</h2><p>{prose(i, 40)}</p><p>{prose(i + 200, 30)}</p></div>"
+        rows.append((i, f"https://h.example/{i}", f"<body><div class=m><ul>{menu}</ul></div><div class=a2>{prose(900 + i % 9, 8)}</div>{body}<div class=f>{prose(700 + i % 10, 5)}</div></body>"))
+    flat = lambda t: " ".join(t.split())
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages(spark, rows), names=False).collect()}
+    assert got == {i: "\n".join(map(flat, (prose(500 + i, 4), prose(i, 40), prose(i + 200, 30)))) for i in range(80)}
+
+
+def test_the_tree_on_the_table(spark):
+    """Names off: as with names on at least nine pages of ten."""
+    table = common.read_table(spark, "/root/testdata/sf0.1", "pages")
+    with_, alone = ({r["page_id"]: r["text"] for r in html_extraction.extract(table, names=n).select("page_id", "text").collect()} for n in (True, False))
+    assert sum(with_[k] == alone[k] for k in with_) >= 0.9 * len(with_)
+
+
+def test_deep_pages_need_linear_room():
+    import tracemalloc
+
+    deep = "<div>" * 100_000 + "inside" + "</div>" * 100_000
+    tracemalloc.start()
+    page = html_extraction.Page(deep)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert page.text() == "inside" and peak < 120e6
+    assert html_extraction.Page("<div>" * 50_000 + "open").text() == "open"
