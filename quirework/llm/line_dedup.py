@@ -1,10 +1,12 @@
-"""Removal of repeated runs of lines by hashes of their shortest parts.
-
-A run is long enough by its lines or by its words, and then it is made of units: windows of
-MIN_LINES lines, and one or two adjacent lines with MIN_WORDS words.  Every unit is matched
-with its first occurrence in corpus order and deleted from the later places, so the lines
-deleted are those of all repeated runs.  A unit is its own context: a frequent line inside
-it has no part in what it is matched with.
+"""Removal of repeated runs of lines by winnowing over line hashes.
+
+Of every window of WINDOW_LINES line hashes the least is a fingerprint, so two places that share
+such a window share a fingerprint.  Fingerprints that occur once are dropped; around the others
+the match is extended both ways to the windows that chose them, and a window is deleted from all
+places but its first in corpus order.  Windows overlap, so the lines deleted are those of all
+repeated runs, however long.  A frequent line costs nothing but its own rows: what is matched is
+the window around it.  Runs of fewer lines count if they have many words; one or two adjacent
+lines with MIN_WORDS words are a fingerprint of their own.
 """
 
 from __future__ import annotations
@@ -18,13 +20,10 @@ from pyspark.sql.types import LongType, StructType
 
 from . import common
 
-#: Lines of a window, the shortest run that is deleted whatever its words.  Each window holds a
-#: minimum of its own hashes, so winnowing with this window would leave none of them out.
+#: Lines of a window, the shortest run that is deleted whatever its words.
 WINDOW_LINES = 3
 #: A run is deleted if it has so many lines, or so many words.
 MIN_LINES, MIN_WORDS = WINDOW_LINES, 50
-#: Not used here: reach of the extension in the weaker rule that the tests hold small tables against.
-REACH = WINDOW_LINES
 
 #: Multipliers of the line hashes of a unit.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -44,24 +43,37 @@ def unit_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def document_units(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last line of every unit, among the lines that are not blank."""
+def window_minima(h: np.ndarray, n: int = WINDOW_LINES) -> np.ndarray:
+    """Position of the least hash of every window of ``n``; of equal ones the last."""
+    if len(h) < n:
+        return np.zeros(0, dtype=np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(h[::-1], n)[::-1]
+    return np.arange(len(windows)) + n - 1 - np.argmin(windows, axis=1)
+
+
+def document_units(text: str | None) -> tuple[np.ndarray, ...]:
+    """Per unit: fingerprint, whether it is the first unit at that place of it, hash, first and last line.
+
+    Units are the windows, each with its minimum, and one or two lines with many words; lines
+    are numbered without the blank ones.
+    """
     lines, solid = lines_of(text)
     own = [lines[i].strip() for i in solid]
     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), dtype=np.uint64, count=len(own))
     words = np.fromiter((x.count(" ") + 1 for x in own), dtype=np.int64, count=len(own))
-    hashes, firsts, lasts = [], [], []
-    for n in range(1, MIN_LINES + 1):
+    least = window_minima(h)
+    parts = [(h[least], np.diff(least, prepend=-1) != 0, unit_hashes(h, WINDOW_LINES), np.arange(len(least)), WINDOW_LINES)]
+    for n in range(1, MIN_LINES):
         at = np.arange(max(0, len(own) - n + 1))
-        if n < MIN_LINES:
-            at = at[sum(words[k : k + len(at)] for k in range(n)) >= MIN_WORDS]
-        hashes.append(unit_hashes(h, n)[at])
-        firsts.append(at)
-        lasts.append(at + n - 1)
-    return np.concatenate(hashes).view(np.int64), np.concatenate(firsts), np.concatenate(lasts)
+        at = at[sum(words[k : k + len(at)] for k in range(n)) >= MIN_WORDS]
+        unit = unit_hashes(h, n)[at]
+        parts.append((unit, np.ones(len(at), dtype=bool), unit, at, n))
+    prints, chief, units_, firsts = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
+    lasts = firsts + np.repeat([p[4] - 1 for p in parts], [len(p[3]) for p in parts])
+    return prints.view(np.int64), chief, units_.view(np.int64), firsts, lasts
 
 
-_UNITS = "doc_id long, text_key long, hash long, first int, last int"
+_UNITS = "doc_id long, text_key long, print long, chief boolean, hash long, first int, last int"
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -72,10 +84,11 @@ def units(docs: DataFrame) -> DataFrame:
         common.hold_cache("lines", lambda: None)
         found = [document_units(t) for t in batch.column(2).to_pylist()]
         rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        hashes, firsts, lasts = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes), pa.array(firsts.astype(np.int32)), pa.array(lasts.astype(np.int32))], names=names)
+        prints, chief, hashes, firsts, lasts = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(prints), pa.array(chief), pa.array(hashes), pa.array(firsts.astype(np.int32)), pa.array(lasts.astype(np.int32))], names=names)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    # Rows equal in doc_id and text are one document.
     return common.map_batches(keyed, run, _UNITS)
 
 
@@ -85,12 +98,15 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     A run is a unit whose first occurrence, in the order of doc_id, text_key and line, is
     elsewhere.
     """
-    every = units(docs)
+    every = common.cut(units(docs), "units")
+    # Written, so that the joins below deal both sides anew and a frequent line or window can be split.
+    shared = every.groupBy("print").agg(F.count_if("chief").alias("n")).filter("n > 1").select("print")
+    near = common.cut(every.join(common.cut(shared, "prints"), "print").select("doc_id", "text_key", "hash", "first", "last"), "near")
     place = F.struct("doc_id", "text_key", "first")
-    firsts = every.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1")
-    # Written, so that the join below deals both sides anew and a frequent unit can be split.
+    firsts = near.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1")
     firsts = common.cut(firsts.select("hash", F.col("f.doc_id").alias("f_doc"), F.col("f.text_key").alias("f_key"), F.col("f.first").alias("f_first")), "firsts")
-    later = every.join(firsts, "hash").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_key") == F.col("f_key")) & (F.col("first") == F.col("f_first"))))
+    common.discard(every)
+    later = near.join(firsts, "hash").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_key") == F.col("f_key")) & (F.col("first") == F.col("f_first"))))
     return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
@@ -113,18 +129,10 @@ def delete_runs(text: str | None, runs: list[dict] | None) -> tuple[str | None,
     return "\n".join(kept), n, int(gone.sum()), count
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs of lines deleted from ``text``, and n_lines, n_removed, n_runs.
-
-    Lines are compared without white space at their ends; blank lines are passed over.  A
-    run of at least MIN_LINES lines or MIN_WORDS words that occurs at an earlier place of the
-    corpus is deleted, so the first occurrence of any run stays.  Null texts
-    stay null, with no lines; a document whose lines are all repeated keeps an empty text.
-    Rows equal in doc_id and text are one document and change alike.  Every other column
-    stays (columns named like the new ones are replaced); an empty table gives no rows.
-    """
-    added = ("n_lines", "n_removed", "n_runs")
-    kept = [c for c in docs.columns if c not in added]
+def _edited(docs: DataFrame) -> DataFrame:
+    """``docs`` as it is but for ``text``, and __qw_lines, __qw_removed, __qw_runs."""
+    added = ("__qw_lines", "__qw_removed", "__qw_count")
+    kept = docs.columns
     runs = repeated_runs(docs).select(F.col("doc_id").alias("__qw_id"), F.col("text_key").alias("__qw_key"), F.col("runs").alias("__qw_runs"))
     keyed = docs.select(*kept, F.xxhash64("text").alias("__qw_text_key"))
     joined = keyed.join(runs, F.col("doc_id").cast("long").eqNullSafe(F.col("__qw_id")) & (F.col("__qw_text_key") == F.col("__qw_key")), "left").select(*kept, "__qw_runs")
@@ -136,7 +144,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         columns = [pa.array(text, type=pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, type=pa.int64()) for c in counts)], names=[*kept, *added])
 
-    schema = StructType([docs.schema[c] for c in kept])
+    schema = StructType(list(docs.schema.fields))
     for c in added:
         schema = schema.add(c, LongType())
     return common.map_batches(joined, run, schema)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated runs of lines deleted from ``text``, and n_lines, n_removed, n_runs.
+
+    Lines are compared without white space at their ends; blank lines are passed over.  A
+    run of at least MIN_LINES lines or MIN_WORDS words that occurs at an earlier place of the
+    corpus is deleted, so the first occurrence of any run stays.  Null texts
+    stay null, with no lines; a document whose lines are all repeated keeps an empty text.
+    Rows equal in doc_id and text are one document and change alike.  Every other column
+    stays (columns named like the new ones are replaced); an empty table gives no rows.
+    """
+    names = {"__qw_lines": "n_lines", "__qw_removed": "n_removed", "__qw_count": "n_runs"}
+    return _edited(docs.drop(*names.values())).withColumnsRenamed(names)
+
+
+def without_repeats(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """``docs`` with repeated runs deleted, under its own columns; documents that lose every line go.
+
+    ``length`` names a column with the number of code points of the text, which follows it.
+    Texts without a line of their own (null, empty, blank) stay as they are.
+    """
+    out = _edited(docs).filter("__qw_removed = 0 or trim(BOTH ' \t\n\r' FROM text) <> ''")
+    if length:
+        out = out.withColumn(length, F.when(F.col("__qw_removed") > 0, F.length("text").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.select(*docs.columns)
