@@ -10,8 +10,12 @@ are ruled out by the triangle inequality.  What remains is computed exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +88,12 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _documents(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, sid of every row; ``hot``: (token, count) pairs of one batch, at its first row."""
+    """doc_id, text_key, n, sid of every row; ``hot``: (token, count) pairs of one batch, at its first row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
@@ -99,14 +103,15 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array([len(s) for s in sets], type=pa.int64()),
                 pa.array([set_id(s) if len(s) else None for s in sets], type=pa.int64()),
                 pa.array([hot, *[None] * (len(sets) - 1)], type=pa.list_(pa.list_(pa.int64()))),
             ],
-            names=["doc_id", "n", "sid", "hot"],
+            names=["doc_id", "text_key", "n", "sid", "hot"],
         )
 
-    return common.map_batches(_documents(docs), run, "doc_id long, n long, sid long, hot array<array<long>>")
+    return common.map_batches(_documents(docs, F.xxhash64("text").alias("text_key")), run, "doc_id long, text_key long, n long, sid long, hot array<array<long>>")
 
 
 def _hot_tokens(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +246,85 @@ def _mixed_entries(index: DataFrame, labels: DataFrame, answers: DataFrame) -> D
     return common.cut(marked.join(mixed, "token"), "marked")
 
 
+def size_class(n: int) -> int:
+    """Sizes up to 127 are classes of their own, larger ones share their first seven bits."""
+    k = max(0, n.bit_length() - 7)
+    return k * 64 + (n >> k)
+
+
+def _class_of(n: str):
+    k = f"greatest(length(bin({n})) - 7, 0)"
+    return F.expr(f"{k} * 64 + shiftright({n}, {k})")
+
+
+@lru_cache(maxsize=20_000)
+def _bounds(n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per size class of a partner that is not smaller: the class, the last position that counts, the least number of entries up to it."""
+    kept = lambda x: -(-percent * x // 100)
+    overlap = lambda x: -(-percent * (n + x) // (100 + percent))
+    out = []
+    for aim in range(size_class(n), size_class(n * 100 // percent) + 1):
+        k = max(0, aim // 64 - 1)
+        low, high = max(n, aim - 64 * k << k), min((aim - 64 * k + 1 << k) - 1, n * 100 // percent)
+        # Tokens that both surely share is the smaller of what either prefix tells (see _least_shared):
+        # own's grows with the partner, the partner's falls but for rounding.
+        most = min(overlap(high) - kept(n) + 1, overlap(low) - kept(low) + 2)
+        least = min(overlap(low) - kept(n) + 1, overlap(high) - kept(high))
+        out.append((aim, n - overlap(low) - (-most // 2) - 1, max(1, -(-least // 2))))
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*out, strict=True))
+
+
+def _prospects(marked: DataFrame, percent: int) -> DataFrame:
+    """Entries of each set by the size class of a larger partner they may help to find: token, aim, sid, n, pos, c, l, d.
+
+    A set links with one of a class only if the two share at least k of their first prefix
+    tokens, so a set with fewer entries than that, among those lists that hold other components
+    at all, has no partner there.  It is dropped before any pair is made, however many sets
+    share its frequent tokens.  Bounds hold for the whole class.
+    """
+    common.small_batches(marked.sparkSession)
+    own = marked.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "c", "l", "d")], F.collect_list("pos").alias("pos"), F.collect_list("token").alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(1).to_pylist()
+            lengths = pc.list_value_length(batch.column(5)).to_numpy()
+            pos, tokens = (batch.column(k).flatten().to_numpy() for k in (5, 6))
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((pos, row))
+            pos, tokens = pos[order].astype(np.int64), tokens[order]
+            starts = np.cumsum(lengths) - lengths
+            aims, lasts, leasts = (np.concatenate(x) for x in zip(*[_bounds(n, percent) for n in sizes], strict=True))
+            owner = np.repeat(np.arange(len(sizes)), [len(_bounds(n, percent)[0]) for n in sizes])
+            count = np.searchsorted(row * 2**32 + pos, owner * 2**32 + lasts, side="right") - starts[owner]
+            able = np.flatnonzero(count >= leasts)
+            count, owner, aims = count[able], owner[able], aims[able]
+            at = np.repeat(starts[owner], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            rows = pa.array(np.repeat(owner, count))
+            columns = [pa.array(tokens[at]), pa.array(pos[at].astype(np.int32)), pa.array(np.repeat(aims, count).astype(np.int32)), *(batch.column(k).take(rows) for k in range(5))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "pos", "aim", "sid", "n", "c", "l", "d"])
+
+    return own.mapInArrow(run, "token long, pos int, aim int, sid long, n int, c long, l long, d double")
+
+
+def _meetings(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough of their first prefix tokens."""
+    entries = common.cut(_prospects(marked, percent), "prospects")
+    side = lambda rows, p: rows.select("token", *[F.col(c).alias(p + c) for c in rows.columns if c != "token"])
+    x = side(entries, "x")
+    y = side(marked.select("token", "sid", "n", "pos", "c", "l", "d", _class_of("n").alias("class")), "y").withColumnRenamed("token", "_token")
+    # Linked sets are no further apart than 1 - percent / 100, so neither are their distances to a third.
+    ruled_out = (F.col("xl") == F.col("yl")) & (F.abs(F.col("xd") - F.col("yd")) > 1 - percent / 100 + 1e-9)
+    larger = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xsid") < F.col("ysid")))
+    able = larger & (F.col("xc") != F.col("yc")) & _can_link("x", "y", percent) & _early("x", "y", percent) & ~F.coalesce(ruled_out, F.lit(False))
+    meet = x.join(y, (x["token"] == y["_token"]) & (x["xaim"] == y["yclass"]) & able)
+    # The first shared tokens of a pair that can link are all rows here, so they can be counted at once.
+    rest = meet.groupBy(*_ordered_pairs("xsid", "ysid")).agg(F.count("*").alias("shared"), F.first("xn").alias("_na"), F.first("yn").alias("_nb"))
+    return rest.filter(F.col("shared") >= _first_shared(_least_shared(percent))).select("a", "b")
+
+
 def _ordered_pairs(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -256,6 +340,11 @@ def link_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     component and takes no part.  Shingles are compared by 64-bit hashes.  Columns besides
     doc_id and text are not read; an empty table gives no rows.
     """
+    return _linked(docs, size, percent).drop("text_key")
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """link_components, and text_key: a hash of the row's text."""
     members = common.cut(_members(docs, size), "members")
     prefixes = _prefixes(docs, _hot_tokens(members), size, percent)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND_RATIO))).cast("int")
@@ -286,6 +375,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     for turn in range(COMPONENT_TURNS):
         # Sets outside the largest component of a block meet other members of it.
         marked = _mixed_entries(marked, labels, answers)
+        common.discard(index)  # its rows are in marked, and what every set has of it in the profiles
         fresh = F.xxhash64("sid", F.pmod("token", F.lit(TURN_ORDERS)), F.lit(turn))
         each = marked.groupBy("token", "band", "c").agg(F.count("*").alias("size"), F.min(F.struct(fresh.alias("rank"), "sid", "n", "pos")).alias("h"))
         most = each.groupBy("token", "band").agg(F.max(F.struct("size", "c", "h")).alias("m")).filter("m.size > 1")
@@ -303,14 +393,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
 
     # What still holds several components is computed pair by pair.
     marked = _mixed_entries(marked, labels, answers)
-    side = lambda p: marked.select("token", *[F.col(c).alias(p + c) for c in ("sid", "n", "pos", "band", "c", "l", "d")])
-    x, y = side("x"), side("y").withColumn("block", F.explode(F.array(F.col("yband"), F.col("yband") - 1)))
-    # Linked sets are no further apart than 1 - percent / 100, so neither are their distances to a third.
-    ruled_out = (F.col("xl") == F.col("yl")) & (F.abs(F.col("xd") - F.col("yd")) > 1 - percent / 100 + 1e-9)
-    meet = x.join(y, (x["token"] == y["token"]) & (x["xband"] == y["block"]) & ((F.col("yband") > F.col("xband")) | (F.col("xsid") < F.col("ysid"))) & (F.col("xc") != F.col("yc")) & _can_link("x", "y", percent) & _early("x", "y", percent) & ~F.coalesce(ruled_out, F.lit(False)))
-    # The first shared tokens of a pair that can link are all rows here, so they can be counted at once.
-    rest = meet.groupBy(*_ordered_pairs("xsid", "ysid")).agg(F.count("*").alias("shared"), F.first("xn").alias("_na"), F.first("yn").alias("_nb"))
-    rest = rest.filter(F.col("shared") >= _first_shared(_least_shared(percent))).select("a", "b").join(met, ["a", "b"], "left_anti")
+    rest = _meetings(marked, percent).join(met, ["a", "b"], "left_anti")
     rest = _screened(rest, profiles, percent)
     rest = common.cut(rest, "pairs")
     more = common.cut(_verified(rest, _sets(docs, rep, rest, size), percent).filter("linked").select("a", "b"), "links")
@@ -323,16 +406,18 @@ def link_components(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     # Sets without a link: their copies alone.
     alone = rep.join(by_set, "sid", "left").select("sid", F.coalesce("joined", "doc_id").alias("component"))
     return (
-        members.select("doc_id", F.col("n").alias("n_shingles"), "sid")
+        members.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "sid")
         .join(alone, "sid", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+        .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
-    Columns and all other rows stay; rows that share a doc_id count as one document.
+    Columns and all other rows stay.  Of rows that share a doc_id each is judged by its own
+    text, so one goes only if its own text is a copy; those whose doc_id is the component's stay.
     """
-    go = link_components(docs, size, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("__qw_id")).distinct()
-    return docs.join(go, docs["doc_id"] == go["__qw_id"], "left_anti")
+    linked = _linked(docs, size, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("__qw_id"), F.col("text_key").alias("__qw_key")).distinct()
+    keyed = docs.withColumn("__qw_text_key", F.xxhash64("text"))
+    return keyed.join(linked, (F.col("doc_id").cast("long") == F.col("__qw_id")) & (F.col("__qw_text_key") == F.col("__qw_key")), "left_anti").drop("__qw_text_key")

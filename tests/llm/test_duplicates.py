@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import common, components, line_dedup, ngram_join, substring_dedup
 from quirework.llm.suffix_array import suffix_array
@@ -150,42 +151,20 @@ def test_component_labels(spark):
 # -- lines -----------------------------------------------------------------------------------
 
 
-def brute_lines(rows):
-    """The stated rule, document by document."""
-    docs = {}
-    for d, t in rows:
-        docs[(d, t)] = [x.strip() for x in (t or "").split("\n") if x.strip()]
-    import xxhash
-
-    h = lambda s: np.uint64(xxhash.xxh3_64_intdigest(s.encode())).astype(np.int64)
-    order = sorted(docs, key=lambda k: (k[0] is not None, k[0] or 0))
-    chosen, first = {}, {}
-    for key in order:
-        lines = docs[key]
-        hashes = [h(x) for x in lines]
-        picked = {i for i, x in enumerate(lines) if x.count(" ") + 1 >= line_dedup.MIN_WORDS}
-        w = min(line_dedup.WINDOW_LINES, len(lines))
-        for i in range(len(lines) - w + 1 if lines else 0):
-            low = min(hashes[i : i + w])
-            picked.add(max(k for k in range(i, i + w) if hashes[k] == low))
-        chosen[key] = sorted(picked)
-        for i in chosen[key]:
-            first.setdefault(lines[i], (key, i))
-    out = {}
-    for key in order:
-        lines, gone = docs[key], set()
-        for i in chosen[key]:
-            other, j = first[lines[i]]
-            if (other, j) == (key, i):
-                continue
-            theirs, b, a = docs[other], 0, 0
-            while b < line_dedup.REACH and i - b and j - b and lines[i - b - 1] == theirs[j - b - 1]:
-                b += 1
-            while a < line_dedup.REACH and i + a + 1 < len(lines) and j + a + 1 < len(theirs) and lines[i + a + 1] == theirs[j + a + 1]:
-                a += 1
-            if a + b + 1 >= line_dedup.MIN_LINES or sum(x.count(" ") + 1 for x in lines[i - b : i + a + 1]) >= line_dedup.MIN_WORDS:
-                gone |= set(range(i - b, i + a + 1))
-        out[key[0]] = [x for i, x in enumerate(lines) if i not in gone]
+def brute_runs(rows):
+    """Lines outside every run of enough lines or words that occurs at an earlier place."""
+    docs = sorted({(d, tuple(x.strip() for x in (t or "").split("\n") if x.strip())) for d, t in rows}, key=lambda k: (k[0] is not None, k[0] or 0))
+    seen, out = set(), {}
+    for d, lines in docs:
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = lines[i:j]
+                if j - i >= line_dedup.MIN_LINES or sum(x.count(" ") + 1 for x in run) >= line_dedup.MIN_WORDS:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out[d] = [x for i, x in enumerate(lines) if i not in gone]
     return out
 
 
@@ -194,7 +173,7 @@ def kept_lines(df):
 
 
 def test_lines_edges(spark):
-    assert kept_lines(edge_docs(spark)) == brute_lines(edge_rows())
+    assert kept_lines(edge_docs(spark)) == brute_runs(edge_rows())
     out = line_dedup.dedup_lines(edge_docs(spark))
     assert out.columns == [*edge_docs(spark).columns, "n_lines", "n_removed", "n_runs"]
     assert {r["doc_id"]: r["text"] for r in out.collect()}[3] is None
@@ -203,7 +182,7 @@ def test_lines_edges(spark):
 
 def test_lines_on_the_table(spark, small):
     docs = common.read_table(spark, small, "documents").select("doc_id", "text")
-    assert kept_lines(docs) == brute_lines([tuple(r) for r in docs.collect()])
+    assert kept_lines(docs) == brute_runs([tuple(r) for r in docs.collect()])
 
 
 def test_a_long_line_goes_from_later_places_alone(spark):
@@ -225,23 +204,6 @@ def test_two_lines_with_enough_words_go_from_later_places(spark):
     assert [len(got[d]) for d, _ in rows] == [6, 4] * 40
 
 
-def brute_runs(rows):
-    """Lines outside every run of enough lines or words that occurs at an earlier place."""
-    docs = sorted({(d, tuple(x.strip() for x in (t or "").split("\n") if x.strip())) for d, t in rows}, key=lambda k: (k[0] is not None, k[0] or 0))
-    seen, out = set(), {}
-    for d, lines in docs:
-        gone = set()
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                run = lines[i:j]
-                if j - i >= line_dedup.MIN_LINES or sum(x.count(" ") + 1 for x in run) >= line_dedup.MIN_WORDS:
-                    if run in seen:
-                        gone |= set(range(i, j))
-                    seen.add(run)
-        out[d] = [x for i, x in enumerate(lines) if i not in gone]
-    return out
-
-
 def test_all_repeated_runs_go_also_around_frequent_lines(spark):
     r = random.Random(6)
     frequent = ["Les.", "All rights reserved.", " ".join(["long"] * 30), " ".join(["longest"] * 55)]
@@ -258,3 +220,89 @@ def test_all_repeated_runs_go_also_around_frequent_lines(spark):
     one = ["first of three", "All rights reserved.", "third of three"]
     rows = [(0, "a\nAll rights reserved.\nb"), (1, "\n".join(["c", *one, "d"])), (2, "\n".join(["e", *one, "f"]))]
     assert kept_lines(table(spark, rows))[2] == ["e", "f"]
+
+
+def test_every_window_holds_a_chosen_line():
+    r = np.random.default_rng(7)
+    for n in (0, 1, 2, 3, 4, 50):
+        h = r.integers(0, 6, n).astype(np.uint64)
+        chosen = line_dedup.window_minima(h)
+        assert len(chosen) == max(0, n - 2)
+        for i, p in enumerate(chosen.tolist()):
+            assert i <= p <= i + 2 and h[p] == h[i : i + 3].min() and not (h[p + 1 : i + 3] == h[p]).any()
+
+
+def test_winnowing_drops_most_lines_that_occur_once(spark):
+    """What travels to the second join are windows around fingerprints that some other place shares."""
+    rows = [(i, "\n".join(f"own {i} {k}" for k in range(40))) for i in range(20)]
+    rows += [(100, rows[0][1]), (101, "\n".join(["x", *rows[1][1].split("\n")[5:15], "y"]))]
+    units = line_dedup.units(table(spark, rows))
+    shared = units.groupBy("print").agg(F.count_if("chief").alias("n")).filter("n > 1")
+    met = units.join(shared, "print").select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in met} == {0, 1, 100, 101}
+
+
+def test_runs_leave_columns_of_any_name(spark):
+    shared = "one line\nanother line\na third line"
+    rows = [(1, f"{shared}\nown", 5, "a", 7), (2, shared, 5, "b", 7), (3, f"{shared}\nmine", 5, "c", 7), (4, None, 5, "d", 7), (5, " \n", 5, "e", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed long, n_runs string, n_chars long")
+    out = line_dedup.without_repeats(docs, "n_chars")
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()))
+    assert got == [rows[0], (3, "mine", 5, "c", 4), rows[3], rows[4]]
+
+
+def boilerplate(n, own=12, shared=96):
+    """Documents of own words and one long shared text: alike, but not enough to link."""
+    common_text = " ".join(f"licence{k}" for k in range(shared))
+    return [(i, " ".join(f"own{i}x{k}" for k in range(own + i % 3)) + " " + common_text) for i in range(n)]
+
+
+def test_shared_boilerplate_makes_no_pairs(spark, monkeypatch):
+    """The last step meets sets by what they can reach together, so a frequent passage alone pairs nobody."""
+    met = []
+    whole = ngram_join._meetings
+
+    def counted(marked, percent):
+        met.append((marked.count(), ngram_join._prospects(marked, percent).count()))
+        return whole(marked, percent)
+
+    monkeypatch.setattr(ngram_join, "_meetings", counted)
+    rows = boilerplate(600) + [(1000, "quite " + boilerplate(1)[0][1]), (1001, boilerplate(3)[2][1] + " more")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(table(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(600)}, 1000: 0, 1001: 2}
+    entries, prospects = met[0]
+    assert entries > 1000 and prospects < 100
+
+
+def test_partners_of_every_size_are_met(spark):
+    """Sets at the very border of the bound, of all sizes, against brute force."""
+    r = random.Random(9)
+    rows, words = [], [f"w{k}" for k in range(400)]
+    for g in range(12):
+        base = r.sample(words, r.randint(15, 120))
+        for k in range(8):
+            cut = r.randint(0, max(1, len(base) // 5))
+            rows.append((g * 100 + k, " ".join((base[cut:] if k % 2 else base[: len(base) - cut]) + [f"x{g}y{k}z{j}" for j in range(r.randint(0, 3))])))
+    assert joined(table(spark, rows)) == brute_components(rows)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    a, b = prose(31, 50), prose(32, 50)
+    rows = [(1, a), (2, a), (2, b), (3, b)]
+    kept = sorted(tuple(r) for r in ngram_join.keep_one(table(spark, rows)).collect())
+    assert kept == sorted([(1, a), (2, b)])
+
+
+def test_size_classes_and_their_bounds(spark):
+    sizes = [*range(1, 700), 5000, 123_456]
+    got = [r["c"] for r in spark.createDataFrame([(n,) for n in sizes], "n int").select(ngram_join._class_of("n").alias("c")).collect()]
+    assert got == [ngram_join.size_class(n) for n in sizes] == sorted(got)
+    over = lambda a, b: -(-80 * (a + b) // 180)
+    need = lambda n, m: over(n, m) - -(-80 * n // 100) + 1
+    for n in [*range(1, 300, 7), 999, 2048]:
+        aims, lasts, leasts = (x.tolist() for x in ngram_join._bounds(n, 80))
+        for m in range(n, n * 100 // 80 + 1):
+            k = -(-min(need(n, m), need(m, n)) // 2)
+            i = aims.index(ngram_join.size_class(m))
+            assert lasts[i] >= n - over(n, m) + k - 1 and leasts[i] <= max(1, k)
