@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,10 +51,13 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one in ``spark.checkpoint.dir``.
 
-    Only where it is unset (single-machine tests) a temporary folder is made and set.
+    Where it is unset a temporary folder is made and set, on a single machine only: elsewhere
+    executors would each write to a folder of their own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^-]*\])?", master := spark.sparkContext.master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "quirework-checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -67,7 +71,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirework/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quirework_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files behind frames that ``cut`` returned; nothing may read them any more."""
+    for df in cuts:
+        if path := getattr(df, "_quirework_path", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
