@@ -8,7 +8,6 @@ DataFrame that is written as Parquet and read again as the next one's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quirework.llm import bpe, common, decontamination, line_dedup, ngram_join, toxicity
 from quirework.llm.queries import WORD_VOCABULARY
@@ -20,11 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go from their later places; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Repeated runs of lines go from their later places; n_chars follows the text.
+
+    A document that is nothing but repeated runs goes with them: no later stage could tell it
+    from a text that was empty from the start.
+    """
+    return line_dedup.without_repeats(docs, "n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.cut(docs, f"pipeline-{name}")
+            before, docs = docs, common.cut(out, f"pipeline-{name}")
+            common.discard(before)
+        else:
+            docs = out
     return docs
