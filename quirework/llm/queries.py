@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, oracles, substring_dedup, token_counts, token_files, toxicity
+from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, oracles, sentence_pieces, substring_dedup, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -62,6 +62,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(common.read_table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    return sentence_pieces.round_trip_digests(docs, common.tokenizer_path(PIECE_VOCABULARY))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sentence_pieces": op11_sentence_pieces,
 }
 ORACLE_SQL = {
     "op3_decontamination": oracles.DECONTAMINATION,
