@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, oracles, sentence_pieces, substring_dedup, token_counts, token_files, toxicity
+from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, oracles, periodic_runs, sentence_pieces, substring_dedup, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -67,6 +69,21 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip_digests(docs, common.tokenizer_path(PIECE_VOCABULARY))
 
 
+def periodic_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For one document in ten, the words that make its tail periodic; none where doc_id is null."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.r_[np.arange(a), a + np.arange(n - a) % p]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapse(common.read_table(spark, sf_dir, "documents"), periodic_tail)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +96,7 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op3_decontamination": oracles.DECONTAMINATION,
