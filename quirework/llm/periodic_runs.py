@@ -72,21 +72,27 @@ class Suffixes:
         """Longest common prefix of each suffix with the one before it in the order."""
         a, b = self.order[:-1].copy(), self.order[1:].copy()
         out = np.zeros(len(self.order), dtype=np.int64)
-        active = np.arange(len(a))
+        open_ = np.ones(len(a), dtype=bool)
+        equal, pairs = [], np.arange(len(a))
+        for k in range(len(self.levels)):  # pairs that share 2**k words; equal ranks of stretches that fit are equal
+            pairs = self._equal(k, pairs, a, b)
+            equal.append(pairs)
         for k in range(len(self.levels) - 1, -1, -1):
-            level, size = self.levels[k], 1 << k
-            x, y = a[active], b[active]
-            # Equal ranks of stretches that both fit are equal stretches.
-            same = (level[x] == level[y]) & (x + size <= self.end[x]) & (y + size <= self.end[y])
-            at = active[same]
-            ended = (x[same] + size == self.end[x[same]]) | (y[same] + size == self.end[y[same]])
-            out[at + 1] += size
-            a[at] += size
-            b[at] += size
-            same[same] = ended
-            active = active[~same]
+            pairs = equal[k]
+            at = self._equal(k, pairs[open_[pairs]], a, b)
+            out[at + 1] += 1 << k
+            a[at] += 1 << k
+            b[at] += 1 << k
+            open_[at] = (a[at] < self.end[self.order[at]]) & (b[at] < self.end[self.order[at + 1]])
         return out
 
+    def _equal(self, k: int, pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Those of ``pairs`` whose next 2**k words are the same."""
+        x, y, level = a[pairs], b[pairs], self.levels[k]
+        same = level[x] == level[y]
+        pairs, x, y = pairs[same], x[same], y[same]
+        return pairs[(x + (1 << k) <= self.end[x]) & (y + (1 << k) <= self.end[y])]
+
 
 def range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Minimum of ``values[low:high]`` for each query, by a sparse table kept one level at a time."""
