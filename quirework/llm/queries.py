@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontamination, fingerprints, html_extraction, line_dedup, ngram_join, oracles, periodic_runs, sentence_pieces, substring_dedup, token_counts, token_files, toxicity
+from . import bpe, common, decontamination, divergence, fingerprints, html_extraction, line_dedup, ngram_join, oracles, periodic_runs, sentence_pieces, substring_dedup, token_counts, token_files, toxicity
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -69,6 +69,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip_digests(docs, common.tokenizer_path(PIECE_VOCABULARY))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.read_table(spark, sf_dir, "documents"))
+
+
 def periodic_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     """For one document in ten, the words that make its tail periodic; none where doc_id is null."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
@@ -96,9 +100,11 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_fingerprints": op10_fingerprints,
     "op11_sentence_pieces": op11_sentence_pieces,
+    "op12_source_divergence": op12_source_divergence,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op3_decontamination": oracles.DECONTAMINATION,
     "op5_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op12_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
