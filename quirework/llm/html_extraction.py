@@ -3,10 +3,12 @@
 The DOMs of a host are merged into one tree of style nodes, a node being a path of element
 names and first classes.  A node carries how its presentation (the sequence of its children)
 and its content (the text of its branch) are distributed over its occurrences on the host;
-the larger of the two normalised entropies is its importance.  A branch goes if it is nearly
-the same everywhere, or if it repeats itself clearly more often than the branch beside it that
-holds most of the text.  Parts that entropy cannot tell, because their words differ on every
-page as those of reader comments do, go by their element or class names.
+the larger of the two normalised entropies is its importance.  A value counts once for each
+article that it stands beside, whatever the number of pages with that article or of its places
+on a page.  A branch goes if it repeats itself clearly more often than the branch beside it
+that holds most of the text; that branch itself and text elements never go by entropy.  Parts
+that entropy cannot tell, because their words differ on every page as those of reader comments
+do, go by their element or class names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,6 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from . import common
 
-#: A style node is judged by its importance if it occurs so often on a host, and dropped below this whatever is beside it.
-MIN_OCCURRENCES, LOW_IMPORTANCE = 10, 0.4
 #: Beside a branch with most of the text, a node goes whose lack of importance (1 - importance) is more
 #: than so many times that of the main branch and more than that of so many pairs of equal texts.
 TIMES_MAIN, LEAST_PAIRS = 2.0, 2.0
@@ -58,7 +58,7 @@ CLOSES = {
     "tfoot": ("thead tbody tfoot tr td th", ("table",)),
     "option": ("option", ("select",)),
 }
-#: Text elements: beside a main branch they are part of the article more often than not, so they are judged alone.
+#: Text elements: beside a main branch they are part of the article more often than not, so entropy does not judge them.
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd blockquote pre figure figcaption table tr td th tbody thead tfoot hgroup address summary details html body main article".split()) | INLINE
 CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in CLOSES.items()}
 
@@ -222,10 +222,17 @@ class Page:
             self._pop()
         self._flush()
 
+    def _kept(self) -> list[str]:
+        scope = max([b[1] for b in self.blocks], default=0)
+        return [b[0] for b in self.blocks if b[1] == scope]
+
     def text(self) -> str:
         """The blocks of the articles if there are any, else of main, else all."""
-        scope = max([b[1] for b in self.blocks], default=0)
-        return "\n".join([b[0] for b in self.blocks if b[1] == scope])
+        return "\n".join(self._kept())
+
+    def anchor(self) -> int:
+        """What stands for the article of the page: its longest block."""
+        return _digest(max(self._kept(), key=lambda t: (len(t), t), default=""), 0)
 
 
 def _digest(part: str | bytes, before: int) -> int:
@@ -236,59 +243,67 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-_COUNTS = "host string, node long, parent long, movable boolean, container boolean, kind int, value long, n long"
+_COUNTS = "host string, node long, parent long, movable boolean, container boolean, kind int, value long, anchor long, mass long"
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """host, node, parent, movable, container, kind, value, n: how often a style node has a value.
+def style_counts(pages: DataFrame, names: bool = True) -> DataFrame:
+    """host, node, kind, value, n, mass, parent, movable, container: beside how many articles a
+    style node has a value, and the characters of text in it.
 
-    Kind 0 is presentation, 1 content; kind 2 counts characters of text, under the value 0.
+    Kind 0 is presentation, 1 content.  Pages with the same longest block hold the same article.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter = Counter()
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for node, parent, movable, container, children, content, mass in Page(source).nodes:
+            page = Page(source, names=names)
+            anchor = page.anchor() - 2**63
+            for node, parent, movable, container, children, content, mass in page.nodes:
                 key = (host, node - 2**63, parent - 2**63, movable, container)
-                seen[*key, 0, children - 2**63] += 1
+                seen[*key, 0, children - 2**63, anchor] += 0
                 if mass:
-                    seen[*key, 1, content - 2**63] += 1
-                    seen[*key, 2, 0] += mass
-        columns = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) if seen else [()] * 8
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+                    seen[*key, 1, content - 2**63, anchor] += mass
+        columns = list(zip(*[(*k, n) for k, n in seen.items()], strict=True)) if seen else [()] * 9
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     each = common.map_batches(rows, run, _COUNTS)
-    return each.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"), F.first("parent").alias("parent"), F.first("movable").alias("movable"), F.max("container").alias("container"))
+    node = [F.sum("mass").alias("mass"), F.first("parent").alias("parent"), F.first("movable").alias("movable"), F.max("container").alias("container")]
+    once = each.groupBy("host", "node", "kind", "value", "anchor").agg(*node)
+    return once.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), *node)
 
 
 def importance(counts: DataFrame) -> DataFrame:
     """Per host and node: parent, movable, container, occurrences, mass, content (has text), importance.
 
     Importance is the larger of both normalised entropies.  Entropy over log of the
-    occurrences: 0 where a node always has one value, 1 where never twice.
+    occurrences: 0 where a node always has one value, 1 where never twice.  Occurrences are
+    those of content.
     """
-    node = [F.first("parent").alias("parent"), F.first("movable").alias("movable"), F.max("container").alias("container")]
+    node = [F.sum("mass").alias("mass"), F.first("parent").alias("parent"), F.first("movable").alias("movable"), F.max("container").alias("container")]
     n = F.col("n").cast("double")
     each = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(n * F.log(n)).alias("s"), *node)
     log_m = F.log(F.col("m").cast("double"))
-    h = F.when(F.col("kind") == 2, None).when(F.col("m") > 1, (log_m - F.col("s") / F.col("m")) / log_m).otherwise(1.0)
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    return each.withColumn("h", h).groupBy("host", "node").agg(of(0, "m").alias("occurrences"), F.max("h").alias("importance"), of(2, "m").alias("mass"), F.coalesce(of(1, "m") > 0, F.lit(False)).alias("content"), *node)
+    h = F.when(F.col("m") > 1, (log_m - F.col("s") / F.col("m")) / log_m).otherwise(1.0)
+    occurrences = F.coalesce(F.max(F.when(F.col("kind") == 1, F.col("m"))), F.lit(0))
+    return each.withColumn("h", h).groupBy("host", "node").agg(occurrences.alias("occurrences"), F.max("h").alias("importance"), *node).withColumn("content", F.col("occurrences") > 0)
+
 
+def low_nodes(pages: DataFrame, names: bool = True) -> DataFrame:
+    """Per host with any: low, the array of style nodes that hold text and are of low importance.
 
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """Per host with any: low, the array of style nodes that hold text and are of low importance."""
-    judged = common.cut(importance(style_counts(pages)).filter("content"), "style-nodes")
+    Only branches beside a main branch are judged: one that holds blocks and more than half of
+    the text of its parent.  A node needs as much evidence on a small host as on a large one.
+    """
+    judged = common.cut(importance(style_counts(pages, names)).filter("content"), "style-nodes")
     main = judged.groupBy("host", "parent").agg(F.max_by(F.struct("importance", "container", "mass"), F.struct("mass", "node")).alias("main"), F.sum("mass").alias("whole"))
     main = main.filter("main.container and 2 * main.mass > whole").select(F.col("host").alias("_host"), F.col("parent").alias("_parent"), F.col("main.importance").alias("best"), F.col("main.mass").alias("most"))
     lack, m = 1 - F.col("importance"), F.col("occurrences").cast("double")
-    # Content that k pairs of pages share, and nothing else: entropy lacks 2 k log 2 / (m log m).
+    # Content that k pairs of articles share, and nothing else: entropy lacks 2 k log 2 / (m log m).
     pairs = lack * m * F.log(m) / F.lit(2 * 0.6931471805599453)
-    repeats = F.col("movable") & (F.col("mass") < F.col("most")) & (lack > TIMES_MAIN * (1 - F.col("best"))) & (pairs >= LEAST_PAIRS - 1e-9)
-    both = judged.filter(F.col("occurrences") >= MIN_OCCURRENCES).join(main, F.col("host").eqNullSafe(F.col("_host")) & (F.col("parent") == F.col("_parent")), "left")
-    low = both.filter((F.col("importance") < LOW_IMPORTANCE) | F.coalesce(repeats, F.lit(False)))
+    both = judged.filter("movable").join(main, F.col("host").eqNullSafe(F.col("_host")) & (F.col("parent") == F.col("_parent")))
+    low = both.filter((F.col("mass") < F.col("most")) & (lack > TIMES_MAIN * (1 - F.col("best"))) & (pairs >= LEAST_PAIRS - 1e-9))
     return low.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("low"))
 
 
@@ -296,13 +311,13 @@ def extract(pages: DataFrame, names: bool = True) -> DataFrame:
     """``pages`` with text and n_chars (code points) instead of html.
 
     Character references are decoded, white space inside a block becomes one space, blocks
-    are joined by one newline in page order.  Null and empty html give an empty text.  A page
-    whose host is unknown or seen seldom is judged by names alone; without ``names`` the style
-    tree decides alone: neither names nor article elements have a say.  Repeated rows give
-    repeated results and count as pages of their host; other columns stay, those named like a
-    new one are replaced; an empty table gives no rows.
+    are joined by one newline in page order.  Null and empty html give an empty text.  A branch
+    that nothing on its host repeats is judged by names; without ``names`` the style tree decides
+    alone: neither names nor article elements have a say.  Repeated rows give repeated results
+    and count as one page of their host; pages without a url share a host; other columns stay,
+    those named like a new one are replaced; an empty table gives no rows.
     """
-    low = common.cut(low_nodes(pages), "low-nodes")
+    low = common.cut(low_nodes(pages, names), "low-nodes")
     size = low.agg(F.sum(F.size("low"))).first()[0] or 0  # checked before it is broadcast
     side = low.select(F.col("host").alias("__qw_host"), F.col("low").alias("__qw_low"))
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]

@@ -342,3 +342,56 @@ def test_deep_pages_need_linear_room():
     tracemalloc.stop()
     assert page.text() == "inside" and peak < 120e6
     assert html_extraction.Page("<div>" * 50_000 + "open").text() == "open"
+
+
+def cut_hosts(sizes):
+    """Pages of the table on hosts of a few pages each, with one page that repeats a line a thousand times, and with copied articles."""
+    import collections
+    import urllib.parse
+
+    import pyarrow.parquet as pq
+
+    hosts = collections.defaultdict(list)
+    for r in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist():
+        hosts[urllib.parse.urlsplit(r["url"]).netloc.lower()].append(r["html"])
+    article = re.compile(r"<article.*?(?:</article>|<footer>|$)", re.S)
+    for k in sizes:
+        for host, found in sorted(hosts.items())[::3]:
+            some = found[:k]
+            yield from ((f"https://k{k}.{host}/", h) for h in some)
+            yield f"https://r{k}.{host}/", some[0].replace("</article>", "<p>Same line.</p>" * 1000 + "</article>", 1)
+            yield from ((f"https://r{k}.{host}/", h) for h in some[1:])
+            articles = [article.search(h)[0] for h in some]
+            yield from ((f"https://c{k}.{host}/", article.sub(lambda m, n=n, a=articles: a[n // 3 % len(a)], h, count=1)) for n, h in enumerate(found[: 3 * k]))
+
+
+def test_no_article_is_lost_on_hosts_of_any_size(spark):
+    import collections
+
+    rows = [(i, u, h) for i, (u, h) in enumerate(cut_hosts((1, 2, 5, 9, 12, 20)))]
+    with_, alone = ({r["page_id"]: r["text"] for r in html_extraction.extract(pages(spark, rows), names=n).collect()} for n in (True, False))
+    kept, precise, whole = 0, 0, 0
+    for i, _, h in rows:
+        text = html_extraction.Page(h).text()
+        assert with_[i] == text
+        a, b = (collections.Counter(t.split()) for t in (text, alone[i]))
+        both = sum((a & b).values())
+        assert both >= 0.95 * sum(a.values()), i
+        whole, kept, precise = whole + sum(a.values()), kept + both, precise + sum(b.values())
+    assert kept >= 0.99 * whole and kept >= 0.85 * precise
+
+
+def test_the_tree_finds_what_names_do_not_know(spark):
+    """Names on, classes that say nothing: boxes beside the article that repeat go, on a host of four pages too."""
+    for n in (4, 30):
+        rows = [(i, "https://h.example/", f"<body><div class=q7>{prose(i, 40)}<div>{prose(50 + i, 20)}</div></div><div class=z3>Our offers of the week</div><div class=z4>{prose(90 + i % 2, 12)}</div></body>") for i in range(n)]
+        got = {r["page_id"]: r["text"] for r in html_extraction.extract(pages(spark, rows)).collect()}
+        assert "offers" in html_extraction.Page(rows[0][2]).text() and not any("offers" in t for t in got.values())
+        assert all(" ".join(prose(i, 40).split()) in got[i] for i in range(n))
+
+
+def test_copies_of_one_page_are_no_evidence(spark):
+    """Twenty pages with one article: nothing tells what is boilerplate, so all of it stays."""
+    rows = [(i, "https://h.example/", f"<body><div class=q7>{prose(1, 40)}<div>more {i}</div></div><div class=z3>beside it</div></body>") for i in range(20)]
+    got = html_extraction.extract(pages(spark, rows)).collect()
+    assert all(r["text"].endswith("beside it") and f"more {r['page_id']}" in r["text"] for r in got)
