@@ -1,4 +1,4 @@
-"""Text search: term presence, snippets, and a ranked full-text match."""
+"""Text search by the presence of terms, and snippets."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alnum_fold, col
 
-#: Common English words that a text query does not search for.
-STOP_WORDS = tuple("a an and are as at be by for from has he in is it its of on or that the to was were will with this".split())
-#: Endings taken off in this order, a plain form of English stemming.
-ENDINGS = ("ingly", "edly", "ing", "ed", "ies", "es", "s", "ly")
-
 
 def presence_score(text: Column | str, terms: Sequence[str]) -> Column:
     """How many folded terms occur in the folded text."""
@@ -36,82 +31,3 @@ def term_search(df: DataFrame, text: str, terms: Sequence[str], order: Sequence[
     """The ``limit`` best rows with at least ``least`` terms; a top-k, so nothing is sorted whole."""
     scored = df.withColumn("score", presence_score(text, terms)).filter(F.col("score") >= least)
     return scored.withColumn("snippet", snippet(text, terms)).orderBy(F.desc("score"), *order).limit(limit)
-
-
-def _stem(word: Column) -> Column:
-    out = word
-    for e in reversed(ENDINGS):
-        out = F.when(F.endswith(word, F.lit(e)) & (F.char_length(word) > len(e) + 2), F.substring(word, F.lit(1), F.char_length(word) - len(e))).otherwise(out)
-    return out
-
-
-def stem_word(word: str) -> str:
-    """The same for a word of a query."""
-    word = word.lower()
-    end = next((e for e in ENDINGS if word.endswith(e) and len(word) > len(e) + 2), "")
-    return word[: len(word) - len(end)]
-
-
-def lexemes(text: Column | str) -> Column:
-    """Stemmed words in order, stop words left in place as empty, so that positions count them."""
-    words = F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(F.array_contains(F.array(*[F.lit(s) for s in STOP_WORDS]), w), F.lit("")).otherwise(_stem(w)))
-
-
-def parse_query(query: str) -> tuple[list[list[str]], list[str]]:
-    """Phrases that must occur and words that must not: quotes bind words, a minus excludes one."""
-    must, must_not, rest = [], [], query
-    while '"' in rest:
-        before, _, tail = rest.partition('"')
-        phrase, _, rest_tail = tail.partition('"')
-        must.append(phrase.split())
-        rest = before + " " + rest_tail
-    for w in rest.split():
-        (must_not.append(w[1:]) if w.startswith("-") and len(w) > 1 else must.append([w]))
-    return [p for p in must if p], must_not
-
-
-def _places(stem: str, shift: int = 0) -> Column:
-    """Positions of a stem in _lex, less ``shift``."""
-    return F.filter(F.transform("_lex", lambda w, k: F.when(w == stem, k - shift)), lambda k: k.isNotNull())
-
-
-def _phrase_places(stems: Sequence[str]) -> Column:
-    """Positions in _lex where the stems stand in a row: each word's positions, shifted, intersected."""
-    out = _places(stems[0])
-    for j, s in enumerate(stems[1:], 1):
-        out = F.array_intersect(out, _places(s, j))
-    return out
-
-
-def full_text(df: DataFrame, text: str, query: str, headline_words: int = 35) -> DataFrame:
-    """Rows that hold every phrase and no excluded word, with rank and headline.
-
-    ``rank`` sums, over the phrases, 1 / (1 + distance of its first place from the first hit): a
-    cover-density measure in the manner of PostgreSQL's, not its exact value.
-    """
-    must, must_not = parse_query(query)
-    words = df.withColumn("_lex", lexemes(text))
-    stems = lambda ws: [stem_word(w) for w in ws if w.lower() not in STOP_WORDS]
-    places = []
-    for i, phrase in enumerate(must):
-        kept = stems(phrase)
-        if not kept:
-            continue
-        starts = _phrase_places(kept)
-        words = words.withColumn(f"_p{i}", F.array_min(starts))
-        places.append(f"_p{i}")
-    test = F.lit(bool(places))
-    for p in places:
-        test = test & F.col(p).isNotNull()
-    for w in must_not:
-        for s in stems([w]):
-            test = test & ~F.array_contains("_lex", F.lit(s))
-    found = words.filter(test)
-    if not places:
-        return found.withColumn("rank", F.lit(0.0)).withColumn("headline", F.lit("")).drop("_lex")
-    first = F.least(*[F.col(p) for p in places]) if len(places) > 1 else F.col(places[0])
-    rank = sum((1.0 / (1 + F.col(p) - first) for p in places), F.lit(0.0))
-    raw = F.filter(F.split(F.coalesce(col(text), F.lit("")), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    headline = F.array_join(F.slice(raw, first + 1, F.lit(headline_words)), " ")
-    return found.withColumn("rank", F.round(rank, 6)).withColumn("headline", headline).drop("_lex", *[p for p in places])

@@ -358,12 +358,6 @@ def snippets(spark, d):
     return table(spark, d, "documents").select("doc_id", search.snippet("text", ["tion"]).alias("snippet"))
 
 
-@query()
-def fulltext_search(spark, d):
-    found = search.full_text(table(spark, d, "documents").select("doc_id", "text"), "text", "tion the -worthless")
-    return found.select("doc_id", "rank", "headline")
-
-
 @query("""WITH n AS (SELECT DISTINCT p_name AS n FROM part), w AS (SELECT n, unnest(string_split(lower(n), ' ')) AS w FROM n),
 g AS (SELECT DISTINCT n, substring('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM w, range(1, 40) t(i) WHERE i <= length(w) + 1),
 z AS (SELECT n, count(*) AS c FROM g GROUP BY n), s AS (SELECT x.n AS a, y.n AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.n < y.n GROUP BY 1, 2)
@@ -858,4 +852,4 @@ def ext_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-from . import more, rules  # noqa: E402, F401  they register their queries here
+from . import more, pages, rules  # noqa: E402, F401  they register their queries here
