@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Look-alike characters of scanned text and what they stand for.
@@ -127,6 +127,15 @@ def rewrite(x: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
+def worked_out(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with ``columns`` that are worked out once, whatever reads them.
+
+    They come out of a generator of one row: neither filters nor projections above it repeat them.
+    """
+    held = df.withColumn("__held", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return held.withColumns({n: F.col("__held")[n] for n in columns}).drop("__held")
+
+
 def letter_ratio(x: Column | str) -> Column:
     return count_matches(x, "[A-Za-z]") / F.greatest(F.char_length(col(x)), F.lit(1))
 

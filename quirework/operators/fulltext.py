@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import TRIGRAM_BOUND, trigram_similarity
-from ..functions.text import col
+from ..functions.text import col, worked_out
 
 # The English stop words of text search.
 STOP_WORDS = tuple(
@@ -269,9 +269,7 @@ def _cut(df: DataFrame, source: Column, search: Search, unaccent: bool) -> DataF
     words = words.withColumn(LEXEMES, F.transform(TOKENS, lambda t: _let(folded(F.regexp_extract(t, WORD, 0)), lexeme)))
     entries = F.filter(F.transform(LEXEMES, lambda w, i: F.struct(i.alias("pos"), w.alias("lexeme"))), lambda x: search.known(x["lexeme"]))
     words = words.withColumn(ENTRIES, F.transform(entries, lambda x, i: F.struct(x["pos"].alias("pos"), x["lexeme"].alias("lexeme"), i.alias("idx"))))
-    # A generator of one row: filters on the words stay above it, so that words are cut once.
-    held = words.withColumn("__ft_held", F.explode(F.array(F.struct(TOKENS, LEXEMES, ENTRIES)))).drop(TOKENS, LEXEMES, ENTRIES)
-    words = held.withColumns({c: F.col("__ft_held")[c] for c in (TOKENS, LEXEMES, ENTRIES)}).drop("__ft_held")
+    words = worked_out(words, {c: F.col(c) for c in (TOKENS, LEXEMES, ENTRIES)})
     return words.withColumns({f"__ft_allowed{k}": search.allowed(a) for k, a in enumerate(search.alternatives)})
 
 

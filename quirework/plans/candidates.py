@@ -6,23 +6,21 @@ source_page, confidence.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import facts, text, years
+from ..functions import facts, similarity, text, vehicles, years
 from ..operators import geometry, relational, sections
 
 COLUMNS = ("make", "model", "year_from", "year_to", "system_type", "system_code", "source_document", "source_page", "confidence")
 #: How sure each way of finding an application is.
 TOC_LINE, TOC_COLUMN, CANONICAL, SECTION = 0.55, 0.65, 0.92, 0.6
 HEADER, LONG_HEADER = 1000, 1800
-#: Characters allowed between a year range and a model, and between the model and its make.
-NEAR_MODEL, NEAR_MAKE = 20, 30
+#: A year range of a header; its end may be missing.
+HEADER_YEARS = "\\b((?:19|20)[0-9]{2})\\s*[-–]\\s*([0-9]{0,4})\\b"
 YEARS = "(?:19|20)[0-9]{2}\\s*[-–]\\s*[0-9]{2,4}"
 TOC_CODE = "\\b([A-Z]{2,5}[-–][A-Z0-9]{1,4})\\b"
 OPERATIONAL = "(?i)\\b(?:KEYS?|MASTER|Chip|Programmer|Diagnostic|Cloner)\\b"
@@ -100,75 +98,53 @@ def from_toc_words(words: DataFrame, makes: DataFrame) -> tuple[DataFrame, DataF
 
 def header_chunks(secs: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Year ranges of a section's header with the text up to the next one: + year_from, year_to, model."""
-    header = F.split(F.regexp_replace(F.substring(F.coalesce(raw, F.lit("")), 1, HEADER), "(?U)\\s+", " "), OPERATIONAL)[0]
-    starts = F.regexp_extract_all(header, F.lit("(" + YEARS + ")"), F.lit(1))
-    bodies = F.slice(F.split(header, YEARS), 2, 10_000)
+    header = F.split(vehicles.ocr_text(F.substring(F.coalesce(raw, F.lit("")), 1, HEADER)), OPERATIONAL)[0]
+    starts = F.regexp_extract_all(header, F.lit(HEADER_YEARS), F.lit(0))
+    bodies = F.slice(F.split(header, HEADER_YEARS), 2, 10_000)
     rows = secs.withColumn("chunk", F.explode(F.arrays_zip(starts.alias("y"), bodies.alias("b"))))
-    shape = "([0-9]{4})\\s*[-–]\\s*([0-9]{2,4})"
+    shape = HEADER_YEARS.removesuffix("\\b")  # a range alone has no word after it
     r = years.lenient(F.regexp_extract(F.col("chunk.y"), shape, 1), F.regexp_extract(F.col("chunk.y"), shape, 2))
-    words = F.regexp_replace(F.col("chunk.b"), "(?i)\\b(?:prox|proximity|remote|fob|key|transponder|high sec|dbl sided|sided)\\b", " ")
-    clean = F.regexp_replace(F.regexp_replace(words, "[^A-Za-z0-9() /&.-]+", " "), "\\s+", " ")
-    model = F.regexp_replace(F.substring(clean, 1, 80), "^[ ,/-]+|[ ,/-]+$", "")
+    model = vehicles.model_text(F.split(F.col("chunk.b"), vehicles.SECTION_STOP)[0])
     return rows.withColumn("r", r).withColumn("model", model).filter(F.col("r").isNotNull() & (F.col("model") != "")).select(*secs.columns, "r.year_from", "r.year_to", "model")
 
 
-def model_pattern(model: str) -> str:
-    """A model's letters with the confusions of scanning: 0 for O, 1 for I, blanks that may be missing."""
-    alike = {"0": "[0O]", "O": "[0O]", "o": "[0O]", "1": "[1I]", "I": "[1I]", "l": "[1Il]", " ": "\\s*", "-": "[-\\s]?"}
-    return "".join(alike.get(c, re.escape(c)) for c in model)
-
-
-def canonical_applications(secs: DataFrame, vocabulary: Mapping[str, Sequence[str]], default_make: str = "default_make", raw: str = "raw_text") -> DataFrame:
-    """Known models within reach of a year range at the head of a section: + make, model, year_from, year_to.
-
-    A make in parentheses close behind decides; without one only the default make's models
-    count, and none of one or two signs.  Sections meet the vocabulary in Arrow batches; it is a
-    parameter, so its size is known.
-    """
-    patterns = [(make, m, re.compile(rf"({YEARS}).{{0,{NEAR_MODEL}}}?{model_pattern(m)}(?=[\s(|,]|$)", re.I | re.S)) for make, models in sorted(vocabulary.items()) for m in sorted(models, key=lambda v: (-len(v), v))]
-    named = re.compile(r"\(\s*([A-Za-z -]+)\s*\)")
-
-    def find(body: str, default: str) -> list[dict]:
-        out = []
-        for make, model, pattern in patterns:
-            for m in pattern.finditer(body[:LONG_HEADER]):
-                near = named.search(body[m.end() : m.end() + NEAR_MAKE])
-                other = near[1].strip().title() if near else ""
-                if (other and other.lower() != make.lower()) or (not other and make != default) or (not other and len(re.sub("[^A-Za-z0-9]", "", model)) <= 2):
-                    continue
-                out.append({"make": make, "model": model, "years": m[1]})
-        return out
-
-    @F.pandas_udf("array<struct<make:string,model:string,years:string>>")
-    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bodies, defaults in batches:
-            yield pd.Series([find(b or "", d or "") for b, d in zip(bodies, defaults, strict=True)])
-
-    rows = secs.withColumn("hit", F.explode(match(F.col(raw), F.col(default_make))))
+def canonical_applications(secs: DataFrame, vocabulary: Mapping[str, Sequence[str]], default_make: str = "default_make", raw: str = "raw_text", head: int | None = LONG_HEADER) -> DataFrame:
+    """Known models within reach of a year range at the head of a section (or in all of it): + make, model, year_from, year_to."""
+    body = F.coalesce(F.col(raw), F.lit(""))
+    body = F.substring(body, 1, head) if head else body
+    document = "source_document" if "source_document" in secs.columns else F.lit("")
+    rows = secs.withColumn("hit", F.explode(vehicles.applications(vehicles.scan_text(body), vocabulary)))
+    rows = rows.filter(vehicles.confirmed(F.col("hit"), default_make, document))
     shape = "([0-9]{4})\\s*[-–]\\s*([0-9]{2,4})"
     r = years.lenient(F.regexp_extract(F.col("hit.years"), shape, 1), F.regexp_extract(F.col("hit.years"), shape, 2))
     return rows.withColumn("r", r).filter("r is not null").select(*secs.columns, "hit.make", "hit.model", "r.year_from", "r.year_to")
 
 
 def from_sections(secs: DataFrame, vocabulary: Mapping[str, Sequence[str]], default_make: str = "default_make") -> DataFrame:
-    """Canonical applications first, then those of header chunks, each application of a code once."""
+    """Each application of a code once, as the first section names it: there known models first, then header chunks."""
     base = dict(system_type=text.detect_type(F.substring("raw_text", 1, 900)), system_code=F.col("code"), source_page=F.col("page_start").cast("int"))
     sure = canonical_applications(secs, vocabulary, default_make).withColumn("confidence", F.lit(CANONICAL)).withColumn("_way", F.lit(0))
-    loose = header_chunks(secs).withColumn("make", F.col(default_make)).filter("make <> ''")
-    loose = loose.withColumn("confidence", text.link_points("make", "model", default_make) / 100).withColumn("_way", F.lit(1))
+    loose = vehicles.split_heading(header_chunks(secs), "model", default_make).filter((F.col("make") != "") & (F.col("model") != "") & ~vehicles.bad_model("model"))
+    loose = similarity.canonicalize(loose, vocabulary, "make", "model").withColumn("model", F.col("canonical"))
+    loose = loose.withColumn("confidence", text.link_points("make", "model", default_make, F.coalesce("score", F.lit(0.0)), vehicles.DEBRIS) / 100).withColumn("_way", F.lit(1))
     both = sure.unionByName(loose.select(*sure.columns)).withColumns(base)
-    w = Window.partitionBy(F.lower("make"), F.lower("model"), "year_from", "year_to", "system_code").orderBy("_way", "source_document", "source_page", "make", "model")
+    w = Window.partitionBy(F.lower("make"), F.lower("model"), "year_from", "year_to", "system_code").orderBy("source_document", "source_page", "_way", "make", "model")
     return _named(both.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1"))
 
 
-def build(pages: DataFrame, vocabulary: Mapping[str, Sequence[str]], default_makes: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(sections with facts, application candidates of contents lines and sections)."""
+def build(pages: DataFrame, vocabulary: Mapping[str, Sequence[str]], default_makes: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections with facts, application candidates of contents lines and sections).
+
+    ``default_makes`` by the letters of a code go before the fixed ones.
+    """
     spans = sections.split_sections(sections.page_features(pages))
     secs = sections.section_texts(spans, pages).withColumnRenamed("document", "source_document")
     secs = secs.withColumn("fields", facts.labelled("raw_text")).withColumn("facts", facts.identifiers("raw_text")).withColumn("topics", facts.topics("raw_text"))
-    prefix = F.substring_index("code", "-", 1)
-    makes = F.create_map(*[F.lit(v) for kv in default_makes.items() for v in kv]) if default_makes else F.create_map().cast("map<string,string>")
-    secs = secs.withColumn("default_make", F.coalesce(F.try_element_at(makes, prefix), F.lit("")))
+    make = vehicles.default_make("code", "source_document")
+    if default_makes:
+        makes = F.create_map(*[F.lit(v) for kv in default_makes.items() for v in kv])
+        make = F.coalesce(F.try_element_at(makes, F.substring_index("code", "-", 1)), make)
+    secs = secs.withColumn("default_make", make)
     return secs, from_toc_lines(pages).unionByName(from_sections(secs, vocabulary))
 
 

@@ -813,11 +813,11 @@ def depth_map(spark, d):
 
 @query()
 def section_drafts(spark, d):
-    """Lines of documents as pages, split, drafted and gated; their status counts."""
+    """Lines of documents as pages, split, drafted and gated: every draft with its status and issues."""
     pages = _line_pages(spark, d)
     secs, found = candidates.build(pages, {"Ford": ["Focus"]}, {"AB": "Ford"})
     gated = drafts.gate(drafts.draft(secs, found).withColumn("verified", F.lit(False)))
-    return gated.groupBy("status").agg(F.count("*").alias("n"))
+    return gated.select("code", "source_document", "page_start", "page_end", "status", "issues", F.to_json("draft").alias("draft"))
 
 
 @query("""SELECT 'make' AS section, p_brand AS key, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'prefix', split_part(p_type, ' ', 1), count(*) FROM part GROUP BY 2
@@ -852,4 +852,4 @@ def ext_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-from . import more, pages, rules  # noqa: E402, F401  they register their queries here
+from . import more, pages, rules, vehicles  # noqa: E402, F401  they register their queries here
