@@ -24,8 +24,6 @@ FEATURE_BITS = 22
 #: Features with the clearest difference between confirmed and unlabelled texts.
 SELECTED = 4096
 MIN_POSITIVE_TEXTS = 5
-#: Features of a sampled text that the driver gets (scores read all): the lowest by hash, which is a sample of a long text's words.
-SAMPLE_FEATURES = 4096
 PREFIXES = (4, 5)
 #: Chosen on fold 3, fitted on folds 0 and 1.
 STEPS, RATE, DECAY = 400, 0.05, 0.2
@@ -86,6 +84,26 @@ def select(positive: Sample, unlabelled: Sample) -> np.ndarray:
     return np.sort(found[best[z[best] > 3]])
 
 
+def select_features(sampled: DataFrame) -> np.ndarray:
+    """The same over a table of positive (int), unlabelled (boolean) and features (packed), counted where the rows lie."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in batch.column(2)]
+        flat = np.concatenate([*sets, np.zeros(0, np.int32)])
+        weights = [np.repeat(np.array(c.to_pylist(), dtype=np.int64), [len(x) for x in sets]) for c in batch.columns[:2]]
+        found, place = np.unique(flat, return_inverse=True)
+        arrays = [pa.array(np.bincount(place, weights=w, minlength=len(found)).astype(np.int64)) for w in weights]
+        return pa.RecordBatch.from_arrays([pa.array(found), *arrays], names=["feature", "p", "u"])
+
+    n_p, n_u = sampled.agg(F.coalesce(F.sum("positive"), F.lit(0)), F.count_if("unlabelled")).first()
+    flags = sampled.select("positive", F.col("unlabelled").cast("int").alias("unlabelled"), "features")
+    counts = common.map_batches(flags, count, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    rate_p, rate_u = F.col("p") / max(1, n_p), (F.col("u") + 0.5) / (n_u + 1)
+    z = F.abs(rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / max(1, n_p))
+    best = counts.filter(F.col("p") >= MIN_POSITIVE_TEXTS).withColumn("z", z).filter("z > 3").orderBy(F.desc("z"), "feature").limit(SELECTED)
+    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], dtype=np.int32))
+
+
 def fit(positive: Sample, unlabelled: Sample, prior: float, chosen: np.ndarray | None = None) -> tuple[dict[int, float], float, int]:
     """Weights by feature, the bias, and the number of steps in which the negative risk was below zero.
 
@@ -148,21 +166,31 @@ def train(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
     picked = F.broadcast(common.cut(picked.coalesce(1), "toxic-sample"))  # bounded by the two row counts
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [text_features(t)[:SAMPLE_FEATURES].tobytes() for t in batch.column(3).to_pylist()]
+        packed = [text_features(t).tobytes() for t in batch.column(3).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, type=pa.binary())], names=["doc_id", "positive", "unlabelled", "features"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "positive", "unlabelled", "text")
-    sampled = common.map_batches(chosen, features, "doc_id long, positive int, unlabelled boolean, features binary")
-    # The driver holds one of the two parts at a time besides the flat arrays.
-    sampled = common.cut(sampled, "toxic-features")
+    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "positive", "unlabelled", "text")
+    sampled = common.cut(common.map_batches(sampled, features, "doc_id long, positive int, unlabelled boolean, features binary"), "toxic-features")
+    chosen = select_features(sampled)
+
+    def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        for x in batch.column(3):
+            own = np.frombuffer(x.as_buffer(), dtype=np.int32)
+            kept.append(own[_places(own, chosen)[1]].tobytes())
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, type=pa.binary())], names=batch.schema.names)
+
+    # The driver gets the chosen features of the sampled texts alone, one of the two parts at a time.
+    narrowed = common.map_batches(sampled, narrow, "doc_id long, positive int, unlabelled boolean, features binary")
     samples = []
     for kind in ("positive = 1", "unlabelled"):
-        part = sampled.filter(kind).select("doc_id", "features").toArrow().sort_by("doc_id")
+        part = narrowed.filter(kind).select("doc_id", "features").toArrow().sort_by("doc_id")
         samples.append(Sample([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in part.column("features")]))
         del part
+    common.discard(sampled)
     if not len(samples[0]) or not len(samples[1]):
         return None
-    return fit(*samples, prior)[:2]
+    return fit(*samples, prior, chosen)[:2]
 
 
 class Scorer:

@@ -158,7 +158,7 @@ def test_negative_risk_is_kept_from_zero():
     assert toxicity.fit(toxicity.Sample(positive), toxicity.Sample([*other, *positive * 3]), 0.01)[2] == 0
 
 
-def test_chosen_features_against_a_loop():
+def test_chosen_features_against_a_loop(spark):
     import numpy as np
 
     r = np.random.default_rng(3)
@@ -172,6 +172,20 @@ def test_chosen_features_against_a_loop():
             expected.append(f)
     assert toxicity.select(toxicity.Sample(positive), toxicity.Sample(other)).tolist() == expected
     assert toxicity.select(toxicity.Sample([]), toxicity.Sample(other)).tolist() == []
+    rows = [(1, False, x) for x in positive[:20]] + [(1, True, x) for x in positive[20:]] + [(0, True, x) for x in other]
+    table = spark.createDataFrame([(a, b, bytearray(x.tobytes())) for a, b, x in rows], "positive int, unlabelled boolean, features binary").repartition(5)
+    assert toxicity.select_features(table).tolist() == toxicity.select(toxicity.Sample(positive), toxicity.Sample([*positive[20:], *other])).tolist() != []
+    assert toxicity.select_features(table.limit(0)).tolist() == []
+
+
+def test_all_words_of_long_texts_count(spark):
+    """Signs at the far end of texts of many thousand words are learnt and found."""
+    filler = lambda i: " ".join(f"w{(i * 7919 + k * 104729) % 40000}" for k in range(9000))
+    rows = [(i, filler(i) + (" vile%d" % (i % 3) if i % 2 else " kind")) for i in range(80)]
+    labels = [(i, i % 2) for i, _ in rows]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    toxic, clean = ([r["score"] for r in got if r["doc_id"] % 2 == k and r["held_out"]] for k in (1, 0))
+    assert min(toxic) > max(clean)
 
 
 def test_rejecting_keeps_columns_of_any_name(spark):
