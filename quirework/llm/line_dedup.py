@@ -1,12 +1,12 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
-Of every window of WINDOW_LINES line hashes the least is a fingerprint, so two places that share
-such a window share a fingerprint.  Fingerprints that occur once are dropped; around the others
-the match is extended both ways to the windows that chose them, and a window is deleted from all
-places but its first in corpus order.  Windows overlap, so the lines deleted are those of all
-repeated runs, however long.  A frequent line costs nothing but its own rows: what is matched is
-the window around it.  Runs of fewer lines count if they have many words; one or two adjacent
-lines with MIN_WORDS words are a fingerprint of their own.
+Of every window of WINDOW_LINES line hashes the least is a mark, so two places that share such a
+window share a mark, and only marks are written.  Those whose line marks nothing else are
+dropped; from the others matches are extended both ways, over the stretches that they stand for
+and then along the diagonal of the two documents, and a stretch is deleted from all places but
+its first in corpus order.  A frequent line costs nothing but its own rows: what is joined is the
+stretch around it.  Runs of fewer lines count if they have many words; one or two adjacent lines
+with MIN_WORDS words have a mark of their own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -25,8 +25,8 @@ WINDOW_LINES = 3
 #: A run is deleted if it has so many lines, or so many words.
 MIN_LINES, MIN_WORDS = WINDOW_LINES, 50
 
-#: Multipliers of the line hashes of a unit.
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+#: Stretches of lines around a mark, as (first, last) offsets; a mark says by a bit which of them it stands for.
+STRETCHES = ((-2, 0), (-1, 1), (0, 2), (0, 0), (-1, 0), (0, 1))
 
 
 def lines_of(text: str | None) -> tuple[list[str], list[int]]:
@@ -35,14 +35,6 @@ def lines_of(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x and not x.isspace()]
 
 
-def unit_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every ``n`` adjacent line hashes."""
-    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
-    for k in range(n):
-        out += h[k : k + len(out)] * _ODD[k]
-    return out
-
-
 def window_minima(h: np.ndarray, n: int = WINDOW_LINES) -> np.ndarray:
     """Position of the least hash of every window of ``n``; of equal ones the last."""
     if len(h) < n:
@@ -51,63 +43,83 @@ def window_minima(h: np.ndarray, n: int = WINDOW_LINES) -> np.ndarray:
     return np.arange(len(windows)) + n - 1 - np.argmin(windows, axis=1)
 
 
-def document_units(text: str | None) -> tuple[np.ndarray, ...]:
-    """Per unit: fingerprint, whether it is the first unit at that place of it, hash, first and last line.
+def document_marks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of a text: their lines (numbered without the blank ones), the hashes of the five lines
+    around each, and the bits of the stretches that they stand for.
 
-    Units are the windows, each with its minimum, and one or two lines with many words; lines
-    are numbered without the blank ones.
+    A mark is the least line hash of a window, of two adjacent lines with many words, or of a
+    line that has as many alone: what two places share, they share with its mark.
     """
     lines, solid = lines_of(text)
     own = [lines[i].strip() for i in solid]
     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), dtype=np.uint64, count=len(own))
     words = np.fromiter((x.count(" ") + 1 for x in own), dtype=np.int64, count=len(own))
+    bits = np.zeros(len(own), dtype=np.int32)
+
+    def stands_for(least: np.ndarray, first: np.ndarray, size: int) -> None:
+        for k, (low, high) in enumerate(STRETCHES):
+            if high - low + 1 == size:
+                np.bitwise_or.at(bits, least[least + low == first], 1 << k)
+
     least = window_minima(h)
-    parts = [(h[least], np.diff(least, prepend=-1) != 0, unit_hashes(h, WINDOW_LINES), np.arange(len(least)), WINDOW_LINES)]
+    stands_for(least, np.arange(len(least)), WINDOW_LINES)
     for n in range(1, MIN_LINES):
-        at = np.arange(max(0, len(own) - n + 1))
-        at = at[sum(words[k : k + len(at)] for k in range(n)) >= MIN_WORDS]
-        unit = unit_hashes(h, n)[at]
-        parts.append((unit, np.ones(len(at), dtype=bool), unit, at, n))
-    prints, chief, units_, firsts = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
-    lasts = firsts + np.repeat([p[4] - 1 for p in parts], [len(p[3]) for p in parts])
-    return prints.view(np.int64), chief, units_.view(np.int64), firsts, lasts
+        least = window_minima(h, n)
+        first = np.arange(len(least))
+        heavy = sum(words[k : k + len(first)] for k in range(n)) >= MIN_WORDS
+        stands_for(least[heavy], first[heavy], n)
+    at = np.flatnonzero(bits)
+    around = np.pad(h.view(np.int64), 2)
+    return at, around[at[:, None] + np.arange(5)], bits[at]
 
 
-_UNITS = "doc_id long, text_key long, print long, chief boolean, hash long, first int, last int"
+_MARKS = "doc_id long, text_key long, line int, around array<long>, bits int"
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """The units of every document."""
-    names = [c.split()[0] for c in _UNITS.split(", ")]
+def marks(docs: DataFrame) -> DataFrame:
+    """The marks of every document: fewer rows than lines."""
+    names = [c.split()[0] for c in _MARKS.split(", ")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         common.hold_cache("lines", lambda: None)
-        found = [document_units(t) for t in batch.column(2).to_pylist()]
+        found = [document_marks(t) for t in batch.column(2).to_pylist()]
         rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        prints, chief, hashes, firsts, lasts = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(prints), pa.array(chief), pa.array(hashes), pa.array(firsts.astype(np.int32)), pa.array(lasts.astype(np.int32))], names=names)
+        at, around, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 5), pa.array(around.reshape(-1)))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), lists, pa.array(bits)], names=names)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     # Rows equal in doc_id and text are one document.
-    return common.map_batches(keyed, run, _UNITS)
+    return common.map_batches(keyed, run, _MARKS)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Per document with any: doc_id, text_key, runs (array of first and last index among its solid lines).
 
-    A run is a unit whose first occurrence, in the order of doc_id, text_key and line, is
-    elsewhere.
+    Marks whose line marks nothing else are dropped.  From each of the others the match is
+    extended both ways over the stretches that the mark stands for, and places with an equal
+    stretch are joined to the first of them in the order of doc_id, text_key and line.  Matches
+    on the same diagonal of the same two documents grow together into one run.
     """
-    every = common.cut(units(docs), "units")
-    # Written, so that the joins below deal both sides anew and a frequent line or window can be split.
-    shared = every.groupBy("print").agg(F.count_if("chief").alias("n")).filter("n > 1").select("print")
-    near = common.cut(every.join(common.cut(shared, "prints"), "print").select("doc_id", "text_key", "hash", "first", "last"), "near")
+    every = common.cut(marks(docs).withColumn("print", F.element_at("around", 3)), "marks")
+    # Written, so that the joins below deal both sides anew and a frequent line or stretch can be split.
+    shared = common.cut(every.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "prints")
+    stretch = F.explode(F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << k) != 0, F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"))) for k, (a, b) in enumerate(STRETCHES)]), lambda s: s.isNotNull()))
+    near = every.join(shared, "print").select("doc_id", "text_key", "line", "around", stretch.alias("s"))
+    size = F.col("s.high") - F.col("s.low") + 1
+    near = near.select("doc_id", "text_key", F.xxhash64(F.slice("around", F.col("s.low") + 3, size), size).alias("hash"), (F.col("line") + F.col("s.low")).alias("first"), (F.col("line") + F.col("s.high")).alias("last"))
+    near = common.cut(near, "near")
     place = F.struct("doc_id", "text_key", "first")
     firsts = near.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("f")).filter("n > 1")
     firsts = common.cut(firsts.select("hash", F.col("f.doc_id").alias("f_doc"), F.col("f.text_key").alias("f_key"), F.col("f.first").alias("f_first")), "firsts")
-    common.discard(every)
+    common.discard(every, shared)
     later = near.join(firsts, "hash").filter(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("text_key") == F.col("f_key")) & (F.col("first") == F.col("f_first"))))
-    return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    diagonal = Window.partitionBy("doc_id", "text_key", "f_doc", "f_key", F.col("first") - F.col("f_first")).orderBy("first", "last")
+    reach = F.max("last").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    grown = later.withColumn("new", (F.coalesce(F.col("first") > reach + 1, F.lit(True))).cast("int")).withColumn("step", F.col("first") - F.col("f_first"))
+    grown = grown.withColumn("run", F.sum("new").over(diagonal))
+    runs = grown.groupBy("doc_id", "text_key", "f_doc", "f_key", "step", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def delete_runs(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int, int]:

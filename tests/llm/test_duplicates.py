@@ -233,15 +233,25 @@ def test_every_window_holds_a_chosen_line():
 
 
 def test_winnowing_drops_most_lines_that_occur_once(spark):
-    """What travels to the second join are windows around fingerprints that some other place shares."""
+    """Marks are fewer than lines, and what travels to the second join are marks that some other place shares."""
     rows = [(i, "\n".join(f"own {i} {k}" for k in range(40))) for i in range(20)]
     rows += [(100, rows[0][1]), (101, "\n".join(["x", *rows[1][1].split("\n")[5:15], "y"]))]
-    units = line_dedup.units(table(spark, rows))
-    shared = units.groupBy("print").agg(F.count_if("chief").alias("n")).filter("n > 1")
-    met = units.join(shared, "print").select("doc_id").distinct().collect()
+    marks = line_dedup.marks(table(spark, rows)).withColumn("print", F.element_at("around", 3))
+    assert marks.count() < 0.75 * sum(len(t.split("\n")) for _, t in rows)
+    shared = marks.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1")
+    met = marks.join(shared, "print").select("doc_id").distinct().collect()
     assert {r["doc_id"] for r in met} == {0, 1, 100, 101}
 
 
+def test_matches_grow_along_their_diagonal(spark):
+    """A copied passage of many lines comes back as one run, a second copy behind it as another."""
+    own = lambda k: [f"own {k} {i}" for i in range(4)]
+    passage = [f"shared line {i}" for i in range(25)]
+    rows = [(1, "\n".join([*own(1), *passage])), (2, "\n".join([*own(2), *passage, *own(3), *passage[5:9]]))]
+    got = line_dedup.repeated_runs(table(spark, rows)).collect()
+    assert [(r["doc_id"], [tuple(x) for x in r["runs"]]) for r in got] == [(2, [(4, 28), (33, 36)])]
+
+
 def test_runs_leave_columns_of_any_name(spark):
     shared = "one line\nanother line\na third line"
     rows = [(1, f"{shared}\nown", 5, "a", 7), (2, shared, 5, "b", 7), (3, f"{shared}\nmine", 5, "c", 7), (4, None, 5, "d", 7), (5, " \n", 5, "e", 7)]
