@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import facts, records
+from ..functions import draft_fields, facts, records
+from ..functions.text import worked_out
 from ..operators import completeness, gates, relational
 
 MAX_SPAN = 12
 #: Patterns that no published string may hold.
-BAD = ("[^\\x00-\\x7f]{2,}", "\\bSECTION\\b", "continued\\s*-")
+BAD = draft_fields.UNPUBLISHABLE
 WAITING = "awaiting verification"
 
 
@@ -44,24 +45,30 @@ def repeated_codes(secs: DataFrame) -> DataFrame:
 
 
 def draft(secs: DataFrame, applications: DataFrame) -> DataFrame:
-    """One wide projection over the sections: the structured record of each."""
+    """The structured record of each section: its applications and what its repaired text gives.
+
+    The repaired text and its tables are worked out once; every string goes through the public
+    filter, and what is empty goes.
+    """
     apps = applications.groupBy(F.col("system_code").alias("_code")).agg(F.array_sort(F.collect_set(F.struct("make", "model", "year_from", "year_to"))).alias("vehicle_applications"))
     joined = secs.join(apps, secs["code"] == apps["_code"], "left").drop("_code")
+    joined = worked_out(joined, {"_text": draft_fields.repaired("raw_text")})
     own = F.coalesce("vehicle_applications", F.array().cast("array<struct<make:string,model:string,year_from:int,year_to:int>>"))
-    found, spec = facts.identifiers("raw_text"), facts.labelled("raw_text")
+    run = relational.monotone_run(facts.spacing_values("_text"), 8)
+    spacing = F.map_from_entries(F.transform(run, lambda v, i: F.struct((i + 1).cast("string"), F.concat(F.lit("."), F.lpad(v.cast("string"), 3, "0")))))
+    tables = {"_apps": own, "_options": draft_fields.remote_options("_text"), "_decoders": draft_fields.decoders("_text"), "_spacing": spacing}
+    joined = worked_out(joined, tables)
+    parts = worked_out(joined, {"_record": draft_fields.record("_text", facts.labelled("_text"), F.col("_options"), F.col("_decoders"), F.col("_spacing"))})
+    fields = parts.schema["_record"].dataType.names
     record = F.struct(
         facts.system_code("code").alias("code"),
-        facts.title(F.col("code"), own).alias("title"),
-        facts.system_type("raw_text").alias("system_type"),
-        own.alias("vehicle_applications"),
-        F.struct(facts.remote_type("raw_text").alias("remote_type"), spec["frequency"].alias("frequency"), F.get(found["fcc_ids"], F.lit(0)).alias("fcc_id"), facts.remote_options("raw_text").alias("known_options")).alias("key_remote"),
-        F.struct(spec["code_series"].alias("code_series"), spec["card"].alias("card"), spec["macs"].alias("macs"), facts.depth_table("raw_text").alias("depths"), relational.monotone_run(facts.spacing_values("raw_text"), 8).alias("spacing")).alias("mechanical_key"),
-        F.struct(spec["chip"].alias("chip"), spec["reusable"].alias("reusable"), spec["test_key"].alias("test_key")).alias("transponder"),
-        F.struct(F.when(F.contains(F.lower("raw_text"), F.lit("pin")), "Required").alias("pin_required"), spec["factory_tool"].alias("factory_tool")).alias("programming"),
-        found.alias("source_facts"),
+        facts.title(F.col("code"), F.col("_apps")).alias("title"),
+        facts.system_type("_text").alias("system_type"),
+        F.col("_apps").alias("vehicle_applications"),
+        *[F.col("_record")[f].alias(f) for f in fields],
     )
-    out = joined.withColumn("draft", record)
-    return out.withColumn("draft", records.prune(F.col("draft"), out.schema["draft"].dataType))
+    out = parts.withColumn("draft", record).drop("_text", *tables, "_record")
+    return out.withColumn("draft", records.prune(F.col("draft"), out.schema["draft"].dataType, draft_fields.public_value))
 
 
 def completeness_rules(text: str = "raw_text") -> list[tuple[Column, Column, str]]:
@@ -73,7 +80,7 @@ def completeness_rules(text: str = "raw_text") -> list[tuple[Column, Column, str
         (has("[1-9]\\s*=\\s*[.][0-9]{3}"), F.col("draft.mechanical_key.depths").isNotNull(), "depths"),
         (has("(?i)SPACING"), F.col("draft.mechanical_key.spacing").isNotNull(), "spacing"),
         (has(facts.CHIP), F.col("draft.transponder.chip").isNotNull(), "chip"),
-        (has(facts.PART), F.size("draft.source_facts.parts") > 0, "part numbers"),
+        (has(facts.PART), F.size(F.col("draft.source_facts")["Part numbers"]) > 0, "part numbers"),
     ]
 
 

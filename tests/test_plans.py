@@ -69,7 +69,7 @@ def test_title(spark, apps, expected):
 
 
 def test_drafts_are_gated(spark):
-    raw = "FO-1 proximity remote 315 MHz Code Series: A1 PIN needed"
+    raw = "FO-1 proximity remote 315 MHz Code Series: A1-9 PIN needed"
     apps = spark.createDataFrame([("Ford", "Focus", 2000, 2005, "Key", "FO-1", "doc", 3, 0.9)], "make string, model string, year_from int, year_to int, system_type string, system_code string, source_document string, source_page int, confidence double")
     secs = section(spark, raw).unionByName(section(spark, raw + " Chip: Philips é SPACING 1").withColumn("code", F.lit("FO-2")))
     gated = drafts.gate(drafts.draft(secs, apps).withColumn("verified", F.lit(True)))
