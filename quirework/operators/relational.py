@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_dir
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key; the order must be total."""
@@ -73,8 +73,8 @@ def places(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame
     drawn from a sample, so the dealt rows are written once and read by both uses.
     """
     context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # single-machine runs; a cluster sets spark.checkpoint.dir
-        context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "quirework-checkpoints"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
     before, offsets = 0, []

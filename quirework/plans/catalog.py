@@ -379,33 +379,36 @@ QUALITY = """CAST(100 * length(regexp_replace({0}, '[^A-Za-z]', '', 'g')) + 15 *
  - 800 * length(regexp_replace({0}, '[\\x00-\\x7F]', '', 'g')) - 500 * len(regexp_extract_all({0}, '[±¤\\[\\]{{}}]|[A-Za-z][0-9][A-Za-z]')) AS BIGINT)"""
 
 
-@query(f"SELECT doc_id, {QUALITY.format('text')} AS points FROM documents WHERE lang = 'en'")
+def _quality_sql(column: str) -> str:
+    """Words bounded by any letter, also one with an accent."""
+    return QUALITY.format(column).replace(f"regexp_extract_all({column}, '(?i)", f"regexp_extract_all(strip_accents({column}), '(?i)")
+
+
+@query(f"SELECT doc_id, {_quality_sql('t')} AS points FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def text_quality_score(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", text.quality_points("text").alias("points"))
+    return table(spark, d, "documents").select("doc_id", text.quality_points("text").alias("points"))
 
 
-@query()
+@query(ORACLE_SQL["text_quality_score"])
 def text_quality_score_whole(spark, d):
-    """Every row; the query before keeps to the rows of its SQL, as do the others with a whole one."""
-    return table(spark, d, "documents").select("doc_id", text.quality_points("text").alias("points"))
+    """The same as the query before, which keeps no more to some rows."""
+    return text_quality_score(spark, d)
 
 
-@query(f"""WITH b AS (SELECT d.doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE lang = 'en'),
-p AS (SELECT *, {QUALITY.format('a')} AS pa, {QUALITY.format('b')} AS pb FROM b)
-SELECT doc_id, CASE WHEN 100 * pa >= 85 * pb AND length(a) > 80 THEN 'native' WHEN pb >= pa AND length(b) > 40 THEN 'scan' WHEN a <> '' THEN 'native' ELSE 'scan' END AS chosen FROM p WHERE a <> b""")
+@query(f"""WITH n AS (SELECT count(*) AS n FROM benchmark), b AS (SELECT d.doc_id, coalesce(d.text, '') AS a, coalesce(b.text, '') AS b FROM documents d CROSS JOIN n LEFT JOIN benchmark b ON d.doc_id % n.n = b.item_id),
+p AS (SELECT *, {_quality_sql('a')} AS pa, {_quality_sql('b')} AS pb FROM b)
+SELECT doc_id, CASE WHEN a = b OR (100 * pa >= 85 * pb AND length(a) > 80) THEN 'native' WHEN pb >= pa AND length(b) > 40 THEN 'scan' WHEN a <> '' OR b = '' THEN 'native' ELSE 'scan' END AS chosen FROM p""")
 def choose_best_text(spark, d):
+    """Every document against an item of the whole benchmark as its other reading."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.col("text").alias("a"))
-    j = docs.join(b, F.pmod(docs["doc_id"], F.lit(40)) == b["item_id"]).filter("a <> b")
-    return j.select("doc_id", F.when(text.choose_text("a", "b") == F.col("a"), "native").otherwise("scan").alias("chosen"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
+    j = docs.join(b, F.pmod(docs["doc_id"], F.lit(max(1, b.count()))) == b["item_id"], "left")
+    return j.select("doc_id", F.when(text.choose_text("a", "b") == F.coalesce("a", F.lit("")), "native").otherwise("scan").alias("chosen"))
 
 
-@query()
+@query(ORACLE_SQL["choose_best_text"])
 def choose_best_text_whole(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
-    j = docs.join(b, F.pmod(docs["doc_id"], F.lit(40)) == b["item_id"], "left")
-    return j.select("doc_id", F.when(text.choose_text("a", "b") == F.coalesce("a", F.lit("")), "native").otherwise("scan").alias("chosen"))
+    return choose_best_text(spark, d)
 
 
 @query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderkey % 30 AS k FROM orders), s AS (SELECT o_orderkey, y, y + k AS e FROM o)
@@ -444,22 +447,25 @@ def toc_lines(spark, d):
     return lines.select("doc_id", (F.col("p") + 1).alias("line_no"), kind.alias("kind"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') OR (length(text) > 24 AND 100 * length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 42 * length(text)) OR regexp_matches(text, '(?i)worthless') THEN false ELSE true END AS fit
-FROM documents WHERE text <> ''""")
+@query("""SELECT doc_id, CASE WHEN t = '' OR regexp_matches(t, '[^\\x00-\\x7F]') OR (length(t) > 24 AND 100 * length(regexp_replace(t, '[^A-Za-z]', '', 'g')) < 42 * length(t)) OR regexp_matches(t, '(?i)worthless') THEN false ELSE true END AS fit
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def public_text_gate(spark, d):
-    return table(spark, d, "documents").filter("text <> ''").select("doc_id", (text.public_text("text", "worthless") != "").alias("fit"))
+    return table(spark, d, "documents").select("doc_id", (text.public_text("text", "worthless") != "").alias("fit"))
+
+
+MEANINGFUL = """length(line) BETWEEN 28 AND 520 AND length(line) - length(replace(line, ' ', '')) >= 3 AND NOT regexp_matches(line, '[^\\x00-\\x7F]')
+ AND 100 * length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 42 * length(line)"""
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en')
-SELECT doc_id, count(*) AS n FROM l WHERE length(line) BETWEEN 28 AND 520 AND length(line) - length(replace(line, ' ', '')) >= 3 AND NOT regexp_matches(line, '[^\\x00-\\x7F]')
- AND 100 * length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 42 * length(line) GROUP BY doc_id""")
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n FROM l WHERE {MEANINGFUL} GROUP BY doc_id")
 def meaningful_lines(spark, d):
-    lines = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.filter(text.meaningful_line("line")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, count(*) FILTER ({MEANINGFUL}) AS n FROM l GROUP BY doc_id")
 def meaningful_lines_whole(spark, d):
+    """Documents without such a line too."""
     lines = table(spark, d, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return lines.groupBy("doc_id").agg(F.count_if(F.coalesce(text.meaningful_line("line"), F.lit(False))).alias("n"))
 
@@ -474,15 +480,14 @@ def keyword_rules(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(text.rule_texts("text", KEYWORDS), ",").alias("notes"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(trim(text), '[ \\t\\r\\n]+', ' ', 'g'), '(?i)license', 'permit', 'g'), '(?i)version', 'release', 'g') AS rewritten FROM documents WHERE lang = 'en' AND text = trim(text)""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(text, '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')), '(?i)license', 'permit', 'g'), '(?i)version', 'release', 'g') AS rewritten FROM documents""")
 def rewrite_rules(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en' and text = trim(text)")
-    return docs.select("doc_id", text.rewrite("text", [("license", "permit"), ("version", "release")]).alias("rewritten"))
+    return table(spark, d, "documents").select("doc_id", text.rewrite("text", [("license", "permit"), ("version", "release")]).alias("rewritten"))
 
 
-@query()
+@query(ORACLE_SQL["rewrite_rules"])
 def rewrite_rules_whole(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.rewrite("text", [("license", "permit"), ("version", "release")]).alias("rewritten"))
+    return rewrite_rules(spark, d)
 
 
 @query("SELECT doc_id, sha256(text) AS key, substring(sha1(text), 1, 16) AS id FROM documents")
@@ -652,16 +657,15 @@ def records_table(spark, d):
     return table(spark, d, "part").select("p_partkey", render.records_table(rows, [("brand", "Brand"), ("note", "Note"), ("size", "Size")]).alias("html"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN '' ELSE '<p>' || replace(replace(replace(replace(replace(trim(text), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</p>' END AS html
-FROM conversations WHERE NOT contains(text, chr(10) || chr(10))""")
+@query("""SELECT conv_id, turn, coalesce(array_to_string(list_transform(list_filter(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda p: regexp_matches(p, '[^\\t-\\r ]')), lambda p:
+ '<p>' || replace(replace(replace(replace(replace(regexp_replace(p, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</p>'), ''), '') AS html FROM conversations""")
 def markdown_light(spark, d):
-    c = table(spark, d, "conversations").filter(~F.contains("text", F.lit("\n\n")))
-    return c.select("conv_id", "turn", render.paragraphs("text").alias("html"))
+    return table(spark, d, "conversations").select("conv_id", "turn", render.paragraphs("text").alias("html"))
 
 
-@query()
+@query(ORACLE_SQL["markdown_light"])
 def markdown_light_whole(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", render.paragraphs("text").alias("html"))
+    return markdown_light(spark, d)
 
 
 # -- sections and geometry -------------------------------------------------------------------

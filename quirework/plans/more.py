@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import images, records, render, similarity, text
 from ..operators import relational
+from ..session import shared_dir
 from ..sources import files
 from . import drafts
 from .catalog import query, table
 
 
 def scratch(spark) -> str:
-    """A new folder that executors share: under ``spark.checkpoint.dir``, or a local one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "quirework-scratch")
-    return f"{where.rstrip('/')}/quirework/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/quirework/{uuid.uuid4().hex}"
 
 
 @query("SELECT p_partkey AS word_num, p_size AS \"left\", trim(p_name) AS text, CAST(p_size - 10 AS DOUBLE) AS confidence FROM part WHERE p_size >= 10 AND p_partkey % 5 <> 0")

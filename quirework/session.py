@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +22,16 @@ def build(app: str = "quirework", **settings: str) -> SparkSession:
     for k, v in {**SETTINGS, **settings}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder does on a single machine; elsewhere that is an error,
+    since each executor would write to a folder of its own.
+    """
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "quirework-scratch")
