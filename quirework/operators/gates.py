@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import quality_points
+
 CODE_SHAPE = "^[A-Z]{2,10}-[A-Z0-9]{1,4}$"
 
 
@@ -62,3 +64,13 @@ def best_prior(candidates: DataFrame, key: str, issue_count: str, order: str) ->
     """The candidate with fewest issues for each key; ties go to the first by ``order``."""
     w = Window.partitionBy(key).orderBy(issue_count, order)
     return candidates.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
+def best_read(reads: DataFrame, keys: Sequence[str], text: str, place: str) -> DataFrame:
+    """Of several reads of the same page the one of the best quality, with points; of equal ones the first by ``place``.
+
+    An arg-max with map-side combine: no task holds all reads of a page.
+    """
+    scored = reads.withColumn("points", quality_points(text))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in scored.columns if c not in keys]), F.struct("points", -F.col(place))).alias("_best"))
+    return best.select(*keys, "_best.*")
