@@ -856,4 +856,4 @@ def ext_intersect(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-from . import draft_queries, map_queries, more, pages, rules, vehicles  # noqa: E402, F401  they register their queries here
+from . import asset_queries, draft_queries, map_queries, more, pages, rules, vehicles  # noqa: E402, F401  they register their queries here
