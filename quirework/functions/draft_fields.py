@@ -203,9 +203,9 @@ def _called_for(low: Column, alternatives: Sequence[Sequence[str]]) -> Column:
     return out
 
 
-def advice(x: Column | str, table: Sequence[tuple], most: int | None = None) -> Column:
-    """Texts of a table that the text calls for, in order."""
-    low = F.lower(_text(x))
+def advice(x: Column | str, table: Sequence[tuple], most: int | None = None, low: Column | None = None) -> Column:
+    """Texts of a table that the text (or ``low``, its lower case) calls for, in order."""
+    low = F.lower(_text(x)) if low is None else low
     out = F.filter(F.array(*[F.when(_called_for(low, row[-1]), F.lit(row[0])) for row in table]), lambda v: v.isNotNull())
     return F.slice(out, 1, most) if most else out
 
@@ -449,13 +449,13 @@ def numbered_methods(x: Column | str) -> Column:
 # -- the record -------------------------------------------------------------------------------------
 
 
-def record(x: Column | str, fields: Column, options: Column, named_decoders: Column, spacing: Column) -> Column:
+def record(x: Column | str, low: Column | str, fields: Column, options: Column, named_decoders: Column, spacing: Column) -> Column:
     """The parts of a draft that its repaired text gives; values are empty where the text has none.
 
-    ``fields`` is facts.labelled, ``options`` and ``named_decoders`` the tables above.
+    ``low`` is the text in lower case, ``fields`` is facts.labelled, ``options`` and
+    ``named_decoders`` are the tables above.
     """
-    text = _text(x)
-    low = F.lower(text)
+    text, low = _text(x), col(low)
     has = lambda *words: _called_for(low, [(w,) for w in words])
     chip, series = short_value(F.coalesce(fields["chip"], F.lit("")), 48), code_series(text)
     fcc = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("(?i)\\bFCC[:\\s]+([A-Z0-9-]{5,})"), F.lit(1)), facts.valid_fcc)))
@@ -463,11 +463,11 @@ def record(x: Column | str, fields: Column, options: Column, named_decoders: Col
     fcc_text, mhz_text = F.array_join(fcc, ", "), F.array_join(mhz, ", ")
     emergency = _when(_first(text, EMERGENCY), lambda v: ~F.upper(v).isin(*NOT_EMERGENCY))
     keyways = F.array_join(F.array_distinct(F.slice(F.filter(F.regexp_extract_all(text, F.lit(KEYWAY), F.lit(1)), keyway_identifier), 1, 4)), " / ")
-    path = F.array_join(advice(text, PROGRAMMING_PATH), " ")
-    methods = advice(text, METHODS, MOST_METHODS)
-    notes = advice(text, FIELD_NOTES, MOST_NOTES)
+    path = F.array_join(advice(text, PROGRAMMING_PATH, low=low), " ")
+    methods = advice(text, METHODS, MOST_METHODS, low=low)
+    notes = advice(text, FIELD_NOTES, MOST_NOTES, low=low)
     general = F.slice(F.transform(F.filter(source_lines(text), lambda s: ~_called_for(F.lower(s), [("copyright",), ("table of contents",)])), lambda s: rewrite(F.substring(s, 1, 320), REWRITES)), 1, MOST_GENERAL)
-    guide = F.concat(F.array(F.lit(GUIDE_FIRST)), F.when(series != "", F.array(F.concat(F.lit(GUIDE_CODES[0]), series, F.lit(GUIDE_CODES[1])))).otherwise(F.array().cast("array<string>")), advice(text, GUIDE))
+    guide = F.concat(F.array(F.lit(GUIDE_FIRST)), F.when(series != "", F.array(F.concat(F.lit(GUIDE_CODES[0]), series, F.lit(GUIDE_CODES[1])))).otherwise(F.array().cast("array<string>")), advice(text, GUIDE, low=low))
     card = _let(after_label(text, "CARD#"), lambda v: F.when(v != "", v).otherwise(after_label(text, "CARD")))
     card = _when(short_value(card, 16, spaces=False), lambda v: F.rlike(v, F.lit("[0-9]")))
     macs = _first(text, facts.LABELLED["macs"]).try_cast("int")
@@ -532,7 +532,7 @@ def record(x: Column | str, fields: Column, options: Column, named_decoders: Col
         decoders=named_decoders,
         lock_parts=lock_parts(text),
         troubleshooting=F.slice(trouble, 1, MOST_TROUBLE),
-        warnings=advice(text, WARNINGS),
+        warnings=advice(text, WARNINGS, low=low),
     )
 
 

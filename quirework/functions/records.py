@@ -22,9 +22,9 @@ def _empty_to_null(x: Column, kind: DataType) -> Column:
 def prune(x: Column, kind: DataType, clean: Clean = F.trim) -> Column:
     """Strings cleaned; empty strings, arrays, maps and structs become null, and null elements go."""
     if isinstance(kind, StructType):
-        fields = [prune(x[f.name], f.dataType, clean).alias(f.name) for f in kind.fields]
-        named = [prune(x[f.name], f.dataType, clean) for f in kind.fields]
-        return F.when(_any_set(named), F.struct(*fields))
+        whole = F.struct(*[prune(x[f.name], f.dataType, clean).alias(f.name) for f in kind.fields])
+        # Worked out once: a test beside the struct would double the work at each level.
+        return F.element_at(F.transform(F.array(whole), lambda s: F.when(_any_set([s[f.name] for f in kind.fields]), s)), 1)
     if isinstance(kind, ArrayType):
         return _empty_to_null(F.filter(F.transform(x, lambda v: prune(v, kind.elementType, clean)), lambda v: v.isNotNull()), kind)
     if isinstance(kind, MapType):

@@ -56,9 +56,9 @@ def draft(secs: DataFrame, applications: DataFrame) -> DataFrame:
     own = F.coalesce("vehicle_applications", F.array().cast("array<struct<make:string,model:string,year_from:int,year_to:int>>"))
     run = relational.monotone_run(facts.spacing_values("_text"), 8)
     spacing = F.map_from_entries(F.transform(run, lambda v, i: F.struct((i + 1).cast("string"), F.concat(F.lit("."), F.lpad(v.cast("string"), 3, "0")))))
-    tables = {"_apps": own, "_options": draft_fields.remote_options("_text"), "_decoders": draft_fields.decoders("_text"), "_spacing": spacing}
+    tables = {"_low": F.lower("_text"), "_apps": own, "_options": draft_fields.remote_options("_text"), "_decoders": draft_fields.decoders("_text"), "_spacing": spacing}
     joined = worked_out(joined, tables)
-    parts = worked_out(joined, {"_record": draft_fields.record("_text", facts.labelled("_text"), F.col("_options"), F.col("_decoders"), F.col("_spacing"))})
+    parts = worked_out(joined, {"_record": draft_fields.record("_text", "_low", facts.labelled("_text"), F.col("_options"), F.col("_decoders"), F.col("_spacing"))})
     fields = parts.schema["_record"].dataType.names
     record = F.struct(
         facts.system_code("code").alias("code"),
