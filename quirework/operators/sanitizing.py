@@ -1,11 +1,15 @@
 """Type guards and value rules for the sections of a record that comes as JSON text.
 
 A fixed schema drops what has the wrong type (only the part itself, not the record); what is
-left passes the rules of its section.  Parts without a schema here are dropped.
+left passes the rules of its section.  Members without a rule here, of the record or of one of
+its sections, stay as they are.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,12 @@ RECORD = (
     f"mechanical_key struct<ilco_keyway:string,style:string,macs:string,start_cut:string,cut_to_cut:string,milling:string,air_bags:string,ignition_retainer:string,spacing:{_TABLE},depths:{_TABLE},cutting_setup:{_TABLE},cut_position_map:{_TEXTS}>, "
     f"transponder struct<chip:string,test_key:string,reusable:string,cloning:string,cloner_tools:{_TEXTS}>, "
     f"programming struct<factory_tool:string,pin_guidance:string,tool_guidance:string,pin_required:string,tools:{_TEXTS}>, "
-    f"making_key struct<methods:{_TEXTS},field_notes:{_TEXTS},service_notes:{_TEXTS},field_workflow:{_TEXTS}>"
+    f"making_key struct<methods:{_TEXTS},field_notes:{_TEXTS},service_notes:{_TEXTS},field_workflow:{_TEXTS}>, "
+    f"job_essentials {_TABLE}, technician_checklist map<string,{_TEXTS}>, source_facts map<string,{_TEXTS}>"
 )
+SECTIONS = ("key_remote", "mechanical_key", "transponder", "programming", "making_key")
+#: Members of each section that have a rule.
+SECTION_FIELDS = {name: tuple(re.findall(r"(\w+):", fields)) for name, fields in re.findall(r"(\w+) struct<((?:[^<>]|<[^<>]*>)*)>", RECORD)}
 # What stands for a missing value, shapes of cuts, and words that say there is none.
 PLACEHOLDERS = ("CHECK SOURCE", "VERIFY SOURCE", "SOURCE CHECK", "UNKNOWN FROM SOURCE")
 CUT = "^\\d?(?:\\.\\d{3})$"
@@ -67,6 +75,31 @@ def _rows(part: Column, name: str, keep) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
+def _table(x: Column, clean) -> Column:
+    kept = F.map_filter(F.transform_values(x, lambda _, v: clean(v)), lambda _, v: v.isNotNull())
+    return F.when(F.size(kept) > 0, kept)
+
+
+def _inside(json: Column) -> Column:
+    """An object's text without its braces; empty for null."""
+    return F.regexp_replace(F.coalesce(json, F.lit("")), "^\\{|\\}$", "")
+
+
+def _named(name: str, inside: Column) -> Column:
+    """A member with an object, or empty if the object is."""
+    return F.element_at(F.transform(F.array(inside), lambda x: F.when(x != "", F.concat(F.lit(f'"{name}":{{'), x, F.lit("}"))).otherwise("")), 1)
+
+
+def _members(*insides: Column) -> Column:
+    return F.array_join(F.filter(F.array(*insides), lambda x: x != ""), ",")
+
+
+def _others(json: Column, known: Sequence[str]) -> Column:
+    """The members of a JSON object that are not known, as the inside of an object; empty without any."""
+    members = F.from_json(json, "map<string,variant>", {"mode": "PERMISSIVE"})
+    return _inside(F.to_json(F.map_filter(members, lambda k, v: ~k.isin(*known) & v.isNotNull() & ~F.to_json(v).isin("null", '""', "[]", "{}"))))
+
+
 def _has(*fields: Column) -> Column:
     return F.trim(F.coalesce(*fields, F.lit(""))) != ""
 
@@ -103,9 +136,12 @@ def sanitized(record: Column | str) -> Column:
         "programming": F.struct(*[_public(p[c]).alias(c) for c in ("factory_tool", "pin_guidance", "tool_guidance")], _text(p["pin_required"]).alias("pin_required"), _rows(p, "tools", lambda v: _has(v["name"])).alias("tools")),
         "making_key": F.struct(_texts(F.filter(k["methods"], lambda v: public_text(v) != "")).alias("methods"), *[_texts(k[c]).alias(c) for c in ("field_notes", "service_notes")], _rows(k, "field_workflow", lambda v: _has(v["step"], v["detail"])).alias("field_workflow")),
     }
-    blank = lambda x: F.when(F.to_json(x) != "{}", x)  # noqa: E731  a section with nothing left goes
-    columns = [(blank(v) if name in ("key_remote", "mechanical_key", "transponder", "programming", "making_key") else v).alias(name) for name, v in parts.items()]
-    return F.when(source.isNotNull(), F.to_json(F.struct(*columns)))
+    parts |= {"job_essentials": _table(r["job_essentials"], _text), "technician_checklist": _table(r["technician_checklist"], _texts), "source_facts": _table(r["source_facts"], _texts)}
+    insides = [_inside(F.to_json(F.struct(*[v.alias(name) for name, v in parts.items() if name not in SECTIONS])))]
+    for name in SECTIONS:  # a section with nothing left goes
+        body = _members(_inside(F.to_json(parts[name])), F.when(r.getField(name).isNotNull(), _others(F.get_json_object(source, f"$.{name}"), SECTION_FIELDS[name])).otherwise(""))
+        insides.append(_named(name, body))
+    return F.when(source.isNotNull(), F.concat(F.lit("{"), _members(*insides, _others(source, tuple(parts))), F.lit("}")))
 
 
 def sanitize(drafts: DataFrame, record: str = "record") -> DataFrame:

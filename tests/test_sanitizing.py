@@ -15,6 +15,11 @@ CASES = [
     ({"lock_parts": [{"part": "7012345"}, {"note": "decoder method"}, {"supplier": "Strattec part", "note": "use the reader"}]}, {"lock_parts": [{"part": "7012345"}]}),
     ({"transponder": {"chip": "46", "cloner_tools": [{"name": "A", "status": "ok"}, {"name": "B"}, {"model": "C", "status": "no"}]}}, {"transponder": {"chip": "46", "cloner_tools": [{"name": "A", "status": "ok"}, {"model": "C", "status": "no"}]}}),
     ({"programming": {"factory_tool": "", "tools": [{"name": "T"}, {"note": "x"}], "pin_required": "Yes"}}, {"programming": {"pin_required": "Yes", "tools": [{"name": "T"}]}}),
+    (
+        {"job_essentials": {"PIN": "Check source", "FCC ID": " ABC12 "}, "technician_checklist": {"Bring": ["a", ""], "No": []}, "source_facts": "x", "procedure_diagrams": [{"title": "t", "n": 1.5}], "verified": True, "none": None, "empty": {}},
+        {"job_essentials": {"FCC ID": "ABC12"}, "technician_checklist": {"Bring": ["a"]}, "procedure_diagrams": [{"title": "t", "n": 1.5}], "verified": True},
+    ),
+    ({"mechanical_key": {"macs": "x", "code_series": "A1-9", "tracks": {"left": ["1"]}}, "transponder": {"own": 5}, "programming": {"own": ""}}, {"mechanical_key": {"code_series": "A1-9", "tracks": {"left": ["1"]}}, "transponder": {"own": 5}}),
     ({"making_key": {"methods": ["Read the code from the lock.", ""], "field_notes": "no list"}}, {"making_key": {"methods": ["Read the code from the lock."]}}),
 ]
 
