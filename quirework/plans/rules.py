@@ -53,6 +53,15 @@ def _sql_filled(path: str) -> str:
     return f"(trim(coalesce(json_extract_string(rec, '$.{path}'), '')) NOT IN ('', '[]', '{{}}', 'null', 'false', '0'))"
 
 
+#: A source that shows which positions which lock uses.
+_LOCK_FLAT = "regexp_replace(regexp_replace(up, '\\s+', ' ', 'g'), '\\bIGN(?:ITION)?\\s+RETAINER\\b', ' ', 'g')"
+_LOCK_VISUAL = (
+    f"regexp_matches({_LOCK_FLAT}, 'DOORS?\\b|HATCH\\b') AND regexp_matches({_LOCK_FLAT}, 'IGNITION.{{0,100}}(?:DOORS?|TRUNK|HATCH)|(?:DOORS?|TRUNK|HATCH).{{0,80}}IGNITION') "
+    f"AND (regexp_matches({_LOCK_FLAT}, '\\b(?:1 2 3 4 5 6 7(?: 8)?|POSITIONS?)\\b|\\b(?:FILLED|MARK(?:ED)?|SQUARE|WAFER)\\b') "
+    f"OR len(regexp_extract_all({_LOCK_FLAT}, '\\b(?:IGNITION|DOORS?|TRUNK|HATCH|GLOVE\\s+BOX)\\b.{{0,60}}?\\b[1-9]\\b')) >= 2)"
+)
+
+
 def _sql_rules() -> list[tuple[str, str]]:
     out = []
     for r in completeness.RULES:
@@ -92,7 +101,7 @@ def _sql_rules() -> list[tuple[str, str]]:
         ("regexp_matches(up, '\\bCLONER\\s*MACHINE\\s*INFORMATION\\b') AND contains(rec, '{\"name\":\"Y\"}')", "cloner tools incomplete"),
         ("contains(up, 'PROXIMITY OPTION') AND starts_with(upper(trim(coalesce(json_extract_string(rec, '$.system_type'), ''))), 'PROXIMITY')", "proximity is an option"),
         (f"regexp_matches(up, '{completeness.LOCK_PARTS}') AND len(list_filter(regexp_extract_all(up, '\\b70[0-9]{{4,5}}\\b'), lambda x: NOT contains(upper(rec), x))) > 0", "lock part number missing"),
-        ("p_partkey % 13 = 4 AND NOT contains(rec, '\"filled\"')", "lock diagram missing"),
+        (f"{_LOCK_VISUAL} AND NOT contains(rec, '\"filled\"')", "lock diagram missing"),
     ]
     return out
 
