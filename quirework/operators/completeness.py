@@ -85,12 +85,25 @@ def cut_table(record: Column, name: str) -> Column:
     return F.from_json(_value(record, f"mechanical_key.{name}"), "map<string,string>")
 
 
-def descending(table: Column, count: Column | int) -> Column:
-    """Positions 1..count are numbers that fall strictly."""
+#: Fixed value: codes whose spacing was seen to rise from bow to tip.
+ASCENDING_CODES = ("HON-R15",)
+
+
+def _ordered(table: Column, count: Column | int, before) -> Column:
     n = F.lit(count) if isinstance(count, int) else count
     values = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.try_element_at(table, i.cast("string")).try_cast("double"))
-    falls = F.forall(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | (F.get(values, i - 1) > F.get(values, i)))
-    return F.forall(values, lambda v: v.isNotNull()) & falls
+    in_order = F.forall(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i == 0) | before(F.get(values, i - 1), F.get(values, i)))
+    return F.forall(values, lambda v: v.isNotNull()) & in_order
+
+
+def descending(table: Column, count: Column | int) -> Column:
+    """Positions 1..count are numbers that fall strictly."""
+    return _ordered(table, count, lambda a, b: a > b)
+
+
+def ascending(table: Column, count: Column | int) -> Column:
+    """Positions 1..count are numbers that rise strictly."""
+    return _ordered(table, count, lambda a, b: a < b)
 
 
 def valid_depths(table: Column, count: int) -> Column:
@@ -124,6 +137,8 @@ def issues(source: Column | str, record: Column | str) -> Column:
     out.append(((reference != "") & ~F.contains(fold(decoders), fold(reference)), "decoder reference mismatched"))
     out.append((F.rlike(F.coalesce(_value(rec, "mechanical_key.ilco_keyway"), F.lit("")), F.lit(MISPLACED_TOOL)), "tool in keyway"))
     spacing, depths = cut_table(rec, "spacing"), cut_table(rec, "depths")
+    rises = F.upper(F.coalesce(_value(rec, "code"), F.lit(""))).isin(*ASCENDING_CODES)
+    spaced = lambda n: descending(spacing, n) | (rises & ascending(spacing, n))
     n_spacing, n_depths = (F.coalesce(F.size(t), F.lit(0)) for t in (spacing, depths))
     n_spacing, n_depths = (F.greatest(n, F.lit(0)) for n in (n_spacing, n_depths))
     positions = position_count(raw)
@@ -131,7 +146,7 @@ def issues(source: Column | str, record: Column | str) -> Column:
     wanted = F.when(different > 0, F.least(positions, different)).otherwise(positions)
     out.append(((positions > 0) & (n_spacing == 0), "spacing missing"))
     out.append(((positions > 0) & (n_spacing > 0) & (n_spacing < wanted), "spacing short"))
-    out.append(((positions > 0) & (n_spacing > 0) & (n_spacing >= wanted) & ~descending(spacing, wanted), "spacing out of order"))
+    out.append(((positions > 0) & (n_spacing > 0) & (n_spacing >= wanted) & ~spaced(wanted), "spacing out of order"))
     has_depths = F.size(table_values(raw, "depths")) >= 3
     outer = F.rlike(F.upper(F.coalesce(_value(rec, "mechanical_key"), F.lit(""))), F.lit("\\b(?:EXTERNAL|EDGE|4-TRACK)\\b")) & valid_depths(depths, 4)
     out.append((has_depths & (n_depths == 0), "depths missing"))
@@ -139,7 +154,7 @@ def issues(source: Column | str, record: Column | str) -> Column:
     out.append((has_depths & (n_depths >= 4) & ~(descending(depths, 4) | F.coalesce(outer, F.lit(False))), "depths out of order"))
     eight, four = F.rlike(up, F.lit("\\bEIGHT\\s+SPACES\\b")), F.rlike(up, F.lit("\\bFOUR\\s+DEPTHS\\b"))
     out.append((eight & (n_spacing < 8), "eight spaces incomplete"))
-    out.append((eight & (n_spacing > 0) & ~descending(spacing, 8), "eight spaces out of order"))
+    out.append((eight & (n_spacing > 0) & ~spaced(8), "eight spaces out of order"))
     out.append((filled(rec, "mechanical_key.start_cut") & filled(rec, "mechanical_key.cut_to_cut") & (n_depths > 0) & (n_spacing == 0), "cuts without spacing"))
     out.append((four & (n_depths < 4), "four depths incomplete"))
     out.append((four & (n_depths > 0) & ~descending(depths, 4), "four depths out of order"))

@@ -28,7 +28,7 @@ FIELDS = [
     ("", '"procedure_diagrams":[{"panels":[{"rows":[["IGNITION","filled"]]}]}]', 26, 4), ("", '"note":"kessy pin"', 18, 1),
     ("mechanical_key", '"ilco_keyway":"HU92"', 10, 1), ("mechanical_key", '"ilco_keyway":"Tcode"', 25, 6), ("mechanical_key", '"macs":"4"', 8, 1), ("mechanical_key", '"style":""', 7, 2), ("mechanical_key", '"ignition_retainer":"On"', 18, 4),
     ("mechanical_key", '"start_cut":""', 10, 4), ("mechanical_key", '"cut_to_cut":".1"', 12, 4), ("mechanical_key", '"spacing":{"1":".900","2":".800","3":".700","4":".600","5":".500","6":".400"}', 8, 3),
-    ("mechanical_key", '"spacing":{"1":".900","2":".950"}', 8, 7), ("mechanical_key", '"depths":{"1":".305","2":".280","3":".255","4":".230"}', 15, 5), ("mechanical_key", '"depths":{"1":".305","2":".280","3":".290","4":".230"}', 15, 10),
+    ("mechanical_key", '"spacing":{"1":".400","2":".450","3":".500","4":".550","5":".600","6":".650","7":".700","8":".750"}', 8, 7), ("mechanical_key", '"depths":{"1":".305","2":".280","3":".255","4":".230"}', 15, 5), ("mechanical_key", '"depths":{"1":".305","2":".280","3":".290","4":".230"}', 15, 10),
     ("transponder", '"chip":"46"', 12, 1), ("transponder", '"cloner_tools":[{"name":"","model":"X","status":"ok"},{"name":"Y"}]', 16, 1), ("programming", '"factory_tool":"TechStream"', 6, 0), ("programming", '"pin_guidance":"ask"', 24, 7),
     ("making_key", '"methods":["one"]', 8, 2), ("making_key", '"methods":["one","two"]', 8, 6), ("key_remote", '"known_options":[{"fcc":"ABC123"}]', 6, 1),
 ]
@@ -78,6 +78,7 @@ def _sql_rules() -> list[tuple[str, str]]:
     decoders = "upper(coalesce(CAST(json_extract(rec, '$.decoders') AS VARCHAR), ''))"
     remotes = "len(list_distinct(regexp_extract_all(up, '\\bREMOTE\\s*:\\s*([A-Z0-9-]{6,24})', 1)))"
     falls = lambda t, n: f"list_bool_and(list_transform(range(1, CAST({n} AS BIGINT) + 1), lambda i: try_cast(json_extract_string({t}, '$.\"' || i || '\"') AS DOUBLE) IS NOT NULL AND (i = 1 OR coalesce(try_cast(json_extract_string({t}, '$.\"' || (i - 1) || '\"') AS DOUBLE) > try_cast(json_extract_string({t}, '$.\"' || i || '\"') AS DOUBLE), false))))"
+    ordered = lambda n: f"({falls('spacing', n)} OR (upper(coalesce(json_extract_string(rec, '$.code'), '')) = 'HON-R15' AND {falls('spacing', n).replace(' AS DOUBLE) > try_cast', ' AS DOUBLE) < try_cast')}))"
     eight, four = "regexp_matches(up, '\\bEIGHT\\s+SPACES\\b')", "regexp_matches(up, '\\bFOUR\\s+DEPTHS\\b')"
     out += [
         (f"{fcc} AND NOT contains(upper(coalesce(CAST({options} AS VARCHAR), '')), 'FCC')", "fcc without remote options"),
@@ -87,12 +88,12 @@ def _sql_rules() -> list[tuple[str, str]]:
         (f"regexp_matches(coalesce(json_extract_string(rec, '$.mechanical_key.ilco_keyway'), ''), '{completeness.MISPLACED_TOOL}')", "tool in keyway"),
         ("positions > 0 AND n_spacing = 0", "spacing missing"),
         ("positions > 0 AND n_spacing > 0 AND n_spacing < wanted", "spacing short"),
-        (f"positions > 0 AND n_spacing > 0 AND n_spacing >= wanted AND NOT {falls('spacing', 'greatest(wanted, 1)')}", "spacing out of order"),
+        (f"positions > 0 AND n_spacing > 0 AND n_spacing >= wanted AND NOT {ordered('greatest(wanted, 1)')}", "spacing out of order"),
         ("n_found_depths >= 3 AND n_depths = 0", "depths missing"),
         ("n_found_depths >= 3 AND n_depths BETWEEN 1 AND 3", "depths short"),
         (f"n_found_depths >= 3 AND n_depths >= 4 AND NOT {falls('depths', '4')}", "depths out of order"),
         (f"{eight} AND n_spacing < 8", "eight spaces incomplete"),
-        (f"{eight} AND n_spacing > 0 AND NOT {falls('spacing', '8')}", "eight spaces out of order"),
+        (f"{eight} AND n_spacing > 0 AND NOT {ordered('8')}", "eight spaces out of order"),
         (f"{_sql_filled('mechanical_key.start_cut')} AND {_sql_filled('mechanical_key.cut_to_cut')} AND n_depths > 0 AND n_spacing = 0", "cuts without spacing"),
         (f"{four} AND n_depths < 4", "four depths incomplete"),
         (f"{four} AND n_depths > 0 AND NOT {falls('depths', '4')}", "four depths out of order"),

@@ -22,3 +22,14 @@ def test_pruned_maps_and_numbers(spark):
     df = spark.createDataFrame([({"a": " ", "b": "x"}, 3)], "m map<string,string>, n int")
     r = df.select(records.prune(F.col("m"), df.schema["m"].dataType).alias("m"), records.prune(F.col("n"), df.schema["n"].dataType).alias("n")).first()
     assert r["m"] == {"b": "x"} and r["n"] == 3
+
+
+def test_spacing_may_rise_for_codes_that_were_seen_to(spark):
+    from pyspark.sql import functions as F
+
+    from quirework.operators import completeness
+
+    rising = '"mechanical_key":{"spacing":{"1":".4","2":".45","3":".5","4":".55","5":".6","6":".65","7":".7","8":".75"}}'
+    rows = [("EIGHT SPACES", f'{{"code":"HON-R15",{rising}}}'), ("EIGHT SPACES", f'{{"code":"HON-R14",{rising}}}'), ("EIGHT SPACES", f'{{"code":"HON-R15",{rising.replace(".75", ".1")}}}')]
+    got = spark.createDataFrame(rows, "s string, r string").select(completeness.issues(F.col("s"), F.col("r")).alias("i")).collect()
+    assert ["eight spaces out of order" in r["i"] for r in got] == [False, True, True]
