@@ -125,9 +125,15 @@ def roll_up_text(df: DataFrame, group: Sequence[str], order: str, text: str, sep
 # -- writes, as pure functions of the table and what comes in ------------------------------
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The union with the last row of each key by ``order``; the source wins a tie."""
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str, kept: Sequence[str] = ()) -> DataFrame:
+    """The union with the last row of each key by ``order``; the source wins a tie.
+
+    Columns in ``kept`` stay those of the target's row where it has one, as a status does.
+    """
     both = target.withColumn("_new", F.lit(0)).unionByName(source.withColumn("_new", F.lit(1)))
+    if kept:
+        w = Window.partitionBy(*keys).orderBy("_new", F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        both = both.withColumns({c: F.first(c).over(w) for c in kept})
     return first_per_key(both, keys, [F.desc(order), F.desc("_new")]).drop("_new")
 
 

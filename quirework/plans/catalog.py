@@ -82,6 +82,35 @@ def lookup_tiered(spark, d):
     return lookup.tiered(requests(apps), apps, published)
 
 
+@query(f"""WITH {APPL}, pub AS (SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS code FROM supplier WHERE s_acctbal > 0),
+w AS (SELECT *, CASE WHEN CAST(substring(code, 3) AS INTEGER) % 3 <> 0 THEN model || ' ?' ELSE model END AS raw, CASE WHEN CAST(substring(code, 3) AS INTEGER) % 5 <> 0 THEN model ELSE '' END AS display FROM appl),
+b AS (SELECT req.make, req.model, req.year, w.year_from, w.year_to, w.code, true AS own FROM req JOIN w ON lower(req.make) = lower(w.make) AND lower(req.model) = lower(w.raw)
+  UNION ALL SELECT req.make, req.model, req.year, w.year_from, w.year_to, w.code, false FROM req JOIN w ON lower(req.make) = lower(w.make) AND lower(req.model) = lower(w.display) WHERE w.display <> ''),
+c AS (SELECT *, year BETWEEN year_from AND year_to AS covered, code IN (SELECT code FROM pub) AS published FROM b),
+m AS (SELECT *, row_number() OVER (PARTITION BY make, model, year, own ORDER BY CASE WHEN covered THEN 0 ELSE 1 END, year_to - year_from, year_from, year_to, code) AS er,
+  row_number() OVER (PARTITION BY make, model, year, own ORDER BY {NEAR}, year_from, year_to, code) AS nr FROM c),
+t AS (SELECT *, CASE WHEN own THEN CASE WHEN covered AND er = 1 AND published THEN 1 WHEN published THEN 2 WHEN covered AND er = 1 THEN 3 ELSE 7 END ELSE CASE WHEN nr = 1 AND published THEN 4 WHEN published THEN 5 WHEN nr = 1 THEN 6 END END AS tier FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY make, model, year ORDER BY tier, {NEAR}, year_from, year_to, code) AS k FROM t WHERE tier IS NOT NULL)
+SELECT make, model, year, year_from, year_to, code, CAST(least(tier, 6) AS INTEGER) AS tier FROM r WHERE k = 1""")
+def lookup_tiered_display(spark, d):
+    """Damaged raw names beside display names: all six tiers have rows."""
+    apps = applications(spark, d)
+    number = F.substring_index("code", "-", -1).cast("int")
+    named = apps.withColumn("display", F.when(number % 5 != 0, F.col("model")).otherwise("")).withColumn("model", F.when(number % 3 != 0, F.concat("model", F.lit(" ?"))).otherwise(F.col("model")))
+    published = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("code"))
+    return lookup.tiered(requests(apps), named, published, "display")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, [CAST(event_id % 5 AS INTEGER), CAST(event_id % 2 AS INTEGER)] AS pages, event_id, CASE WHEN event_id % 4 = 0 THEN 'pending' ELSE 'approved' END AS status FROM events)
+SELECT user_id, event_type, pages, max(event_id) AS event_id, CASE WHEN bool_or(event_id % 3 <> 0) THEN arg_max(status, event_id) FILTER (event_id % 3 <> 0) ELSE arg_max(status, event_id) END AS status FROM e GROUP BY user_id, event_type, pages""")
+def upsert_keeps_status(spark, d):
+    """Upsert on a key with an array; the status of a row that is there stays."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.array((F.col("event_id") % 5).cast("int"), (F.col("event_id") % 2).cast("int")).alias("pages"), "event_id", F.when(F.col("event_id") % 4 == 0, "pending").otherwise("approved").alias("status"))
+    old, new = e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0")
+    keys = ["user_id", "event_type", "pages"]
+    return relational.upsert(relational.upsert(old.limit(0), old, keys, "event_id"), new, keys, "event_id", kept=["status"])
+
+
 @query(f"""WITH {APPL}, r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY year_from, year_to DESC, make, model) AS k FROM appl)
 SELECT make, model, code, year_from, year_to FROM r WHERE k = 1""")
 def representative_per_code(spark, d):
