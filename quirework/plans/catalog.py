@@ -741,7 +741,8 @@ f AS (SELECT vec_id, list_max(list_filter(a, lambda x: x - 175 > 0 AND len(list_
 SELECT vec_id, array_to_string(list_transform(range(0, 8), lambda i: CAST(b - 25 * i AS VARCHAR)), ',') AS row FROM f WHERE b IS NOT NULL""")
 def progression_rebuild(spark, d):
     e = table(spark, d, "embeddings")
-    anchors = F.transform("embedding", lambda v: F.round(F.abs(v) * 3000).cast("int"))
+    # A single times an integer is a double here and a single in the SQL: halves would round apart.
+    anchors = F.transform("embedding", lambda v: F.round(F.abs(v) * F.lit(3000).cast("float")).cast("int"))
     rows = geometry.rebuilt_rows(e.select("vec_id", anchors.alias("anchors")), "anchors", 25)
     return rows.filter("row is not null").select("vec_id", F.array_join(F.transform("row", lambda v: v.cast("string")), ",").alias("row"))
 

@@ -141,3 +141,15 @@ def test_boxes_of_the_whole_table(spark, small):
                 joined.append(list(b))
         expected |= {(r["vec_id"], i, *b) for i, b in enumerate(joined)}
     assert {tuple(r) for r in catalog.QUERIES["connected_boxes"](spark, small).collect()} == expected
+
+
+def test_progression_rounds_as_its_sql(spark, tmp_path):
+    """Values whose 3000-fold is a half as a single, and just below one as a double."""
+    import duckdb
+
+    values = [[v, v - 0.008333, v - 0.016667, 0.5] for v in (0.2434999942779541, 0.2331666648387909, 0.2434, -0.25)]
+    spark.createDataFrame([(i, v) for i, v in enumerate(values)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(con.execute(catalog.ORACLE_SQL["progression_rebuild"]).fetchall())
+    assert expected and sorted(tuple(r) for r in catalog.QUERIES["progression_rebuild"](spark, str(tmp_path)).collect()) == expected
