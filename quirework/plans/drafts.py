@@ -52,6 +52,9 @@ def draft(secs: DataFrame, applications: DataFrame) -> DataFrame:
     """
     apps = applications.groupBy(F.col("system_code").alias("_code")).agg(F.array_sort(F.collect_set(F.struct("make", "model", "year_from", "year_to"))).alias("vehicle_applications"))
     joined = secs.join(apps, secs["code"] == apps["_code"], "left").drop("_code")
+    # The join leaves all sections of a code in one task, and a draft costs far more than its shuffle:
+    # sections are dealt out evenly, in as many parts as were asked for, however few their bytes are.
+    joined = joined.repartition(int(secs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     joined = worked_out(joined, {"_text": draft_fields.repaired("raw_text")})
     own = F.coalesce("vehicle_applications", F.array().cast("array<struct<make:string,model:string,year_from:int,year_to:int>>"))
     run = relational.monotone_run(facts.spacing_values("_text"), 8)

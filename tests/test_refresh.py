@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirework.operators import assets
-from quirework.plans import refresh
+from quirework.plans import drafts, refresh
 
 SECTION = "code string, source_document string, page_start long, page_end long, raw_text string, default_make string, confidence double"
 APPS = "make string, model string, year_from int, year_to int, system_type string, system_code string, source_document string, source_page int, confidence double"
@@ -52,3 +52,17 @@ def test_report_assets(spark):
     out = assets.from_reports(spark.createDataFrame(rows, "code string, verified boolean, issues array<string>, diagrams array<struct<title:string,n:int>>")).collect()
     assert sorted((r["system_code"], r["place"]) for r in out) == [("AB-1", 0), ("AB-1", 1), ("AB-1", 2), ("AB-4", 1)]
     assert len({r["asset_id"] for r in out}) == 4
+
+
+def test_sections_of_one_code_are_drafted_in_many_tasks(spark):
+    """The join by code puts them into one; drafting costs too much to stay there."""
+    secs = spark.createDataFrame([("FO-1", "d", i, i, "proximity 315 MHz", "Ford", 0.6) for i in range(64)], SECTION)
+    apps = spark.createDataFrame([("Ford", "Ka", 1999, 2004, "Key", "FO-1", "d", 12, 0.9)], APPS)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    made = drafts.draft(secs, apps).groupBy(F.spark_partition_id()).count().collect()
+    for k in settings:
+        spark.conf.unset(k)
+    parts = [r["count"] for r in made]
+    assert sum(parts) == 64 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) <= 32
