@@ -203,6 +203,15 @@ def _called_for(low: Column, alternatives: Sequence[Sequence[str]]) -> Column:
     return out
 
 
+def _said(low: Column, words: str | Sequence[str], value: Column, otherwise: Column | str = "") -> Column:
+    """``value``, which is ``otherwise`` wherever the lower-case text has none of the words, worked out only where it has one."""
+    return F.when(_called_for(low, [(w,) for w in ([words] if isinstance(words, str) else words)]), value).otherwise(otherwise)
+
+
+def _none(kind: str = "array<string>") -> Column:
+    return F.array().cast(kind)
+
+
 def advice(x: Column | str, table: Sequence[tuple], most: int | None = None, low: Column | None = None) -> Column:
     """Texts of a table that the text (or ``low``, its lower case) calls for, in order."""
     low = F.lower(_text(x)) if low is None else low
@@ -246,8 +255,9 @@ def chip_reference(x: Column) -> Column:
     return _when(short_value(x, 48), lambda v: F.rlike(v, F.lit(CHIP_WORDS)))
 
 
-def code_series(x: Column | str) -> Column:
-    return _when(short_value(_first(_text(x), facts.CODE_SERIES), 40), lambda v: (F.char_length(v) >= 3) & F.rlike(v, F.lit("[0-9]")))
+def code_series(x: Column | str, low: Column | None = None) -> Column:
+    found = _when(short_value(_first(_text(x), facts.CODE_SERIES), 40), lambda v: (F.char_length(v) >= 3) & F.rlike(v, F.lit("[0-9]")))
+    return found if low is None else _said(low, "code series", found)
 
 
 def good_identifier(x: Column) -> Column:
@@ -270,13 +280,14 @@ def grouped_part(x: Column) -> Column:
 DECODER = "array<struct<tool:string,reference:string>>"
 
 
-def decoders(x: Column | str) -> Column:
+def decoders(x: Column | str, low: Column | None = None) -> Column:
     """tool and reference of the decoders that a text names with one; the first of each tool."""
     text = _text(x)
+    low = F.lower(text) if low is None else low
     found = [("Lishi", decoder_reference(_first(text, LISHI))), ("Determinator", decoder_reference(_first(text, DETERMINATOR)))]
     found += [(label, decoder_reference(after_label(text, label))) for label in READERS]
-    rows = F.array(*[F.struct(F.lit(t).alias("tool"), r.alias("reference")) for t, r in found])
-    return F.filter(rows, lambda r: r["reference"] != "").cast(DECODER)
+    rows = lambda said: F.array(*[F.struct(F.lit(t).alias("tool"), _said(said, t.lower(), r).alias("reference")) for t, r in found])
+    return F.filter(_let(low, rows), lambda r: r["reference"] != "").cast(DECODER)
 
 
 def decoder_summary(rows: Column) -> Column:
@@ -284,21 +295,21 @@ def decoder_summary(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.array_join(named, "; ")).otherwise("Check source pages")
 
 
-def programmer_tools(x: Column | str) -> Column:
+def programmer_tools(x: Column | str, low: Column | None = None) -> Column:
     """name and status of the known programmers that a text names."""
     text = _text(x)
     status = F.when(F.contains(text, F.lit("?")), "Check support").otherwise("Mentioned")
-    rows = F.array(*[F.when(F.contains(F.lower(text), F.lit(t.lower())), F.struct(F.lit(t).alias("name"), status.alias("status"))) for t in PROGRAMMERS])
-    return F.filter(rows, lambda r: r.isNotNull())
+    rows = lambda said: F.array(*[F.when(F.contains(said, F.lit(t.lower())), F.struct(F.lit(t).alias("name"), status.alias("status"))) for t in PROGRAMMERS])
+    return F.filter(_let(F.lower(text) if low is None else low, rows), lambda r: r.isNotNull())
 
 
 def source_lines(x: Column | str) -> Column:
     """Sentences that mean something: 28 to 520 signs, three blanks, clean, letters enough; each once, whatever its case."""
     lines = F.transform(sentences(_text(x)), lambda s: _strip(_squeeze(s), " \\-|"))
-    letters = lambda s: F.char_length(F.regexp_replace(s, "[^A-Za-z]", ""))
-    low = lambda s: (letters(s) < 18) | ((F.char_length(s) > 90) & (letters(s) / F.char_length(s) < 0.45))
+    letters = lambda s: F.char_length(F.regexp_replace(s, "[^A-Za-z]+", ""))
+    enough = lambda s: _let(letters(s), lambda n: (n >= 18) & ((F.char_length(s) <= 90) | (n / F.char_length(s) >= 0.45)))
     blanks = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit("")))
-    good = F.filter(lines, lambda s: F.char_length(s).between(28, 520) & ~F.rlike(s, F.lit(BAD_TEXT)) & ~low(s) & (blanks(s) >= 3))
+    good = F.filter(lines, lambda s: F.char_length(s).between(28, 520) & (blanks(s) >= 3) & ~F.rlike(s, F.lit(BAD_TEXT)) & enough(s))
     return first_of_each(good, F.lower)
 
 
@@ -315,14 +326,14 @@ def first_of_each(x: Column, key) -> Column:
 LOCK_PART = "array<struct<years:string,models:string,ignition_lock:string,door_lock:string,trunk_lock:string,pin_kit:string>>"
 
 
-def lock_parts(x: Column | str) -> Column:
-    """Stock of locks by sentence: never a procedure; the first of each summary."""
-    named = F.filter(source_lines(x), lambda s: _called_for(F.lower(s), [(w,) for w in LOCK_WORDS]))
+def lock_parts(x: Column | str, lines: Column | None = None) -> Column:
+    """Stock of locks by sentence (``lines``, if the text's source_lines are there): never a procedure; the first of each summary."""
+    lines = source_lines(x) if lines is None else lines
+    named = F.filter(lines, lambda s: _let(F.lower(s), lambda low: _called_for(low, [(w,) for w in LOCK_WORDS])))
 
     def row(s: Column) -> Column:
         def of(summary: Column) -> Column:
-            low = F.lower(s)
-            has = lambda *words: _called_for(low, [(w,) for w in words])
+            has = lambda *words: _let(F.lower(s), lambda low: _called_for(low, [(w,) for w in words]))
             ok = ~F.rlike(summary, F.lit(BAD_TEXT)) & ~F.rlike(summary, F.lit(INSTRUCTION))
             record = F.struct(
                 F.regexp_extract(s, facts.YEAR_HINT, 1).alias("years"),
@@ -358,7 +369,7 @@ REMOTE = "array<struct<years:string,models:string,part:string,fcc_id:string,freq
 
 def remote_options(x: Column | str) -> Column:
     """Remotes by sentence with a part number: years, part, FCC, frequency, blade, buttons, note; each once."""
-    lines = F.filter(sentences(_text(x)), lambda s: _called_for(s, [(w,) for w in REMOTE_WORDS]))
+    lines = F.filter(_said(_text(x), REMOTE_WORDS, sentences(_text(x)), _none()), lambda s: _called_for(s, [(w,) for w in REMOTE_WORDS]))
 
     def row(s: Column) -> Column:
         grouped = F.transform(F.regexp_extract_all(s, F.lit(GROUPED_PART), F.lit(1)), grouped_part)
@@ -416,7 +427,7 @@ def method_wording(number: Column, body: Column) -> Column:
     return _let(_strip(out, " .,:;\\-"), settle)
 
 
-def numbered_methods(x: Column | str) -> Column:
+def numbered_methods(x: Column | str, low: Column | None = None) -> Column:
     """'Method n: ...' of a source, at most MOST_NUMBERED: settled ones, then others by their own words.
 
     A method lasts to the next one or to a word that ends it; a number that is settled is taken
@@ -443,7 +454,7 @@ def numbered_methods(x: Column | str) -> Column:
         said = F.transform(_let(settled, joined), lambda m: F.concat(F.lit("Method "), m["n"], F.lit(": "), m["body"], F.lit(".")))
         return F.slice(F.array_distinct(said), 1, MOST_NUMBERED)
 
-    return _let(F.regexp_replace(_text(x), "\\s+", " "), of)
+    return _said(F.lower(_text(x)) if low is None else low, "method", _let(F.regexp_replace(_text(x), "\\s+", " "), of), _none())
 
 
 # -- the record -------------------------------------------------------------------------------------
@@ -456,24 +467,39 @@ def record(x: Column | str, low: Column | str, fields: Column, options: Column,
     ``named_decoders`` are the tables above.
     """
     text, low = _text(x), col(low)
+    said = lambda words, value, otherwise="": _said(low, words, value, otherwise)
+    all_of = lambda pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # What several fields read is worked out once.
+    shared = {
+        "chip": said("chip", short_value(F.coalesce(fields["chip"], F.lit("")), 48)),
+        "series": code_series(text, low),
+        "fcc": said("fcc", F.array_sort(F.array_distinct(F.filter(all_of("(?i)\\bFCC[:\\s]+([A-Z0-9-]{5,})"), facts.valid_fcc))), _none()),
+        "mhz": said("mhz", F.array_sort(F.array_distinct(F.transform(all_of(facts.FREQUENCY), lambda v: F.concat(v, F.lit(" MHz"))))), _none()),
+        "emergency": said("emergency", _when(_first(text, EMERGENCY), lambda v: ~F.upper(v).isin(*NOT_EMERGENCY))),
+        "keyways": F.filter(all_of(KEYWAY), keyway_identifier),
+        "path": F.array_join(advice(text, PROGRAMMING_PATH, low=low), " "),
+        "methods": advice(text, METHODS, MOST_METHODS, low=low),
+        "notes": advice(text, FIELD_NOTES, MOST_NOTES, low=low),
+        "lines": source_lines(text),
+        "tools": programmer_tools(text, low),
+        "card": said("card", _when(short_value(_let(after_label(text, "CARD#"), lambda v: F.when(v != "", v).otherwise(after_label(text, "CARD"))), 16, spaces=False), lambda v: F.rlike(v, F.lit("[0-9]")))),
+        "macs": said("macs", _first(text, facts.LABELLED["macs"])).try_cast("int"),
+    }
+    return _let(F.struct(*[v.alias(k) for k, v in shared.items()]), lambda s: _record(text, low, options, named_decoders, spacing, s))
+
+
+def _record(text: Column, low: Column, options: Column, named_decoders: Column, spacing: Column, shared: Column) -> Column:
+    """The record from what its fields share."""
+    said = lambda words, value, otherwise="": _said(low, words, value, otherwise)
     has = lambda *words: _called_for(low, [(w,) for w in words])
-    chip, series = short_value(F.coalesce(fields["chip"], F.lit("")), 48), code_series(text)
-    fcc = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit("(?i)\\bFCC[:\\s]+([A-Z0-9-]{5,})"), F.lit(1)), facts.valid_fcc)))
-    mhz = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(facts.FREQUENCY), F.lit(1)), lambda v: F.concat(v, F.lit(" MHz")))))
+    chip, series, fcc, mhz, emergency, path, methods, notes, lines, tools, card, macs = (shared[k] for k in ("chip", "series", "fcc", "mhz", "emergency", "path", "methods", "notes", "lines", "tools", "card", "macs"))
     fcc_text, mhz_text = F.array_join(fcc, ", "), F.array_join(mhz, ", ")
-    emergency = _when(_first(text, EMERGENCY), lambda v: ~F.upper(v).isin(*NOT_EMERGENCY))
-    keyways = F.array_join(F.array_distinct(F.slice(F.filter(F.regexp_extract_all(text, F.lit(KEYWAY), F.lit(1)), keyway_identifier), 1, 4)), " / ")
-    path = F.array_join(advice(text, PROGRAMMING_PATH, low=low), " ")
-    methods = advice(text, METHODS, MOST_METHODS, low=low)
-    notes = advice(text, FIELD_NOTES, MOST_NOTES, low=low)
-    general = F.slice(F.transform(F.filter(source_lines(text), lambda s: ~_called_for(F.lower(s), [("copyright",), ("table of contents",)])), lambda s: rewrite(F.substring(s, 1, 320), REWRITES)), 1, MOST_GENERAL)
+    keyways = F.array_join(F.array_distinct(F.slice(shared["keyways"], 1, 4)), " / ")
+    general = F.slice(F.transform(F.filter(lines, lambda s: ~_let(F.lower(s), lambda v: _called_for(v, [("copyright",), ("table of contents",)]))), lambda s: rewrite(F.substring(s, 1, 320), REWRITES)), 1, MOST_GENERAL)
     guide = F.concat(F.array(F.lit(GUIDE_FIRST)), F.when(series != "", F.array(F.concat(F.lit(GUIDE_CODES[0]), series, F.lit(GUIDE_CODES[1])))).otherwise(F.array().cast("array<string>")), advice(text, GUIDE, low=low))
-    card = _let(after_label(text, "CARD#"), lambda v: F.when(v != "", v).otherwise(after_label(text, "CARD")))
-    card = _when(short_value(card, 16, spaces=False), lambda v: F.rlike(v, F.lit("[0-9]")))
-    macs = _first(text, facts.LABELLED["macs"]).try_cast("int")
-    rewritten = lambda pattern, longest: _let(short_value(_first(text, pattern), longest), lambda v: rewrite(v, REWRITES))
+    rewritten = lambda word, pattern, longest: said(word, _let(short_value(_first(text, pattern), longest), lambda v: rewrite(v, REWRITES)))
     flat = _squeeze(text)
-    cutting = [F.when(F.rlike(flat, F.lit(p)), F.lit(t)).otherwise("").alias(n) for n, p, t in CUTTING] + [F.when(F.contains(low, F.lit(c.lower())), F.lit(CLIPPER_NOTE)).otherwise("").alias(c) for c in CLIPPERS]
+    cutting = [said("track", F.when(F.rlike(flat, F.lit(p)), F.lit(t)).otherwise("")).alias(n) for n, p, t in CUTTING] + [F.when(F.contains(low, F.lit(c.lower())), F.lit(CLIPPER_NOTE)).otherwise("").alias(c) for c in CLIPPERS]
     answers = [
         F.when(chip != "", F.concat(F.lit("Transponder/chip data detected: "), chip, F.lit("."))),
         F.when(F.size(fcc) > 0, F.concat(F.lit("FCC ID detected: "), fcc_text, F.lit("."))),
@@ -482,21 +508,20 @@ def record(x: Column | str, low: Column | str, fields: Column, options: Column,
     ]
     trouble = F.filter(F.array(*[F.when(_called_for(low, when), F.struct(F.lit(i).alias("issue"), F.lit(a).alias("action"))) for i, a, when in TROUBLE]), lambda r: r.isNotNull())
     codes = F.lit("")
-    for said, when in reversed(CODES):
-        codes = F.when(_called_for(low, when), F.lit(said)).otherwise(codes)
+    for answer, when in reversed(CODES):
+        codes = F.when(_called_for(low, when), F.lit(answer)).otherwise(codes)
     sorted_values = lambda pattern, group=1: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
-    chips = F.filter(F.transform(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)\\bChip[:\\s]+([A-Za-z0-9 /-]{2,42})"), F.lit(1)), lambda v: F.trim(v)))), chip_reference), lambda v: v != "")
-    tools = programmer_tools(text)
+    chips = said("chip", F.filter(F.transform(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)\\bChip[:\\s]+([A-Za-z0-9 /-]{2,42})"), F.lit(1)), lambda v: F.trim(v)))), chip_reference), lambda v: v != ""), _none())
     named = {
         "Part numbers": F.filter(sorted_values(PART), good_identifier),
-        "FCC IDs": F.filter(sorted_values("(?i)\\bFCC(?: Info)?[:\\s]+([A-Z0-9-]{5,24})"), facts.valid_fcc),
-        "Frequencies": F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(facts.FREQUENCY), F.lit(0)), lambda v: F.replace(F.upper(v), F.lit(" "), F.lit(""))))),
-        "Blades / keyways": F.filter(sorted_values(KEYWAY), keyway_identifier),
+        "FCC IDs": said("fcc", F.filter(sorted_values("(?i)\\bFCC(?: Info)?[:\\s]+([A-Z0-9-]{5,24})"), facts.valid_fcc), _none()),
+        "Frequencies": said("mhz", F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(facts.FREQUENCY), F.lit(0)), lambda v: F.replace(F.upper(v), F.lit(" "), F.lit(""))))), _none()),
+        "Blades / keyways": F.array_sort(F.array_distinct(shared["keyways"])),
         "Chip references": chips,
         "Programming tools": F.transform(tools, lambda t: t["name"]),
     }
     source_facts = [F.slice(v, 1, CAPS[k]).alias(k) for k, v in named.items()] + [F.when(series != "", F.array(series)).otherwise(F.array().cast("array<string>")).alias("Code series")]
-    milling = F.when(F.rlike(text, F.lit("(?is)\\bINTERNAL.{0,24}\\bMILLING\\b")), "Internal milling").when(F.rlike(text, F.lit("(?is)\\bEXTERNAL.{0,24}\\bMILLING\\b")), "External milling").otherwise("")
+    milling = said("milling", F.when(F.rlike(text, F.lit("(?is)\\bINTERNAL.{0,24}\\bMILLING\\b")), "Internal milling").when(F.rlike(text, F.lit("(?is)\\bEXTERNAL.{0,24}\\bMILLING\\b")), "External milling").otherwise(""))
     struct = lambda **parts: F.struct(*[v.alias(k) for k, v in parts.items()])
     return struct(
         job_essentials=F.struct(
@@ -506,31 +531,31 @@ def record(x: Column | str, low: Column | str, fields: Column, options: Column,
         quick_answer=F.filter(F.array(*answers), lambda a: a.isNotNull()),
         key_remote=struct(
             remote_type=F.when(has("proximity"), "Proximity fob").when(has("remote"), "Remote").otherwise("Key"), frequency=mhz_text, fcc_id=fcc_text, known_options=options,
-            proximity_option=F.when(F.rlike(text, F.lit("(?i)\\bKESSY\\b")), "Some models may be equipped with the KESSY proximity option.").otherwise(""),
+            proximity_option=said("kessy", F.when(F.rlike(text, F.lit("(?i)\\bKESSY\\b")), "Some models may be equipped with the KESSY proximity option.").otherwise("")),
         ),
         mechanical_key=struct(
             code_series=series, style=F.when(has("dbl", "double"), "Double-sided").otherwise(""), card=card, ilco_keyway=F.when(emergency != "", emergency).otherwise(keyways),
-            macs=F.when(macs.between(1, 12), macs.cast("string")).otherwise(""), start_cut=_first(text, "(?i)Start.{0,20}?(\\.[0-9]{3})"), cut_to_cut=_first(text, "(?i)Cut.{0,20}?(\\.[0-9]{3})"), milling=milling,
+            macs=F.when(macs.between(1, 12), macs.cast("string")).otherwise(""), start_cut=said("start", _first(text, "(?i)Start.{0,20}?(\\.[0-9]{3})")), cut_to_cut=said("cut", _first(text, "(?i)Cut.{0,20}?(\\.[0-9]{3})")), milling=milling,
             spacing=spacing, depths=facts.depth_table(text), cutting_setup=F.struct(*cutting),
         ),
         transponder=struct(
-            transponder_type=F.when(has("proximity"), "Proximity").when(has("transponder"), "Transponder").otherwise(""), chip=chip, reusable=rewritten("(?i)Reusable[:\\s]+(.{1,80})", 60),
-            test_key=short_value(_first(text, "(?i)Test\\s*Key\\s*is\\s*([A-Z0-9 /-]+)"), 32),
+            transponder_type=F.when(has("proximity"), "Proximity").when(has("transponder"), "Transponder").otherwise(""), chip=chip, reusable=rewritten("reusable", "(?i)Reusable[:\\s]+(.{1,80})", 60),
+            test_key=said("test", short_value(_first(text, "(?i)Test\\s*Key\\s*is\\s*([A-Z0-9 /-]+)"), 32)),
         ),
         programming=struct(
-            pin_required=F.when(has("pin"), "Yes").otherwise("Check source"), factory_tool=rewritten("(?i)Factory Tool\\s+(.{1,80}?)(?:PIN|TCODE|SMART|$)", 64),
-            system_requirement=F.when(F.rlike(flat, F.lit("(?i)Dealer\\s+transponder\\s+system")), "Dealer transponder system; specialized key programmer or EEPROM equipment is required.").otherwise(""),
+            pin_required=F.when(has("pin"), "Yes").otherwise("Check source"), factory_tool=rewritten("factory tool", "(?i)Factory Tool\\s+(.{1,80}?)(?:PIN|TCODE|SMART|$)", 64),
+            system_requirement=said("transponder", F.when(F.rlike(flat, F.lit("(?i)Dealer\\s+transponder\\s+system")), "Dealer transponder system; specialized key programmer or EEPROM equipment is required.").otherwise("")),
             cloning=F.when(has("no cloning"), "No cloning for this system.").otherwise("Check source"), tools=tools,
         ),
         making_key=struct(
-            code_availability=codes, methods=F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit(NO_METHOD))), numbered_methods=numbered_methods(text),
+            code_availability=codes, methods=F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit(NO_METHOD))), numbered_methods=numbered_methods(text, low),
             field_workflow=F.array(*[F.struct(F.lit(s).alias("step"), (F.lit(t) if t else path).alias("detail")) for s, t in WORKFLOW]),
             field_notes=F.when(F.size(notes) > 0, notes).otherwise(general), service_notes=F.slice(guide, 1, MOST_GUIDE),
         ),
         technician_checklist=F.struct(*[F.array(*map(F.lit, items)).alias(k) for k, items in CHECKLIST.items()]),
         source_facts=F.struct(*source_facts),
         decoders=named_decoders,
-        lock_parts=lock_parts(text),
+        lock_parts=lock_parts(text, lines),
         troubleshooting=F.slice(trouble, 1, MOST_TROUBLE),
         warnings=advice(text, WARNINGS, low=low),
     )

@@ -12,10 +12,11 @@ Clean = Callable[[Column], Column]
 
 
 def _empty_to_null(x: Column, kind: DataType) -> Column:
+    """Null for what is empty; ``x`` is worked out once, a test beside it would double the work at each level."""
     if isinstance(kind, StringType):
-        return F.when(x != "", x)
+        return F.get(F.filter(F.array(x), lambda v: v != ""), F.lit(0))
     if isinstance(kind, (ArrayType, MapType)):
-        return F.when(F.size(x) > 0, x)
+        return F.get(F.filter(F.array(x), lambda v: F.size(v) > 0), F.lit(0))
     return x
 
 

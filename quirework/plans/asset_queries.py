@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assets
+from ..session import written
 from . import candidates, refresh
 from .catalog import _line_pages, query, table
 
@@ -51,6 +52,6 @@ def refreshed_drafts(spark, d):
     pages = _line_pages(spark, d)
     french = table(spark, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("document"))
     before = pages.join(french.withColumn("edited", F.lit(True)), "document", "left").withColumn("text", F.when(F.col("edited") & (F.col("page_number") == 3), F.concat("text", F.lit(" older"))).otherwise(F.col("text"))).drop("edited")
-    earlier = refresh.refresh(*candidates.build(before, vocabulary, makes))
+    earlier = written(refresh.refresh(*candidates.build(before, vocabulary, makes)), "drafts")  # both uses below read it
     now = refresh.refresh(*candidates.build(pages, vocabulary, makes), earlier)
     return now.select("code", "source_document", "page_start", "source_key", "rebuilt", F.to_json("draft").alias("draft"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import facts, similarity, text, vehicles, years
 from ..operators import geometry, relational, sections
+from ..session import written
 
 COLUMNS = ("make", "model", "year_from", "year_to", "system_type", "system_code", "source_document", "source_page", "confidence")
 #: How sure each way of finding an application is.
@@ -35,8 +36,9 @@ def from_toc_lines(pages: DataFrame, document: str = "document", page: str = "pa
     lines = pages.select(F.col(document).alias("source_document"), F.col(page).cast("int").alias("source_page"), F.posexplode(F.split(body, "\n")).alias("no", "raw"))
     lines = lines.withColumn("line", F.regexp_replace(F.trim("raw"), "(?U)\\s+", " ")).filter("line <> ''")
     has_years = F.rlike("line", F.lit(YEARS))
-    heading = (F.upper("line") == F.col("line")) & F.rlike("line", F.lit("[A-Z]")) & (F.size(F.split("line", " ")) <= 3) & ~has_years
-    lines = lines.withColumn("heading", heading)
+    heading = (F.size(F.split("line", " ")) <= 3) & F.rlike("line", F.lit("[A-Z]")) & (F.upper("line") == F.col("line")) & ~has_years
+    # Other lines are neither a make nor an entry, so they need not be dealt out and sorted.
+    lines = lines.withColumn("heading", heading).filter(F.col("heading") | (has_years & F.rlike("line", F.lit(TOC_CODE))))
     lines = relational.carry_forward(lines, ["source_document", "source_page"], ["no"], F.when(F.col("heading"), F.initcap("line")), "make")
     r = years.strict("line")
     rows = lines.filter(~F.col("heading") & F.col("make").isNotNull()).withColumn("r", r).withColumn("code", F.replace(F.regexp_extract("line", TOC_CODE, 1), F.lit("–"), F.lit("-")))
@@ -135,17 +137,19 @@ def from_sections(secs: DataFrame, vocabulary: Mapping[str, Sequence[str]], defa
 def build(pages: DataFrame, vocabulary: Mapping[str, Sequence[str]], default_makes: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections with facts, application candidates of contents lines and sections).
 
-    ``default_makes`` by the letters of a code go before the fixed ones.
+    ``default_makes`` by the letters of a code go before the fixed ones.  Both are written once:
+    the applications come from the sections, and drafts read both again.
     """
     spans = sections.split_sections(sections.page_features(pages))
     secs = sections.section_texts(spans, pages).withColumnRenamed("document", "source_document")
-    secs = secs.withColumn("fields", facts.labelled("raw_text")).withColumn("facts", facts.identifiers("raw_text")).withColumn("topics", facts.topics("raw_text"))
     make = vehicles.default_make("code", "source_document")
     if default_makes:
         makes = F.create_map(*[F.lit(v) for kv in default_makes.items() for v in kv])
         make = F.coalesce(F.try_element_at(makes, F.substring_index("code", "-", 1)), make)
-    secs = secs.withColumn("default_make", make)
-    return secs, from_toc_lines(pages).unionByName(from_sections(secs, vocabulary))
+    secs = written(secs.withColumn("default_make", make), "sections")
+    found = written(from_toc_lines(pages).unionByName(from_sections(secs, vocabulary)), "applications")
+    described = {"fields": facts.labelled("raw_text"), "facts": facts.identifiers("raw_text"), "topics": facts.topics("raw_text")}
+    return secs.withColumns(described).select(*[c for c in secs.columns if c != "default_make"], *described, "default_make"), found
 
 
 def quality_report(candidates: DataFrame, page_stats: DataFrame | None = None, low: float = 0.65) -> DataFrame:

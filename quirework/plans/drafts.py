@@ -56,10 +56,11 @@ def draft(secs: DataFrame, applications: DataFrame) -> DataFrame:
     # sections are dealt out evenly, in as many parts as were asked for, however few their bytes are.
     joined = joined.repartition(int(secs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     joined = worked_out(joined, {"_text": draft_fields.repaired("raw_text")})
+    joined = worked_out(joined, {"_low": F.lower("_text"), "_values": facts.spacing_values("_text")})
     own = F.coalesce("vehicle_applications", F.array().cast("array<struct<make:string,model:string,year_from:int,year_to:int>>"))
-    run = relational.monotone_run(facts.spacing_values("_text"), 8)
+    run = relational.monotone_run(F.col("_values"), 8)
     spacing = F.map_from_entries(F.transform(run, lambda v, i: F.struct((i + 1).cast("string"), F.concat(F.lit("."), F.lpad(v.cast("string"), 3, "0")))))
-    tables = {"_low": F.lower("_text"), "_apps": own, "_options": draft_fields.remote_options("_text"), "_decoders": draft_fields.decoders("_text"), "_spacing": spacing}
+    tables = {"_apps": own, "_options": draft_fields.remote_options("_text"), "_decoders": draft_fields.decoders("_text", F.col("_low")), "_spacing": spacing}
     joined = worked_out(joined, tables)
     parts = worked_out(joined, {"_record": draft_fields.record("_text", "_low", facts.labelled("_text"), F.col("_options"), F.col("_decoders"), F.col("_spacing"))})
     fields = parts.schema["_record"].dataType.names
@@ -70,7 +71,7 @@ def draft(secs: DataFrame, applications: DataFrame) -> DataFrame:
         F.col("_apps").alias("vehicle_applications"),
         *[F.col("_record")[f].alias(f) for f in fields],
     )
-    out = parts.withColumn("draft", record).drop("_text", *tables, "_record")
+    out = parts.withColumn("draft", record).drop("_text", "_low", "_values", *tables, "_record")
     return out.withColumn("draft", records.prune(F.col("draft"), out.schema["draft"].dataType, draft_fields.public_value))
 
 

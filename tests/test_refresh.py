@@ -66,3 +66,25 @@ def test_sections_of_one_code_are_drafted_in_many_tasks(spark):
         spark.conf.unset(k)
     parts = [r["count"] for r in made]
     assert sum(parts) == 64 and len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) <= 32
+
+
+def test_texts_are_split_and_drafted_once(spark, tmp_path):
+    """Sections are read from what was written, not split again by each of their uses; so are earlier drafts."""
+    from quirework.plans import candidates
+
+    pages = spark.createDataFrame([("d", 1, "AB-1 SECTION proximity 315 MHz"), ("d", 2, "AB-2 SECTION transponder")], "document string, page_number int, text string")
+    secs, found = candidates.build(pages, {"Ford": ["Focus"]}, {"AB": "Ford"})
+    plan = refresh.refresh(secs, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parquet" in plan
+    assert {r["code"] for r in refresh.refresh(secs, found).collect()} == {"AB-1", "AB-2"}
+
+
+def test_cleaning_does_not_double_at_each_level(spark):
+    """The cleaning of a string in an array is in the plan once."""
+    from quirework.functions import records
+
+    df = spark.createDataFrame([([["  a ", " "], []],)], "x array<array<string>>")
+    kind = df.schema["x"].dataType
+    out = df.select(records.prune(F.col("x"), kind).alias("p"))
+    assert out._jdf.queryExecution().analyzed().toString().count("trim(") == 1
+    assert out.first()["p"] == [["a"]]
