@@ -23,6 +23,8 @@ HEADER, LONG_HEADER = 1000, 1800
 #: A year range of a header; its end may be missing.
 HEADER_YEARS = "\\b((?:19|20)[0-9]{2})\\s*[-–]\\s*([0-9]{0,4})\\b"
 YEARS = "(?:19|20)[0-9]{2}\\s*[-–]\\s*[0-9]{2,4}"
+#: What every such range begins with, before and after the repair of a text: no repair makes or joins these signs.
+YEAR_START = "(?U)(?:19|20)[0-9]{2}\\s*[-–]"
 TOC_CODE = "\\b([A-Z]{2,5}[-–][A-Z0-9]{1,4})\\b"
 OPERATIONAL = "(?i)\\b(?:KEYS?|MASTER|Chip|Programmer|Diagnostic|Cloner)\\b"
 
@@ -100,10 +102,12 @@ def from_toc_words(words: DataFrame, makes: DataFrame) -> tuple[DataFrame, DataF
 
 def header_chunks(secs: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Year ranges of a section's header with the text up to the next one: + year_from, year_to, model."""
-    header = F.split(vehicles.ocr_text(F.substring(F.coalesce(raw, F.lit("")), 1, HEADER)), OPERATIONAL)[0]
+    head = F.substring(F.coalesce(raw, F.lit("")), 1, HEADER)
+    dated = secs.filter(F.rlike(head, F.lit(YEAR_START)))  # the others need no repair
+    header = F.split(vehicles.ocr_text(head), OPERATIONAL)[0]
     starts = F.regexp_extract_all(header, F.lit(HEADER_YEARS), F.lit(0))
     bodies = F.slice(F.split(header, HEADER_YEARS), 2, 10_000)
-    rows = secs.withColumn("chunk", F.explode(F.arrays_zip(starts.alias("y"), bodies.alias("b"))))
+    rows = dated.withColumn("chunk", F.explode(F.arrays_zip(starts.alias("y"), bodies.alias("b"))))
     shape = HEADER_YEARS.removesuffix("\\b")  # a range alone has no word after it
     r = years.lenient(F.regexp_extract(F.col("chunk.y"), shape, 1), F.regexp_extract(F.col("chunk.y"), shape, 2))
     model = vehicles.model_text(F.split(F.col("chunk.b"), vehicles.SECTION_STOP)[0])
@@ -115,7 +119,7 @@ def canonical_applications(secs: DataFrame, vocabulary: Mapping[str, Sequence[st
     body = F.coalesce(F.col(raw), F.lit(""))
     body = F.substring(body, 1, head) if head else body
     document = "source_document" if "source_document" in secs.columns else F.lit("")
-    rows = secs.withColumn("hit", F.explode(vehicles.applications(vehicles.scan_text(body), vocabulary)))
+    rows = secs.filter(F.rlike(body, F.lit(YEAR_START))).withColumn("hit", F.explode(vehicles.applications(vehicles.scan_text(body), vocabulary)))
     rows = rows.filter(vehicles.confirmed(F.col("hit"), default_make, document))
     shape = "([0-9]{4})\\s*[-–]\\s*([0-9]{2,4})"
     r = years.lenient(F.regexp_extract(F.col("hit.years"), shape, 1), F.regexp_extract(F.col("hit.years"), shape, 2))

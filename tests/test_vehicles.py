@@ -108,3 +108,14 @@ def test_an_application_stands_once(spark):
         ("FORD-2", "Ford", "Escape", 2001, 2001): pytest.approx(0.84),
         ("FORD-2", "Volkswagen", "Golf", 2003, 2005): pytest.approx(0.84),
     }
+
+
+def test_sections_without_a_year_range_are_not_repaired(spark):
+    """They go before repair; ranges across any white space stay."""
+    from quirework.plans import candidates
+
+    rows = [("AB-1", "d", 1, "1998 – 2004 Focus more"), ("AB-2", "d", 2, "1998 Focus"), ("AB-3", "d", 3, None)]
+    secs = spark.createDataFrame(rows, "code string, source_document string, page_start long, raw_text string").selectExpr("*", "'Ford' AS default_make")
+    found = candidates.canonical_applications(secs, {"Ford": ["Focus"]})
+    assert "RLIKE" in found._jdf.queryExecution().analyzed().toString()
+    assert [(r["code"], r["model"], r["year_from"], r["year_to"]) for r in found.collect()] == [("AB-1", "Focus", 1998, 2004)]
