@@ -1,17 +1,19 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in lockstep.
-
-A block starts from an empty model and ends with a checksum, so it can be read alone.  Ids are
-numbered by their first occurrence in the block, and the models of all orders speak of these
-numbers.  Orders 2 and 1 keep, for a hash of the last two ids and of the last one, the id that
-came next and how often it held; order 0 keeps how often each id came.  Whether the id named
-by an order holds is a binary event; its probability is a mix of the opinions of all three
-orders, with weights that move to the opinion that was nearest.  An id that neither order 2
-nor order 1 names is coded by the adaptive frequencies of order 0; an id new to the block by
-an escape, an adaptive model of its size class, and its lower bits.  All arithmetic is on
-integers, and the same step of every block is one numpy operation.
-
-Layout of a frame, little-endian: magic, number of blocks, ids a block; per block number of
-ids, number of 16-bit words, CRC-32 of the ids as unsigned 32-bit integers; then the words.
+"""Context-mixing range coder for token ids, many blocks in lockstep.
+
+A frame is cut into sections of up to LANES blocks.  Ids are numbered by falling frequency in
+their section; order 0 is the frequencies of these numbers, told once in the section's head.
+Orders 2 and 1 start empty in every block: they keep, for a hash of the last two numbers and of
+the last one, the number that came next and how often it held.  Whether the number named by an
+order holds is a binary event; its probability is a mix of an adaptive counter and of the
+frequency that order 0 gives the number, with weights that move to the opinion that was
+nearest.  A number that neither order 2 nor order 1 names is coded by order 0.  Event and number
+narrow the interval in one step.  All arithmetic is exact, the same step of every block is one
+numpy operation, and a block ends with a checksum, so it can be read with no other block.
+
+Layout of a frame, little-endian: magic, number of sections.  A section: number of blocks, ids a
+block, bytes of the head, CRC-32 of the head; the head (compressed: gaps of the ascending ids,
+their counts, each number four planes of bytes); per block number of ids, number of 32-bit words,
+CRC-32 of the ids as unsigned 32-bit integers; then the words.
 """
 
 from __future__ import annotations
@@ -21,400 +23,319 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"QTK2"
-BLOCK_IDS = 2048
-#: Blocks coded together; they need about 50 KB each.
-LANES = 2048
-SLOTS = 1024
+MAGIC = b"QTK3"
+BLOCK_IDS = 1024
+#: Blocks coded together; they need about 13 KB each.
+LANES = 8192
+#: Ids coded together, whatever the size of a block.
+SECTION_IDS = LANES * BLOCK_IDS
+SLOT_BITS = 9
+SLOTS = 1 << SLOT_BITS
+#: Different ids of a section: a number has 16 bits.
+NUMBERS = 1 << 16
 CONFIDENT = 7
-CLASSES, CLASS_BITS = 33, 14
-#: Steps between two renewals of the order-0 table, and of the size classes.
-REFRESH, FIRST_REFRESHES = 128, 16
-#: Probabilities have 16 bits; no event is surer than this.
-LEAST, MOST = 64, 65536 - 512
-#: A counter moves by this part of its error; the weight of a mix by a constant.
+#: Contexts of the counters of a block: confidence of either order, and whether they name the same.
+CONTEXTS = 128
+#: Events have 12 bits; neither is surer than this.
+EVENT_BITS, MOST = 12, 4096 - 64
+#: A counter (16 bits) moves by this part of its error; the weight of a mix by a constant.
 RATE, WEIGHT_STEP = 4, 3
-#: Numbers of the order-0 table between two looks of the decoder.
-STRIDE = 32
 
-_LOW = np.uint64(1 << 48)
-_W = np.uint64(16)
-_ONE = np.uint64(65536)
+_LOW = np.uint64(1 << 32)
+_W = np.uint64(32)
+_K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_BACK, _TOP = np.uint32(3), np.uint32(32 - SLOT_BITS)
+_CONF, _NUMBER = np.uint32(0xFFFF), np.uint32(16)
+_U1 = np.uint32(1)
 
 
 class _Model:
-    """The three orders of ``lanes`` blocks of at most ``length`` ids; encoder and decoder drive it alike."""
-
-    def __init__(self, lanes: int, length: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane * SLOTS
-        # Orders 2 and 1: the id after a context, and how sure that is (0: nothing known).
-        self.next = [np.zeros(lanes * SLOTS, dtype=np.int32) for _ in range(2)]
-        self.conf = [np.zeros(lanes * SLOTS, dtype=np.int8) for _ in range(2)]
-        # Counters of the two events by the confidence in the prediction, what the other order says
-        # and whether the last one held; and the weight of each against the opinion of order 0.
-        self.counter = [np.full(lanes * 64, 1 << 13, dtype=np.int32) for _ in range(2)]
+    """Orders 2 and 1 of ``lanes`` blocks over ``numbers`` numbers; encoder and decoder drive it alike.
+
+    ``often`` is the 16-bit frequency of each number in order 0.
+    """
+
+    def __init__(self, lanes: int, numbers: int, often: np.ndarray | None = None):
+        lane = np.arange(lanes)
+        self.base, self.context = lane * SLOTS, lane * CONTEXTS
+        self.often = np.zeros(numbers, dtype=np.int32) if often is None else often
+        # Orders 2 and 1: the number after a context above, and how sure that is (0: nothing known) below.
+        self.table = [np.zeros(lanes * SLOTS, dtype="<u4") for _ in range(2)]
+        self.next, self.conf = ([t.view("<u2")[i::2] for t in self.table] for i in (1, 0))
+        # Counters of the two events of a context, and the weight of each against the opinion of order 0.
+        self.counters = np.full(lanes * CONTEXTS, (1 << 13) << 16 | 1 << 13, dtype="<u4")
+        self.counter = [self.counters.view("<u2")[i::2] for i in (1, 0)]
         self.weight = [np.full(lanes, 240, dtype=np.int32) for _ in range(2)]
-        self.held = [np.zeros(lanes, dtype=np.int64) for _ in range(2)]
-        self.last, self.older = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        # Order 0: occurrences of each number, live and as of the last renewal.
-        self.length = length
-        self.count = np.zeros(lanes * (length + 1), dtype=np.uint16)
-        self.row = self.lane * (length + 1)
-        self.cum = np.zeros((lanes, -(-(length + 2) // STRIDE) * STRIDE), dtype=np.uint16)
-        self.coarse = np.zeros((lanes, self.cum.shape[1] // STRIDE), dtype=np.uint16)
-        self.known = np.zeros(lanes, dtype=np.int64)  # numbers given out
-        self.frozen = np.zeros(lanes, dtype=np.int64)  # of them, in the table
-        self.total = np.ones(lanes, dtype=np.uint64)  # of the table
-        self.escape = np.full(lanes, 1 << 15, dtype=np.int64)
-        self.fresh = np.full(lanes, 1 << 15, dtype=np.int64)
-        self.classes = np.ones((lanes, CLASSES), dtype=np.int64)
-        self.step = 0
-
-    def _renew(self, n: int) -> None:
-        table = self.count.reshape(len(self.lane), -1)
-        most = int(self.known[:n].max())
-        np.cumsum(table[:n, :most], axis=1, dtype=np.uint16, out=self.cum[:n, 1 : most + 1])
-        self.cum[:n, most + 1 :] = self.cum[:n, most : most + 1]  # rows with fewer numbers end alike
-        self.coarse[:n] = self.cum[:n, ::STRIDE]
-        self.frozen[:n] = self.known[:n]
-        self.total[:n] = np.maximum(self.cum[:n, most], 1)
-        ends = np.cumsum(self.classes, axis=1)
-        self.class_cum = np.zeros((len(self.lane), CLASSES + 1), dtype=np.int64)
-        self.class_cum[:, 1:] = ends * ((1 << CLASS_BITS) - CLASSES) // ends[:, -1:] + np.arange(1, CLASSES + 1)
+        self.last, self.older = np.zeros(lanes, dtype=np.uint32), np.zeros(lanes, dtype=np.uint32)
 
     def predict(self, n: int) -> None:
-        """What orders 2 and 1 name for the first ``n`` blocks, and the probabilities that it holds."""
-        if self.step % REFRESH == 0 or (self.step < REFRESH and self.step % FIRST_REFRESHES == 0):
-            self._renew(n)
-        last, older = self.last[:n], self.older[:n]
-        one = (last * 0x9E3779B1 >> 8) & (SLOTS - 1)
-        two = ((last * 0x85EBCA6B + older * 0xC2B2AE35) >> 9) & (SLOTS - 1)
-        self.slot = [self.base[:n] + two, self.base[:n] + one]
-        self.guess = [x[s].astype(np.int64) for x, s in zip(self.next, self.slot, strict=True)]
-        self.sure = [c[s].astype(np.int64) for c, s in zip(self.conf, self.slot, strict=True)]
-        same = (self.guess[0] == self.guess[1]) & (self.sure[0] > 0) & (self.sure[1] > 0)
-        # What the other order says of it: the same, another with much or little confidence, nothing.
-        self.at, self.opinions, p = [], [], []
-        for k in (0, 1):
-            says = np.where(same, 3, np.minimum(self.sure[1 - k], 4) + 1 >> 1)
-            at = (self.lane[:n] * 8 + self.sure[k]) * 8 + says * 2 + self.held[k][:n]
-            own = self.counter[k][at]
-            often = (self.count[self.row[:n] + self.guess[k]].astype(np.int32) << 16) // (self.step + 1)
-            w = self.weight[k][:n]
-            self.at.append(at)
-            self.opinions.append((own, often))
-            p.append(np.clip((own * w.astype(np.int64) + often * (256 - w)) >> 8, LEAST, MOST))
-        # Both sides need an event that can happen to have a width: 1 at least, and 1 left for the rest.
-        second = np.where(same, 1, np.maximum((65536 - p[0]) * p[1] >> 16, 1))
-        self.first, self.second = p[0].astype(np.uint64), second.astype(np.uint64)
-        self.named = [self.sure[0] > 0, (self.sure[1] > 0) & ~same]
-
-    def events(self, n: int, numbers: np.ndarray) -> np.ndarray:
-        """0 order 2 names it, 1 order 1 does, 2 neither."""
-        return np.where(self.named[0] & (self.guess[0] == numbers), 0, np.where(self.named[1] & (self.guess[1] == numbers), 1, 2))
-
-    def learn(self, n: int, numbers: np.ndarray, event: np.ndarray) -> None:
-        for k in (0, 1):
-            own, often = self.opinions[k]
-            goal = (event == k).astype(np.int32) << 16
-            error = goal - own
-            new = own + (error >> RATE)
-            better = np.where(np.abs(error) <= np.abs(goal - often), WEIGHT_STEP, -WEIGHT_STEP)
+        """What orders 2 and 1 name for the first ``n`` blocks, and the widths of the events that it holds."""
+        last, base = self.last[:n], self.base[:n]
+        self.slot = [((last + (self.older[:n] >> _BACK)) * _K2 >> _TOP) + base, (last >> _TOP) + base]
+        self.entry = [t.take(s) for t, s in zip(self.table, self.slot, strict=True)]
+        self.guess = [(e >> _NUMBER).astype(np.int32) for e in self.entry]
+        self.sure = [(e & _CONF).astype(np.int32) for e in self.entry]
+        other = self.guess[0] != self.guess[1]
+        self.at = self.context[:n] + ((self.sure[0] << 4) + (self.sure[1] << 1) + other)
+        both = self.counters.take(self.at)
+        self.own = [(both >> _NUMBER).astype(np.int32), (both & _CONF).astype(np.int32)]
+        self.zero = [self.often.take(g) for g in self.guess]
+        # Both sides of an event need a width: 1 at least, and something left for the rest.
+        p = []
+        for own, zero, weight in zip(self.own, self.zero, self.weight, strict=True):
+            x = (own - zero) * weight[:n]
+            x += zero << 8
+            x >>= 24 - EVENT_BITS
+            np.maximum(x, 1, out=x)
+            np.minimum(x, MOST, out=x)
+            p.append(x)
+        self.first = p[0]
+        x = ((1 << EVENT_BITS) - p[0]) * p[1]
+        x >>= EVENT_BITS
+        np.maximum(x, 1, out=x)
+        x *= other  # where both name the same, the second event cannot happen
+        self.second = x
+
+    def learn(self, n: int, numbers: np.ndarray, held: np.ndarray, second: np.ndarray) -> None:
+        """``held``: order 2 named it; ``second``: order 1 did and order 2 did not."""
+        new = []
+        for k, event in enumerate((held, second)):
+            own = self.own[k]
+            goal = event.astype(np.int32)
+            error = (goal << 16) - own
+            error >>= RATE
+            # The counter was nearer where it was above order 0 and held, or not above and did not.
+            better = ((own >= self.zero[k]) == event) * (2 * WEIGHT_STEP)
+            better -= WEIGHT_STEP
             if k:  # the second event is only met where the first failed
-                met = event > 0
-                new, better = np.where(met, new, own), np.where(met, better, 0)
-                self.held[k][:n] = np.where(met, goal >> 16, self.held[k][:n])
-            else:
-                self.held[k][:n] = goal >> 16
-            self.counter[k][self.at[k]] = new
-            self.weight[k][:n] = np.clip(self.weight[k][:n] + better, 16, 252)
-            sure = self.sure[k]
-            held = (self.guess[k] == numbers) & (sure > 0)
-            weak = np.flatnonzero(~held & (sure <= 1))
-            sure = np.where(held, np.minimum(sure + 1, CONFIDENT), sure >> 1)
-            sure[weak] = 1
-            self.conf[k][self.slot[k]] = sure
-            self.next[k][self.slot[k][weak]] = numbers[weak]
-        self.count[self.row[:n] + numbers] += 1
-        self.known[:n] = np.maximum(self.known[:n], numbers + 1)
+                met = ~held
+                error *= met
+                better *= met
+            weight = self.weight[k][:n]
+            weight += better
+            np.maximum(weight, 16, out=weight)
+            np.minimum(weight, 252, out=weight)
+            new.append(own + error)
+        self.counters[self.at] = (new[0] << 16) + new[1]
+        fresh = (numbers.astype(np.uint32) << _NUMBER) + _U1
+        for k, named in enumerate((held, self.guess[1] == numbers)):
+            sure, entry = self.sure[k], self.entry[k]
+            kept = entry + (sure < CONFIDENT)
+            weak = np.where(sure <= 1, fresh, entry - ((sure + 1) >> 1).astype(np.uint32))
+            self.table[k][self.slot[k]] = np.where(named, kept, weak)
         self.older[:n] = self.last[:n]
-        self.last[:n] = numbers + 1
-        self.step += 1
-
-    def learn_escape(self, rows: np.ndarray, escaped: np.ndarray, fresh: np.ndarray) -> None:
-        """``rows`` met order 0; of them some ``escaped``, and of those some were ``fresh`` (new ids)."""
-        p = self.escape[rows]
-        self.escape[rows] = np.clip(p + (((escaped.astype(np.int64) << 16) - p) >> 5), LEAST, MOST)
-        rows = rows[escaped]
-        p = self.fresh[rows]
-        self.fresh[rows] = np.clip(p + (((fresh.astype(np.int64) << 16) - p) >> 5), LEAST, MOST)
-
-
-def _sizes(ids: np.ndarray) -> np.ndarray:
-    """Bit lengths."""
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
-
-
-def _numbered(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per row each id's number in the order of first occurrence."""
-    out = np.zeros(ids.shape, dtype=np.int64)
-    for i, n in enumerate(counts.tolist()):
-        _, first, inverse = np.unique(ids[i, :n], return_index=True, return_inverse=True)
-        rank = np.empty(len(first), dtype=np.int64)
-        rank[np.argsort(first)] = np.arange(len(first))
-        out[i, :n] = rank[inverse]
+        np.multiply(numbers.astype(np.uint32) + _U1, _K1, out=self.last[:n])
+
+
+class _OrderZero:
+    """Frequencies of a section's numbers, scaled to a power of two; every number has 1 at least."""
+
+    def __init__(self, counts: np.ndarray):
+        self.bits = min(max(int(len(counts)).bit_length() + 4, 14), 32 - EVENT_BITS)
+        whole = 1 << self.bits
+        room = whole - len(counts)
+        ends = np.cumsum(counts.astype(np.int64))
+        ends = ends * room // ends[-1] + np.arange(1, len(counts) + 1)
+        starts = np.concatenate([[0], ends[:-1]])
+        self.width = ends - starts
+        self.start = starts
+        self.often = (self.width << 16 >> self.bits).astype(np.int32)
+
+    def numbers(self) -> np.ndarray:
+        """The number that each part of the scale belongs to."""
+        return np.repeat(np.arange(len(self.width), dtype=np.int32), self.width)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _of_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _by_frequency(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different ids ascending, their counts, and the place of each id among them."""
+    if int(ids.max()) < 4 * len(ids) + NUMBERS:
+        n = np.bincount(ids)
+        different = np.flatnonzero(n)
+        place = np.zeros(len(n), dtype=np.int32)
+        place[different] = np.arange(len(different))
+        return different.astype("<u4"), n[different], place[ids]
+    different, place, n = np.unique(ids, return_inverse=True, return_counts=True)
+    return different, n, place.astype(np.int32)
+
+
+def _encode_section(ids: np.ndarray, block_ids: int) -> list[bytes]:
+    blocks = -(-len(ids) // block_ids)
+    different, n, place = _counted(ids)
+    if len(different) > NUMBERS:  # more than a block can have
+        half = blocks // 2 * block_ids
+        return _encode_section(ids[:half], block_ids) + _encode_section(ids[half:], block_ids)
+    head = zlib.compress(_planes(np.diff(different.astype(np.int64), prepend=0)) + _planes(n), 6)
+    by = _by_frequency(n)
+    number = np.empty(len(by), dtype=np.int32)
+    number[by] = np.arange(len(by), dtype=np.int32)
+    grid = np.zeros(blocks * block_ids, dtype=np.int32)
+    grid[: len(ids)] = number[place]
+    length = min(block_ids, len(ids))
+    last = len(ids) - block_ids * (blocks - 1)
+    words = _encode_lanes(np.ascontiguousarray(grid.reshape(blocks, block_ids)[:, :length].T), last, _OrderZero(n[by]))
+    heads = []
+    for i, w in enumerate(words):
+        own = ids[i * block_ids : (i + 1) * block_ids]
+        heads.append(struct.pack("<III", len(own), len(w), zlib.crc32(own.tobytes())))
+    return [b"".join([struct.pack("<IIII", blocks, block_ids, len(head), zlib.crc32(head)), head, *heads, *(w.tobytes() for w in words)])]
+
+
+def _encode_lanes(numbers: np.ndarray, last: int, zero: _OrderZero) -> list[np.ndarray]:
+    """Words of each column of ``numbers``; the last one ends after ``last`` rows."""
+    length, lanes = numbers.shape
+    model = _Model(lanes, len(zero.width), zero.often)
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    room = length + 2  # a step puts out a word at most
+    words, used = np.zeros(lanes * room, dtype="<u4"), np.arange(lanes) * room
+    bits, scale = np.uint64(zero.bits + EVENT_BITS), zero.bits
+    for j in range(length):
+        n = lanes if j < last else lanes - 1
+        x = numbers[j, :n]
+        model.predict(n)
+        first, second = model.first, model.second
+        held = model.guess[0] == x
+        named = (model.guess[1] == x) & ~held
+        border = first + second
+        rest = (1 << EVENT_BITS) - border
+        told = ~(held | named)
+        # Starts and widths in parts of the whole scale.
+        start = np.where(named, first, border * told).astype(np.int64) << scale
+        start += rest * told * zero.start.take(x)
+        width = np.where(told, rest * zero.width.take(x), np.where(held, first, second).astype(np.int64) << scale)
+        lo, sp = low[:n], span[:n]
+        unit = sp >> bits
+        lo += unit * start.view(np.uint64)
+        np.multiply(unit, width.view(np.uint64), out=sp)
+        rows = np.flatnonzero(sp < _LOW)
+        if len(rows):
+            a, s = lo[rows], _uncrossed(lo[rows], sp[rows])
+            at = used[rows]
+            words[at] = a >> _W
+            used[rows] = at + 1
+            lo[rows], sp[rows] = a << _W, s << _W
+        model.learn(n, x, held, named)
+    words[used], words[used + 1] = low >> _W, low & (_LOW - np.uint64(1))
+    return [words[i * room : end] for i, end in enumerate((used + 2).tolist())]
+
+
+def _uncrossed(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Ends that differ in their first 32 bits never will agree: such an interval is cut at the border."""
+    return np.where((low ^ (low + span)) < _LOW, span, (~low + np.uint64(1)) & (_LOW - np.uint64(1)))
+
+
+def _decode_lanes(words: np.ndarray, starts: np.ndarray, length: int, last: int, zero: _OrderZero) -> np.ndarray:
+    """Numbers, a column a block; the words of a block begin at its start."""
+    lanes = len(starts)
+    model = _Model(lanes, len(zero.width), zero.often)
+    out = np.zeros((length, lanes), dtype=np.int32)
+    of_scale = zero.numbers()
+    words = np.concatenate([words, np.zeros(2, dtype="<u4")])
+    used, end = starts + 2, len(words) - 1
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    ahead = (words[starts].astype(np.uint64) << _W) | words[starts + 1]  # the code, less low
+    bits, scale = np.uint64(zero.bits + EVENT_BITS), zero.bits
+    most = np.uint64((1 << zero.bits + EVENT_BITS) - 1)
+    for j in range(length):
+        n = lanes if j < last else lanes - 1
+        lo, sp, ah = low[:n], span[:n], ahead[:n]
+        model.predict(n)
+        first, second = model.first, model.second
+        unit = sp >> bits
+        value = ah // unit
+        np.minimum(value, most, out=value)  # the last part ends with the interval
+        value = value.view(np.int64)
+        event = (value >> scale).astype(np.int32)
+        border = first + second
+        rest = (1 << EVENT_BITS) - border
+        held = event < first
+        told = event >= border
+        named = ~(held | told)
+        # Quotients below 2^32 of numbers below 2^53 are exact after rounding down.
+        part = ((value - (border.astype(np.int64) << scale)) / rest).astype(np.int64)
+        x = np.where(told, of_scale.take(part, mode="clip"), np.where(held, model.guess[0], model.guess[1]))
+        start = np.where(named, first, border * told).astype(np.int64) << scale
+        start += rest * told * zero.start.take(x)
+        width = np.where(told, rest * zero.width.take(x), np.where(held, first, second).astype(np.int64) << scale)
+        step = unit * start.view(np.uint64)
+        lo += step
+        ah -= step
+        np.multiply(unit, width.view(np.uint64), out=sp)
+        rows = np.flatnonzero(sp < _LOW)
+        if len(rows):
+            a, s = lo[rows], _uncrossed(lo[rows], sp[rows])
+            at = used[rows]
+            ah[rows] = (ah[rows] << _W) + words.take(at, mode="clip")
+            used[rows] = at + 1
+            lo[rows], sp[rows] = a << _W, s << _W
+        out[j, :n] = x
+        # A number told although an order names it would be damage; the encoder sees what is named.
+        held |= model.guess[0] == x
+        named |= (model.guess[1] == x) & ~held
+        model.learn(n, x, held, named)
+    if (used > end + 1).any():
+        raise ValueError("a block cannot be read")
     return out
 
 
-class _Coder:
-    """The interval of each block, as start and width; subclasses move 16 bits at a time."""
-
-    def __init__(self, lanes: int):
-        self.low, self.span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-
-    def narrow(self, rows, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """``unit`` is the width of one part of the interval; parts start..start + width stay."""
-        self.low[rows] += unit * start
-        unit *= width
-        if not unit.all():
-            raise ArithmeticError("an event without width")
-        self.span[rows] = unit
-
-    def settle(self, rows: np.ndarray) -> None:
-        """Put out leading bits of the intervals that became narrow; afterwards every width has 48 bits at least.
-
-        That is room for an event, an escape and a number of order 0 in a row.
-        """
-        rows = rows[self.span[rows] < _LOW]
-        while len(rows):
-            lo, sp = self.low[rows], self.span[rows]
-            # Ends that differ in their first 16 bits never will agree: the interval is cut at the border.
-            sp = np.where((lo ^ (lo + sp)) < _LOW, sp, (~lo + np.uint64(1)) & (_LOW - np.uint64(1)))
-            self.shift(rows, lo)
-            sp <<= _W
-            self.low[rows], self.span[rows] = lo << _W, sp
-            rows = rows[sp < _LOW]
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int, room: int):
-        super().__init__(lanes)
-        self.words, self.used = np.zeros((lanes, room + 64), dtype=np.uint16), np.zeros(lanes, dtype=np.int64)
-
-    def shift(self, rows: np.ndarray, lo: np.ndarray) -> None:
-        if int(self.used.max()) >= self.words.shape[1]:
-            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1] // 2 + 64)))
-        self.words[rows, self.used[rows]] = (lo >> np.uint64(48)).astype(np.uint16)
-        self.used[rows] += 1
-
-    def finish(self) -> list[np.ndarray]:
-        rows = np.arange(len(self.low))
-        for _ in range(4):
-            self.shift(rows, self.low)
-            self.low <<= _W
-        return [w[:n] for w, n in zip(self.words, self.used.tolist(), strict=True)]
-
-
-class _Reader(_Coder):
-    def __init__(self, words: list[np.ndarray]):
-        super().__init__(len(words))
-        self.store = np.zeros((len(words), max(map(len, words)) + 8), dtype=np.uint16)
-        for i, w in enumerate(words):
-            self.store[i, : len(w)] = w
-        self.code = np.zeros(len(words), dtype=np.uint64)
-        for k in range(4):
-            self.code = (self.code << _W) | self.store[:, k].astype(np.uint64)
-        self.used = np.full(len(words), 4, dtype=np.int64)
-
-    def shift(self, rows: np.ndarray, lo: np.ndarray) -> None:
-        self.code[rows] = (self.code[rows] << _W) | self.store[rows, np.minimum(self.used[rows], self.store.shape[1] - 1)].astype(np.uint64)
-        self.used[rows] += 1
-
-    def part(self, rows, unit: np.ndarray, parts) -> np.ndarray:
-        """Which of the parts holds the code; the last one ends with the interval."""
-        return np.minimum((self.code[rows] - self.low[rows]) // unit, parts - np.uint64(1))
-
-
-def _u(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64)
-
-
-def _bits_of(size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The lower bits of ids of a size, in two steps of at most 16: (shift, bits)."""
-    bits = _u(np.maximum(size - 1, 0))
-    low = np.minimum(bits, np.uint64(16))
-    return [(low, bits - low), (np.zeros_like(low), low)]
-
-
-def _encode_lanes(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Words of each row of ``ids``; counts do not ascend."""
-    length = int(counts[0])
-    model, coder = _Model(len(counts), length), _Writer(len(counts), length)
-    numbers = np.ascontiguousarray(_numbered(ids, counts).T)
-    with np.errstate(over="ignore"):
-        for j in range(length):
-            n = int(np.searchsorted(-counts, -j, side="left"))
-            x = numbers[j, :n]
-            model.predict(n)
-            event = model.events(n, x)
-            border = model.first + model.second
-            start = np.where(event == 0, np.uint64(0), np.where(event == 1, model.first, border))
-            width = np.where(event == 0, model.first, np.where(event == 1, model.second, _ONE - border))
-            coder.narrow(slice(0, n), coder.span[:n] >> _W, start, width)
-            missed = np.flatnonzero(event == 2)
-            if len(missed):
-                _encode_missed(model, coder, missed, x[missed], ids[missed, j])
-            coder.settle(np.arange(n))
-            model.learn(n, x, event)
-    return coder.finish()
-
-
-def _encode_missed(model: _Model, coder: _Writer, rows: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
-    escaped = x >= model.frozen[rows]
-    width = _u(model.escape[rows])
-    coder.narrow(rows, coder.span[rows] >> _W, np.where(escaped, np.uint64(0), width), np.where(escaped, width, _ONE - width))
-    told = rows[~escaped]
-    a = _u(model.cum[told, x[~escaped]])
-    coder.narrow(told, coder.span[told] // model.total[told], a, _u(model.cum[told, x[~escaped] + 1]) - a)
-    rows, x, ids = rows[escaped], x[escaped], ids[escaped]
-    fresh = x == model.known[rows]
-    width = _u(model.fresh[rows])
-    coder.narrow(rows, coder.span[rows] >> _W, np.where(fresh, np.uint64(0), width), np.where(fresh, width, _ONE - width))
-    recent = rows[~fresh]
-    from_ = model.frozen[recent]
-    coder.settle(rows)
-    coder.narrow(recent, coder.span[recent] // _u(model.known[recent] - from_), _u(x[~fresh] - from_), np.uint64(1))
-    new, ids = rows[fresh], ids[fresh]
-    size = _sizes(ids)
-    a = _u(model.class_cum[new, size])
-    coder.narrow(new, coder.span[new] >> np.uint64(CLASS_BITS), a, _u(model.class_cum[new, size + 1]) - a)
-    for shift, bits in _bits_of(size):
-        coder.settle(new)
-        coder.narrow(new, coder.span[new] >> bits, (_u(ids) & ~(np.uint64(1) << _u(np.maximum(size - 1, 0)))) >> shift & ((np.uint64(1) << bits) - np.uint64(1)), np.uint64(1))
-    model.classes[new, size] += 24
-    model.learn_escape(np.concatenate([told, rows]), np.arange(len(told) + len(rows)) >= len(told), fresh)
-
-
-def _decode_lanes(words: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    length = int(counts[0])
-    model, coder = _Model(len(counts), length), _Reader(words)
-    ids_of = np.zeros((len(counts), length + 1), dtype=np.uint32)  # by number
-    out = np.zeros((length, len(counts)), dtype=np.uint32)
-    with np.errstate(over="ignore"):
-        for j in range(length):
-            n = int(np.searchsorted(-counts, -j, side="left"))
-            model.predict(n)
-            unit = coder.span[:n] >> _W
-            value = coder.part(slice(0, n), unit, _ONE)
-            border = model.first + model.second
-            event = (value >= model.first).astype(np.int64) + (value >= border)
-            start = np.where(event == 0, np.uint64(0), np.where(event == 1, model.first, border))
-            width = np.where(event == 0, model.first, np.where(event == 1, model.second, _ONE - border))
-            coder.narrow(slice(0, n), unit, start, width)
-            x = np.where(event == 0, model.guess[0], model.guess[1])
-            missed = np.flatnonzero(event == 2)
-            if len(missed):
-                x[missed] = _decode_missed(model, coder, missed, ids_of)
-            coder.settle(np.arange(n))
-            model.learn(n, x, event)
-            out[j, :n] = ids_of[np.arange(n), x]
-    return np.ascontiguousarray(out.T)
-
-
-def _decode_missed(model: _Model, coder: _Reader, rows: np.ndarray, ids_of: np.ndarray) -> np.ndarray:
-    """Numbers of the ids at ``rows``; new ids are written to ``ids_of``."""
-    out = np.zeros(len(ids_of), dtype=np.int64)
-    asked = rows
-    width = _u(model.escape[rows])
-    unit = coder.span[rows] >> _W
-    escaped = coder.part(rows, unit, _ONE) < width
-    coder.narrow(rows, unit, np.where(escaped, np.uint64(0), width), np.where(escaped, width, _ONE - width))
-    told = rows[~escaped]
-    unit = coder.span[told] // model.total[told]
-    value = coder.part(told, unit, model.total[told]).astype(np.int64)
-    # The last number whose start is not above the value: its stretch of the table, then its place there.
-    value = value.astype(np.uint16)[:, None]
-    coarse = np.maximum(np.count_nonzero(model.coarse[told] <= value, axis=1) - 1, 0)
-    stretch = model.cum.reshape(len(model.cum), -1, STRIDE)[told, coarse]
-    low = coarse * STRIDE + np.count_nonzero(stretch <= value, axis=1) - 1
-    low = np.minimum(low, model.frozen[told] - 1)
-    out[told] = low
-    a = _u(model.cum[told, low])
-    coder.narrow(told, unit, a, _u(model.cum[told, low + 1]) - a)
-    rows = rows[escaped]
-    width = _u(model.fresh[rows])
-    unit = coder.span[rows] >> _W
-    fresh = coder.part(rows, unit, _ONE) < width
-    coder.narrow(rows, unit, np.where(fresh, np.uint64(0), width), np.where(fresh, width, _ONE - width))
-    recent = rows[~fresh]
-    from_ = model.frozen[recent]
-    coder.settle(rows)
-    unit = coder.span[recent] // _u(model.known[recent] - from_)
-    value = coder.part(recent, unit, _u(model.known[recent] - from_))
-    coder.narrow(recent, unit, value, np.uint64(1))
-    out[recent] = from_ + value.astype(np.int64)
-    new = rows[fresh]
-    unit = coder.span[new] >> np.uint64(CLASS_BITS)
-    value = coder.part(new, unit, np.uint64(1 << CLASS_BITS)).astype(np.int64)
-    cum = model.class_cum[new]
-    size = np.minimum((cum[:, 1:] <= value[:, None]).sum(axis=1), CLASSES - 1)
-    a = _u(model.class_cum[new, size])
-    coder.narrow(new, unit, a, _u(model.class_cum[new, size + 1]) - a)
-    ids = np.where(size > 0, np.uint64(1) << _u(np.maximum(size - 1, 0)), np.uint64(0))
-    for shift, bits in _bits_of(size):
-        coder.settle(new)
-        unit = coder.span[new] >> bits
-        value = coder.part(new, unit, np.uint64(1) << bits)
-        coder.narrow(new, unit, value, np.uint64(1))
-        ids |= value << shift
-    out[new] = model.known[new]
-    ids_of[new, model.known[new]] = ids.astype(np.uint32)
-    model.classes[new, size] += 24
-    model.learn_escape(np.concatenate([told, rows]), np.arange(len(told) + len(rows)) >= len(told), fresh)
-    return out[asked]
-
-
 def encode(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     """A frame of all ``ids`` (unsigned 32-bit), at most 30,000 to a block."""
     if not 0 < block_ids <= 30_000:
         raise ValueError("a block has 1 to 30,000 ids")
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    counts = np.full(-(-len(ids) // block_ids), block_ids, dtype=np.int64)
-    if len(counts):
-        counts[-1] = len(ids) - block_ids * (len(counts) - 1)
-    heads, bodies = [], []
-    for at in range(0, len(counts), LANES):
-        own = counts[at : at + LANES]
-        grid = np.zeros((len(own), block_ids), dtype=np.uint32)
-        part = ids[at * block_ids : at * block_ids + int(own.sum())]
-        grid.ravel()[: len(part)] = part
-        for i, words in enumerate(_encode_lanes(grid, own)):
-            heads.append(struct.pack("<III", int(own[i]), len(words), zlib.crc32(grid[i, : own[i]].astype("<u4").tobytes())))
-            bodies.append(words.astype("<u2").tobytes())
-    return b"".join([MAGIC, struct.pack("<II", len(counts), block_ids), *heads, *bodies])
+    many = min(LANES, max(SECTION_IDS // block_ids, 1)) * block_ids
+    sections = [s for at in range(0, len(ids), many) for s in _encode_section(ids[at : at + many], block_ids)]
+    return b"".join([MAGIC, struct.pack("<I", len(sections)), *sections])
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame; raises ValueError if a block does not match its checksum."""
     if frame[:4] != MAGIC:
         raise ValueError("not a frame of this format")
-    blocks, _ = struct.unpack_from("<II", frame, 4)
-    heads = np.frombuffer(frame, dtype="<u4", count=3 * blocks, offset=12).reshape(-1, 3).astype(np.int64)
-    offset, out = 12 + 12 * blocks, []
-    for at in range(0, blocks, LANES):
-        own = heads[at : at + LANES]
-        words = []
-        for n in own[:, 1].tolist():
-            words.append(np.frombuffer(frame, dtype="<u2", count=n, offset=offset))
-            offset += 2 * n
-        try:
-            grid = _decode_lanes(words, own[:, 0])
-        except (ArithmeticError, IndexError) as e:  # damaged words can lead anywhere
-            raise ValueError("a block cannot be read") from e
-        for row, (n, _, checksum) in zip(grid, own.tolist(), strict=True):
-            ids = row[:n].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != checksum:
+    try:
+        return _decode(frame)
+    except (ArithmeticError, IndexError, struct.error, zlib.error) as e:  # damage can lead anywhere
+        raise ValueError("a block cannot be read") from e
+
+
+def _decode(frame: bytes) -> np.ndarray:
+    (sections,) = struct.unpack_from("<I", frame, 4)
+    offset, out = 8, []
+    for _ in range(sections):
+        blocks, block_ids, size, checksum = struct.unpack_from("<IIII", frame, offset)
+        offset += 16
+        if zlib.crc32(frame[offset : offset + size]) != checksum:
+            raise ValueError("a head does not match its checksum")
+        head = zlib.decompress(frame[offset : offset + size])
+        gaps, n = _of_planes(head[: len(head) // 2]), _of_planes(head[len(head) // 2 :])
+        by = _by_frequency(n)
+        different = np.cumsum(gaps, dtype=np.uint32)[by]
+        offset += size
+        heads = np.frombuffer(frame, dtype="<u4", count=3 * blocks, offset=offset).reshape(-1, 3).astype(np.int64)
+        offset += 12 * blocks
+        ends = np.cumsum(heads[:, 1])
+        words = np.frombuffer(frame, dtype="<u4", count=int(ends[-1]), offset=offset)
+        offset += 4 * len(words)
+        length = int(heads[0, 0])
+        if not 0 < length <= block_ids or (heads[:-1, 0] != length).any() or not 0 < heads[-1, 0] <= length or (heads[:, 1] < 2).any():
+            raise ValueError("a block cannot be read")
+        numbers = _decode_lanes(words, ends - heads[:, 1], length, int(heads[-1, 0]), _OrderZero(n[by]))
+        grid = different.astype("<u4")[numbers.T]
+        for row, (own, _, checksum) in zip(grid, heads.tolist(), strict=True):
+            if zlib.crc32(row[:own].tobytes()) != checksum:
                 raise ValueError("a block does not match its checksum")
-            out.append(ids)
+        out.append(grid.ravel()[: length * (blocks - 1) + int(heads[-1, 0])])
+    if offset != len(frame):
+        raise ValueError("a frame of another length")
     return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
