@@ -25,11 +25,11 @@ import numpy as np
 
 MAGIC = b"QTK3"
 BLOCK_IDS = 1024
-#: Blocks coded together; they need about 13 KB each.
+#: Blocks coded together; they need about 7 KB each, and their words.
 LANES = 8192
 #: Ids coded together, whatever the size of a block.
 SECTION_IDS = LANES * BLOCK_IDS
-SLOT_BITS = 9
+SLOT_BITS = 8
 SLOTS = 1 << SLOT_BITS
 #: Different ids of a section: a number has 16 bits.
 NUMBERS = 1 << 16
@@ -47,6 +47,7 @@ _K1, _K2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _BACK, _TOP = np.uint32(3), np.uint32(32 - SLOT_BITS)
 _CONF, _NUMBER = np.uint32(0xFFFF), np.uint32(16)
 _U1 = np.uint32(1)
+_CERTAIN, _STEPS = np.int32(1 << 16), np.int32(2 * WEIGHT_STEP)
 
 
 class _Model:
@@ -73,12 +74,12 @@ class _Model:
         last, base = self.last[:n], self.base[:n]
         self.slot = [((last + (self.older[:n] >> _BACK)) * _K2 >> _TOP) + base, (last >> _TOP) + base]
         self.entry = [t.take(s) for t, s in zip(self.table, self.slot, strict=True)]
-        self.guess = [(e >> _NUMBER).astype(np.int32) for e in self.entry]
-        self.sure = [(e & _CONF).astype(np.int32) for e in self.entry]
+        self.guess = [(e >> _NUMBER).view(np.int32) for e in self.entry]
+        self.sure = [(e & _CONF).view(np.int32) for e in self.entry]
         other = self.guess[0] != self.guess[1]
         self.at = self.context[:n] + ((self.sure[0] << 4) + (self.sure[1] << 1) + other)
         both = self.counters.take(self.at)
-        self.own = [(both >> _NUMBER).astype(np.int32), (both & _CONF).astype(np.int32)]
+        self.own = [(both >> _NUMBER).view(np.int32), (both & _CONF).view(np.int32)]
         self.zero = [self.often.take(g) for g in self.guess]
         # Both sides of an event need a width: 1 at least, and something left for the rest.
         p = []
@@ -101,11 +102,11 @@ class _Model:
         new = []
         for k, event in enumerate((held, second)):
             own = self.own[k]
-            goal = event.astype(np.int32)
-            error = (goal << 16) - own
+            error = event * _CERTAIN
+            error -= own
             error >>= RATE
             # The counter was nearer where it was above order 0 and held, or not above and did not.
-            better = ((own >= self.zero[k]) == event) * (2 * WEIGHT_STEP)
+            better = ((own >= self.zero[k]) == event) * _STEPS
             better -= WEIGHT_STEP
             if k:  # the second event is only met where the first failed
                 met = ~held
@@ -117,14 +118,15 @@ class _Model:
             np.minimum(weight, 252, out=weight)
             new.append(own + error)
         self.counters[self.at] = (new[0] << 16) + new[1]
-        fresh = (numbers.astype(np.uint32) << _NUMBER) + _U1
-        for k, named in enumerate((held, self.guess[1] == numbers)):
+        numbers = numbers.view(np.uint32)
+        fresh = (numbers << _NUMBER) + _U1
+        for k, named in enumerate((held, self.guess[1].view(np.uint32) == numbers)):
             sure, entry = self.sure[k], self.entry[k]
             kept = entry + (sure < CONFIDENT)
-            weak = np.where(sure <= 1, fresh, entry - ((sure + 1) >> 1).astype(np.uint32))
+            weak = np.where(sure <= 1, fresh, entry - ((sure + 1) >> 1).view(np.uint32))
             self.table[k][self.slot[k]] = np.where(named, kept, weak)
         self.older[:n] = self.last[:n]
-        np.multiply(numbers.astype(np.uint32) + _U1, _K1, out=self.last[:n])
+        np.multiply(numbers + _U1, _K1, out=self.last[:n])
 
 
 class _OrderZero:
@@ -159,32 +161,31 @@ def _by_frequency(counts: np.ndarray) -> np.ndarray:
 
 
 def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different ids ascending, their counts, and the place of each id among them."""
+    """Different ids ascending, their counts, and the number of each of ``ids``."""
     if int(ids.max()) < 4 * len(ids) + NUMBERS:
         n = np.bincount(ids)
         different = np.flatnonzero(n)
-        place = np.zeros(len(n), dtype=np.int32)
-        place[different] = np.arange(len(different))
-        return different.astype("<u4"), n[different], place[ids]
+        number = np.zeros(len(n), dtype=np.int32)
+        number[different[_by_frequency(n[different])]] = np.arange(len(different))
+        return different.astype("<u4"), n[different], number.take(ids)
     different, place, n = np.unique(ids, return_inverse=True, return_counts=True)
-    return different, n, place.astype(np.int32)
+    number = np.empty(len(n), dtype=np.int32)
+    number[_by_frequency(n)] = np.arange(len(n))
+    return different, n, number[place]
 
 
 def _encode_section(ids: np.ndarray, block_ids: int) -> list[bytes]:
     blocks = -(-len(ids) // block_ids)
-    different, n, place = _counted(ids)
+    different, n, numbers = _counted(ids)
     if len(different) > NUMBERS:  # more than a block can have
         half = blocks // 2 * block_ids
         return _encode_section(ids[:half], block_ids) + _encode_section(ids[half:], block_ids)
     head = zlib.compress(_planes(np.diff(different.astype(np.int64), prepend=0)) + _planes(n), 6)
-    by = _by_frequency(n)
-    number = np.empty(len(by), dtype=np.int32)
-    number[by] = np.arange(len(by), dtype=np.int32)
     grid = np.zeros(blocks * block_ids, dtype=np.int32)
-    grid[: len(ids)] = number[place]
+    grid[: len(ids)] = numbers
     length = min(block_ids, len(ids))
     last = len(ids) - block_ids * (blocks - 1)
-    words = _encode_lanes(np.ascontiguousarray(grid.reshape(blocks, block_ids)[:, :length].T), last, _OrderZero(n[by]))
+    words = _encode_lanes(np.ascontiguousarray(grid.reshape(blocks, block_ids)[:, :length].T), last, _OrderZero(n[_by_frequency(n)]))
     heads = []
     for i, w in enumerate(words):
         own = ids[i * block_ids : (i + 1) * block_ids]
@@ -207,13 +208,14 @@ def _encode_lanes(numbers: np.ndarray, last: int, zero: _OrderZero) -> list[np.n
         first, second = model.first, model.second
         held = model.guess[0] == x
         named = (model.guess[1] == x) & ~held
-        border = first + second
-        rest = (1 << EVENT_BITS) - border
+        rest = (1 << EVENT_BITS) - (first + second)
         told = ~(held | named)
         # Starts and widths in parts of the whole scale.
-        start = np.where(named, first, border * told).astype(np.int64) << scale
-        start += rest * told * zero.start.take(x)
-        width = np.where(told, rest * zero.width.take(x), np.where(held, first, second).astype(np.int64) << scale)
+        start = (first * ~held + second * told).astype(np.int64) << scale
+        width = (first * held + second * named).astype(np.int64) << scale
+        rest *= told
+        start += rest * zero.start.take(x)
+        width += rest * zero.width.take(x)
         lo, sp = low[:n], span[:n]
         unit = sp >> bits
         lo += unit * start.view(np.uint64)
@@ -265,9 +267,11 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, length: int, last: int,
         # Quotients below 2^32 of numbers below 2^53 are exact after rounding down.
         part = ((value - (border.astype(np.int64) << scale)) / rest).astype(np.int64)
         x = np.where(told, of_scale.take(part, mode="clip"), np.where(held, model.guess[0], model.guess[1]))
-        start = np.where(named, first, border * told).astype(np.int64) << scale
-        start += rest * told * zero.start.take(x)
-        width = np.where(told, rest * zero.width.take(x), np.where(held, first, second).astype(np.int64) << scale)
+        start = (first * ~held + second * told).astype(np.int64) << scale
+        width = (first * held + second * named).astype(np.int64) << scale
+        rest *= told
+        start += rest * zero.start.take(x)
+        width += rest * zero.width.take(x)
         step = unit * start.view(np.uint64)
         lo += step
         ah -= step
@@ -280,9 +284,6 @@ def _decode_lanes(words: np.ndarray, starts: np.ndarray, length: int, last: int,
             used[rows] = at + 1
             lo[rows], sp[rows] = a << _W, s << _W
         out[j, :n] = x
-        # A number told although an order names it would be damage; the encoder sees what is named.
-        held |= model.guess[0] == x
-        named |= (model.guess[1] == x) & ~held
         model.learn(n, x, held, named)
     if (used > end + 1).any():
         raise ValueError("a block cannot be read")

@@ -9,11 +9,12 @@ read through Spark, so it may be in any store.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ GATHERED_BYTES = 8 << 20
 #: A word that the library meets alone between chunks; its id tells them apart.
 BETWEEN = "\x01"
 #: Small letters that normalisation leaves alone.
-PLAIN = re.compile("[a-zà-öø-ÿ]+")
+PLAIN = "^[a-zà-öø-ÿ]+$"
 #: Texts with these are cut at white space only: a comma or full stop that the pattern may join to what is before
 #: it, a capital that may be composed with a mark before it is made small.
 UNFOLDED = r"[^A-Za-z0-9À-ÖØ-öø-ÿ\s][.,]|[A-Z]\p{M}"
@@ -42,6 +43,13 @@ UNFOLDED = r"[^A-Za-z0-9À-ÖØ-öø-ÿ\s][.,]|[A-Z]\p{M}"
 _ROWS = "bucket int, seq int, offset long, n long, doc_ids array<long>, lengths array<long>, frame binary"
 
 
+def _kinds(chunks: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """Plain words, other chunks, and those with the word that stands between chunks."""
+    plain = pc.match_substring_regex(pa.array(chunks, pa.large_string()), PLAIN).to_numpy(zero_copy_only=False).tolist()
+    other = list(compress(chunks, map(not_, plain)))
+    return list(compress(chunks, plain)), [c for c in other if BETWEEN not in c], [c for c in other if BETWEEN in c]
+
+
 class LibraryEncoder:
     """The tokenizers library behind a table of white-space separated chunks.
 
@@ -77,6 +85,8 @@ class LibraryEncoder:
 
     def _joined(self, library, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; many go to the library as one text, with a word of their own between them."""
+        if len(self.between) != 4:
+            return self._alone(chunks)
         out: list[bytes] = []
         for at in range(0, len(chunks), LIBRARY_BATCH):
             part = chunks[at : at + LIBRARY_BATCH]
@@ -88,34 +98,21 @@ class LibraryEncoder:
             out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True)]
         return out
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        if len(self.between) != 4:
-            return self._alone(chunks)
-        kinds: tuple[list[int], ...] = ([], [], [])
-        for i, c in enumerate(chunks):
-            kinds[0 if PLAIN.fullmatch(c) else 2 if BETWEEN in c else 1].append(i)
-        out: list[bytes] = [b""] * len(chunks)
-        for own, encode in zip(kinds, (lambda c: self._joined(self.plain, c), lambda c: self._joined(self.library, c), self._alone), strict=True):
-            for i, ids in zip(own, encode([chunks[i] for i in own]), strict=True):
-                out[i] = ids
-        return out
-
     def _known(self, chunks: list[str]) -> list[bytes]:
         """Ids of different chunks, from the tables or the library."""
         if len(self.young) > CACHE_CHUNKS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young = self.young
         out = list(map(young.get, chunks))
-        new = []
-        for i, ids in enumerate(out):
-            if ids is None:
-                if (known := old.get(chunks[i])) is None:
-                    new.append(i)
-                else:
-                    out[i] = young[chunks[i]] = known
-        fresh = [chunks[i] for i in new]
-        for i, c, ids in zip(new, fresh, self._ids(fresh), strict=True):
-            out[i] = young[c] = ids
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        asked = [chunks[i] for i in missed]
+        found = list(map(self.old.get, asked))
+        fresh = [c for c, ids in zip(asked, found, strict=True) if ids is None]
+        young.update((c, ids) for c, ids in zip(asked, found, strict=True) if ids is not None)
+        for kind, encode in zip(_kinds(fresh), (lambda c: self._joined(self.plain, c), lambda c: self._joined(self.library, c), self._alone), strict=True):
+            young.update(zip(kind, encode(kind), strict=True))
+        for i, ids in zip(missed, map(young.__getitem__, asked), strict=True):
+            out[i] = ids
         return out
 
     def encode_array(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -139,11 +136,9 @@ class LibraryEncoder:
         offsets = cut.offsets.to_numpy()
         bounds = offsets[1:] - offsets[0]
         chunk = np.insert(coded.indices.to_numpy(zero_copy_only=False), bounds, last)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        pool, begins = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(sizes) - sizes
-        own = sizes[chunk]
-        ends = np.cumsum(own)
-        ids = pool[np.repeat(begins[chunk] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+        taken = pa.array(parts, pa.large_binary()).take(pa.array(chunk))
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[1 : len(taken) + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2] or b"", dtype="<u4")
         return ids, np.concatenate([[0], ends[bounds + np.arange(len(texts))]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
