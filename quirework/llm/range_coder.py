@@ -25,11 +25,11 @@ import numpy as np
 
 MAGIC = b"QTK3"
 BLOCK_IDS = 1024
-#: Blocks coded together; they need about 7 KB each, and their words.
+#: Blocks coded together; they need about 9 KB each, and their words.
 LANES = 8192
 #: Ids coded together, whatever the size of a block.
 SECTION_IDS = LANES * BLOCK_IDS
-SLOT_BITS = 8
+SLOT_BITS = 9
 SLOTS = 1 << SLOT_BITS
 #: Different ids of a section: a number has 16 bits.
 NUMBERS = 1 << 16
